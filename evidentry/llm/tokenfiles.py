@@ -44,6 +44,7 @@ def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
         return np.zeros_like(counts)
     out = np.where(counts > 0, np.maximum(1, np.floor(counts * (room / total))), 0).astype(np.int64)
     order = np.argsort(-out, kind="stable")
+    order = order[out[order] > 0]
     gap, k = room - int(out.sum()), 0
     while gap:
         i = order[k % len(order)]
