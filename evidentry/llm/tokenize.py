@@ -34,9 +34,9 @@ def default_path(name: str) -> str:
 
 
 class CachedTokenizer:
-    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` words are kept at most."""
+    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` words, some 250 MB, are kept at most between batches."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,7 +70,7 @@ class CachedTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self._cut(t) for t in texts]
         if len(self.cache) > self.limit:  # the words met first are the frequent ones
-            self.cache = dict(islice(self.cache.items(), self.limit // 3))
+            self.cache = dict(islice(self.cache.items(), self.limit // 2))
         known, parts = self.cache, {}
         for word in set().union(*(c for c in cuts if c is not None)).difference(known):
             parts[word] = self.words.findall(word if self.kind == "bytes" else word.lower())
