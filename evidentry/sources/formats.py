@@ -159,7 +159,7 @@ def parse_traceback(lines: list[str], cut_by_header: bool, roots: tuple[str, ...
 def _udf(function: Callable[[str], dict[str, Any]]):
     @F.pandas_udf(PARSED)
     def parse(raw: pd.Series) -> pd.DataFrame:
-        frame = pd.DataFrame([function(x) for x in raw], columns=list(_record()))
+        frame = pd.DataFrame([function(x) for x in raw], columns=list(_record()), dtype=object)
         return frame.astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
 
     return parse
@@ -202,7 +202,7 @@ def parse_tracebacks(lines: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame
     @F.pandas_udf(PARSED)
     def parse(raws: pd.Series, cut: pd.Series) -> pd.DataFrame:
         records = [parse_traceback([x.removesuffix("\r") for x in r], bool(c), roots) for r, c in zip(raws, cut)]
-        return pd.DataFrame(records, columns=list(_record())).astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
+        return pd.DataFrame(records, columns=list(_record()), dtype=object).astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
 
     rows = records_by_header(lines.withColumn("is_header", F.regexp_replace("raw", r"\r\z", "").rlike(HEADER)))
     last = rows.groupBy("source_file").agg(F.max("record").alias("last_record"))
@@ -265,7 +265,7 @@ def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = N
 
 def _finished(parsed: DataFrame, services: DataFrame) -> DataFrame:
     named = services.select(F.col("name").alias("service"), F.col("id").alias("service_id"), "log_timezone")
-    rows = parsed.select("source_file", "source_offset", normalize_raw(F.col("raw")).alias("raw"), "p.*").withColumn("service", component(F.col("service")))
+    rows = parsed.select("source_file", "source_offset", normalize_raw(F.concat("raw", F.lit("\n"))).alias("raw"), "p.*").withColumn("service", component(F.col("service")))
     rows = rows.join(named, "service", "left")
     local = F.timestamp_micros("micros")
     instant, ambiguous, missing = attach_zone(local, F.coalesce("log_timezone", F.lit("UTC")))

@@ -58,9 +58,11 @@ def _needed(column: Column, name: str) -> Column:
     return F.coalesce(column, F.raise_error(F.lit(f"missing {name}")).cast("string"))
 
 
-def _time(column: Column, name: str) -> Column:
+def _time(column: Column, name: str, needed: Column | bool = True) -> Column:
+    """A time with a zone. Raises where one is ``needed`` and missing: the planner may evaluate rows that a filter drops later."""
     good = column.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})\z")
-    return F.when(good, F.to_timestamp(column)).otherwise(F.raise_error(F.lit(f"{name} needs a time with a zone")).cast("timestamp"))
+    needed = F.lit(needed) if isinstance(needed, bool) else needed
+    return F.when(good, F.to_timestamp(column)).when(needed, F.raise_error(F.lit(f"{name} needs a time with a zone")).cast("timestamp"))
 
 
 def _drafts(rows: DataFrame, services: DataFrame) -> DataFrame:
@@ -77,7 +79,7 @@ def pod_drafts(items: DataFrame, services: DataFrame) -> DataFrame:
     """One error for each terminated container state."""
     pods = items.withColumn("i", F.from_json("raw", POD)).select("source_file", "source_offset", "raw", "i.metadata", F.explode("i.status.containerStatuses").alias("c")).where("c.lastState.terminated IS NOT NULL")
     t = F.col("c.lastState.terminated")
-    finished = _time(t["finishedAt"], "finishedAt")
+    finished = _time(t["finishedAt"], "finishedAt", t.isNotNull())
     rows = pods.select(
         k8s_pod_uid(_needed(F.col("metadata.uid"), "uid"), F.col("c.name"), F.col("c.restartCount"), finished).alias("uid"),
         _needed(F.col("metadata.name"), "name").alias("k8s_name"), finished.alias("ts"), F.lit("error").alias("level"),

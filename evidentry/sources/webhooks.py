@@ -63,8 +63,10 @@ def push_exports(raw: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
 
     def files(c: Column) -> Column:
-        kinds = [F.transform(F.coalesce(c[k], none), lambda path, k=k: F.struct(path.alias("path"), F.lit(k).alias("status"), F.lit(0).alias("additions"), F.lit(0).alias("deletions"), F.lit(None).cast("string").alias("hunks"))) for k in ("added", "modified", "removed")]
-        return F.concat(*kinds)
+        def one(status: str) -> Column:
+            return F.transform(F.coalesce(c[status], none), lambda path: F.struct(path.alias("path"), F.lit(status).alias("status"), F.lit(0).alias("additions"), F.lit(0).alias("deletions"), F.lit(None).cast("string").alias("hunks")))
+
+        return F.concat(*map(one, ("added", "modified", "removed")))
 
     commits = F.transform(
         "commits",
