@@ -12,7 +12,8 @@ from evidentry.functions.identity import python_uid
 from evidentry.operators import provenance, store as S
 from evidentry.operators.resolve import registry_conflicts, resolve
 from evidentry.plans.envelopes import QueryError, QueryInterface, parse_time
-from evidentry.plans import render
+from evidentry.plans import render, runs
+from evidentry.plans.corpus import ingest_all, ingest_clusters
 from evidentry.sources import formats, git, k8s, lines, postmortems, registry, terraform, webhooks
 from evidentry.streaming.ingest import stream_alerts, stream_drafts
 
@@ -312,3 +313,60 @@ def test_scenarios():
     assert registry.repeated_scenarios([scenario, scenario | {"name": "b"}]) == ["k"]
     with pytest.raises(ValueError):
         registry.service_rows([{"name": 3}])
+
+
+def test_whole_corpus_twice(spark, corpus, tmp_path):
+    import shutil
+
+    root = tmp_path / "root"
+    shutil.copytree(corpus, root)
+    (root / "terraform").mkdir()
+    shutil.move(root / "plans/plan.json", root / "terraform/plan-a.json")
+    (root / "terraform/applies.json").write_text((root / "applies.json").read_text().replace("plan.json", "plan-a.json"))
+    shutil.move(root / "reviews", root / "postmortems")
+    shutil.move(root / "manifest.yaml", root / "logs/manifest.yaml")
+    texts_ = [c for _, c in postmortems.chunk(REVIEW.split("---\n", 2)[2])]
+    vectors = spark.createDataFrame([(t, [1.0, 0.0]) for t in texts_], "text string, vector array<float>")
+    evidence = S.EvidenceStore(spark, f"file://{tmp_path}/store")
+    digest = lambda: provenance.replay_digest({n: evidence.read(n) for n in evidence.tables})
+    report = {r.reason: r.n for r in ingest_all(evidence, str(root), vectors, 2).collect()}
+    assert report == {"ambiguous_service": 1, "incomplete_traceback": 1, "no_service_match": 1, "no_timestamp": 2, "unparseable": 5}
+    first, events = digest(), evidence.read("log_events").count()
+    ingest_all(evidence, str(root), vectors, 2)
+    assert digest() == first
+    newer = json.loads((root / "k8s/events.json").read_text())
+    newer["items"][0] |= {"count": 9, "lastTimestamp": "2026-08-19T14:04:00Z"}
+    newer["items"][1] |= {"eventTime": "2026-08-19T14:03:30Z"}
+    (root / "k8s/events.json").write_text(json.dumps(newer))
+    ingest_clusters(evidence, None, str(root / "k8s/events.json"))
+    logs = evidence.read("log_events")
+    counts = [json.loads(r.attrs)["occurrence_count"] for r in logs.where("attrs LIKE '%event_uid%'").collect()]
+    assert sorted(counts) == [1, 9] and logs.count() == events
+    from evidentry.operators.rollups import rollup
+
+    rebuilt = rollup(logs)
+    assert sorted(map(tuple, rebuilt.collect())) == sorted(map(tuple, evidence.read("rollups").select(*rebuilt.columns).collect()))
+
+
+def test_runs(spark, full):
+    run = runs.Run("r1")
+    run.capture("diff", {"b": 1, "a": 2}, {"commits": [{"cite": "commit:x"}], "source_cites": ["log:y"]})
+    summary = {"root_cause": {"text": "t" * 4000, "cites": ["commit:x"]}, "ruled_out": [{"text": "u", "cites": ["log:y"]}]}
+    with pytest.raises(runs.UnsupportedCitation):
+        run.checked({"root_cause": {"text": "t", "cites": ["log:z"]}})
+    alert = spark.createDataFrame([("k", 1, None, None, None, "{}", None, "open")], full.tables["incidents"])
+    full.publish({"incidents": alert})
+
+    def failing(summary, run_id):
+        raise RuntimeError("down")
+
+    runs.store_run(full, "k", run.envelope(summary, failing), "done")
+    found = runs.stored_run(full.read("incidents"), "r1")
+    assert found["delivery"] == {"error": "down", "status": "failed"} and full.read("incidents").first().status == "done"
+    with pytest.raises(LookupError):
+        runs.stored_run(full.read("incidents"), "r2")
+    blocks = runs.slack_blocks(summary, "r1")
+    assert len(blocks) == 3 and all(len(b["text"]["text"]) <= runs.SECTION for b in blocks) and blocks[1]["text"]["text"].endswith("commit:x")
+    value = {"a": {"b": [{"c": 1}, {"c": 0}]}, "e": []}
+    assert runs.resolve_path(value, "a.b[].c") == [1, 0] and runs.path_holds(value, "a.b[].c", "> 0") and not runs.path_holds(value, "a.b[].c", "== 0")
+    assert runs.path_holds(value, "e", "is empty") and runs.path_holds(value, "a.b[].c", contains=[1, 0])
