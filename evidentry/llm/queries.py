@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentry.llm import decontam, digests, langid, packing, pii, quality, secrets, sharding, simhash, tokenfiles
 from evidentry.llm.columns import table
+from evidentry.session import scratch_path
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = tokenfiles.scratch_folder(spark, "token-files")
+    folder = scratch_path(spark, "token-files")
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder)
     return tokenfiles.read_token_files(spark, folder, keep_ids=False)
 

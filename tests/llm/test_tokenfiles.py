@@ -7,6 +7,7 @@ import pytest
 
 from evidentry.llm import tokenfiles
 from evidentry.llm.tokenize import CachedTokenizer, default_path
+from evidentry.session import scratch_path
 from tests.llm.samples import empty, frame, rows
 
 
@@ -49,7 +50,7 @@ def expected(texts, end=2):
 
 def test_files_of_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = tokenfiles.scratch_folder(spark, "t")
+    folder = scratch_path(spark, "t")
     tokenfiles.write_token_files(docs, folder, shards=5, lanes=64, block_tokens=5000)
     found = sorted(tuple(r)[:4] for r in tokenfiles.read_token_files(spark, folder).collect())
     assert found == expected(sorted((r.doc_id, r.text) for r in docs.collect()))
@@ -57,7 +58,7 @@ def test_files_of_driver_documents(spark, sf_dir):
 
 
 def test_awkward_rows_and_empty(spark):
-    folder = tokenfiles.scratch_folder(spark, "t")
+    folder = scratch_path(spark, "t")
     tokenfiles.write_token_files(frame(spark), folder, shards=3, lanes=16)
     found = tokenfiles.read_token_files(spark, folder).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in found) == sorted((str(d), n, c) for d, _, n, c in expected([(r[0], r[1]) for r in rows()]))
@@ -65,6 +66,6 @@ def test_awkward_rows_and_empty(spark):
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     for r in found:
         assert zlib.crc32(r.ids) == r.ids_crc32
-    folder = tokenfiles.scratch_folder(spark, "t")
+    folder = scratch_path(spark, "t")
     tokenfiles.write_token_files(empty(spark), folder)
     assert tokenfiles.read_token_files(spark, folder).count() == 0
