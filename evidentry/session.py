@@ -33,6 +33,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/evidentry/{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder's name in this application's part of the scratch folder."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables this application materialized, once no result is read any more."""
+    _delete(spark, _own_scratch(spark))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared scratch folder as Parquet and returns a scan of it.
 
@@ -40,7 +59,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     planner true sizes, so joins above it broadcast only what Spark's threshold allows.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/evidentry/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,8 +67,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Deletes a table written by :func:`materialize` that no later plan reads."""
     spark = df.sparkSession
-    root = f"{scratch_dir(spark)}/evidentry/"
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if path.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
-            jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    plain = lambda path: path.split(":", 1)[-1].lstrip("/")
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if plain(folder).startswith(plain(_own_scratch(spark)) + "/"):
+            _delete(spark, folder)
