@@ -88,17 +88,17 @@ class _Known:
         return np.concatenate(places), np.concatenate(found)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items, in blocks of bounded text."""
-    blocks: list[list] = [[]]
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of bounded text, of which the driver holds two at most; an empty benchmark is one empty block."""
+    block: list[tuple[int, str]] = []
     held = 0
     for item, text in benchmark.where("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
         if held and held + len(text) > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item, text))
+            yield block
+            block, held = [], 0
+        block.append((item, text))
         held += len(text)
-    return [b for b in blocks if b]
+    yield block
 
 
 def _rarity(texts: DataFrame, known: _Known) -> dict[int, int]:
@@ -139,10 +139,14 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     under ``row``. An empty table of documents gives none; an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    found = None
-    for block in _blocks(items, block_bytes) or [[]]:
+    blocks = _blocks(items, block_bytes)
+    block, following = next(blocks), next(blocks, None)
+    if following is not None:  # the rows' numbers have to be the same for every block
+        texts = materialize(texts, "numbered-texts")
+    several, found = following is not None, None
+    while block is not None:
         known = _Known(block, window)
         prefixes = _prefixes(known, _rarity(texts, known)) if block else []
         codes = np.unique(np.array([p[0] for p in prefixes], np.int64))
@@ -150,13 +154,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             """A row for each document, then one for each of its shingles that is some window's prefix, with the words around it."""
-            from pyspark import TaskContext
-
             known, codes = shared.value
-            row = TaskContext.get().partitionId() << 40
             for batch in pieces(batches):
                 out: list[list] = [[] for _ in range(8)]
-                for doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
+                for row, doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                     words = words_of(text)
                     for c, v in zip(out, (row, doc, mark, len(words), None, None, None, None)):
                         c.append(v)
@@ -165,7 +166,6 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                         low = max(0, p - window + 1)
                         for c, v in zip(out, (row, doc, mark, len(words), k, p, low, [w.decode() for w in words[low : p + window]])):
                             c.append(v)
-                    row += 1
                 kinds = [pa.int64()] * 7 + [pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["row", "doc_id", "text_hash", "n_words", "code", "at", "low", "near"])
 
@@ -178,7 +178,11 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         same = F.array_join(F.slice("near", (first - F.col("low") + 1).cast("int"), F.col("size").cast("int")), " ") == F.col("words")
         start = F.when(fits, F.when(same, first))
         block_rows = joined.select("row", "doc_id", "text_hash", "n_words", "item_id", "size", start.alias("first"))
+        if several:
+            block_rows = materialize(block_rows, "benchmark-block")
+            shared.destroy()
         found = block_rows if found is None else found.union(block_rows)
+        block, following = following, next(blocks, None)
     hit = F.when(F.col("first").isNotNull(), F.struct("first", "size"))
     grouped = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
