@@ -1,10 +1,10 @@
 """The evidence store: immutable rows, exact conflicts, and snapshots published at once.
 
-Tables are folders of Parquet; a snapshot is a manifest that names one folder for each table,
-with the sources' cursors. A batch is checked against the current snapshot, written to new
-folders, and becomes visible when its manifest is renamed into place. A failed batch leaves
+Tables are folders of Parquet; a snapshot is a manifest that names each table's folders, with
+the sources' cursors. A batch is checked against the current snapshot, written to new folders
+beside the old ones, and becomes visible when its manifest is renamed into place. A failed batch leaves
 nothing behind that a reader would see. One writer at a time, as a streaming query's
-``foreachBatch`` is; what the manifest holds follows the number of tables and sources.
+``foreachBatch`` is; what the manifest holds follows the number of dates and sources.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -134,13 +135,19 @@ class IngestReport:
 TABLES = {
     "services": schemas.SERVICES, "commits": schemas.COMMITS, "deployments": schemas.DEPLOYMENTS, "infra_changes": schemas.INFRA_CHANGES,
     "log_events": schemas.LOG_EVENTS, "unresolved_events": schemas.UNRESOLVED_EVENTS, "rollups": schemas.ROLLUPS, "postmortems": schemas.POSTMORTEMS,
-    "chunks": schemas.CHUNKS, "incidents": schemas.INCIDENTS,
+    "chunks": schemas.CHUNKS, "incidents": schemas.INCIDENTS, "identities": schemas.IDENTITIES,
 }
+#: Tables kept by the date of a time column; a batch adds to its dates or replaces them, and leaves the others alone.
+DATED = {"log_events": "ts", "rollups": "bucket_start"}
 
 
 @dataclass
 class EvidenceStore:
-    """Snapshots of the evidence tables under ``root``, on any file system that Hadoop can rename in."""
+    """Snapshots of the evidence tables under ``root``, on any file system that Hadoop can rename in.
+
+    ``identities`` has the uid and a hash of the content of every log event: new batches are
+    compared with that narrow table and not with the events themselves.
+    """
 
     spark: SparkSession
     root: str
@@ -153,32 +160,57 @@ class EvidenceStore:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def manifest(self) -> dict:
-        """The newest manifest: version, a folder for each table, a cursor for each source."""
+    def _names(self, folder: str) -> list[str]:
         fs = self._fs()
-        if not fs.exists(self._path("manifests")):
-            return {"version": 0, "tables": {}, "cursors": {}}
-        versions = [int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(self._path("manifests")) if s.getPath().getName().endswith(".json")]
+        return [s.getPath().getName() for s in fs.listStatus(self._path(folder))] if fs.exists(self._path(folder)) else []
+
+    def manifest(self) -> dict:
+        """The newest manifest: version, folders of each table, folders by date of each dated table, a cursor for each source."""
+        versions = [int(n.split(".")[0]) for n in self._names("manifests") if n.endswith(".json") and n[0] != "."]
         if not versions:
-            return {"version": 0, "tables": {}, "cursors": {}}
-        text = self.spark.read.text(f"{self.root}/manifests/{max(versions):012d}.json", wholetext=True).first().value
-        return json.loads(text)
-
-    def read(self, name: str) -> DataFrame:
-        folder = self.manifest()["tables"].get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], self.tables[name])
-        return self.spark.read.schema(self.tables[name]).parquet(f"{self.root}/{folder}")
-
-    def publish(self, changed: dict[str, DataFrame], cursors: dict[str, int] | None = None) -> int:
-        """Writes the changed tables and makes them visible together."""
+            return {"version": 0, "tables": {}, "dates": {}, "cursors": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/manifests/{max(versions):012d}.json", wholetext=True).first().value)
+
+    def read(self, name: str, low: date | None = None, high: date | None = None) -> DataFrame:
+        """A table of the current snapshot; of a dated one only the dates from ``low`` to ``high``, if given."""
+        manifest, ddl = self.manifest(), self.tables[name]
+        if name in DATED:
+            kept = {d: f for d, f in manifest["dates"].get(name, {}).items() if (low is None or d >= str(low)) and (high is None or d <= str(high))}
+            paths = [f"{self.root}/data/{name}/{folder}/on={d}" for d, folders in sorted(kept.items()) for folder in folders]
+            base = self.spark.read.option("basePath", f"{self.root}/data/{name}").schema(f"{ddl}, batch string, on date")
+            return base.parquet(*paths).drop("batch", "on") if paths else self.spark.createDataFrame([], ddl)
+        folders = manifest["tables"].get(name, [])
+        if not folders:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(*[f"{self.root}/data/{name}/{f}" for f in folders])
+
+    def publish(self, changed: dict[str, DataFrame] | None = None, cursors: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, dates: dict[str, list[str]] | None = None) -> int:
+        """Writes tables and makes them visible together.
+
+        ``changed`` tables are replaced, ``added`` rows go beside those there are. A dated table is
+        replaced only on ``dates[name]``, which has to cover the rows given; without it on all.
+        """
         before = self.manifest()
-        folders = dict(before["tables"])
-        for name, rows in changed.items():
-            folder = f"data/{name}/{uuid.uuid4().hex}"
-            rows.select(*[c.split(" ")[0] for c in _fields(self.tables[name])]).write.parquet(f"{self.root}/{folder}")
-            folders[name] = folder
-        after = {"version": before["version"] + 1, "tables": folders, "cursors": before["cursors"] | (cursors or {})}
+        tables = {k: list(v) for k, v in before["tables"].items()}
+        dated = {k: {d: list(f) for d, f in v.items()} for k, v in before["dates"].items()}
+        for more, given in ((False, changed or {}), (True, added or {})):
+            for name, rows in given.items():
+                folder = f"batch={uuid.uuid4().hex}"
+                path = f"{self.root}/data/{name}/{folder}"
+                rows = rows.select(*_columns(self.tables[name]))
+                if name not in DATED:
+                    rows.write.parquet(path)
+                    tables[name] = (tables.get(name, []) if more else []) + [folder]
+                    continue
+                rows.withColumn("on", F.to_date(DATED[name])).write.partitionBy("on").parquet(path)
+                written = sorted(n.removeprefix("on=") for n in self._names(f"data/{name}/{folder}") if n.startswith("on="))
+                held = dated.setdefault(name, {})
+                if not more:
+                    for d in (dates or {}).get(name, list(held)):
+                        held.pop(d, None)
+                for d in written:
+                    held[d] = held.get(d, []) + [folder]
+        after = {"version": before["version"] + 1, "tables": tables, "dates": dated, "cursors": before["cursors"] | (cursors or {})}
         fs, draft = self._fs(), self._path(f"manifests/.{uuid.uuid4().hex}")
         out = fs.create(draft)
         out.write(bytearray(json.dumps(after).encode()))
@@ -187,9 +219,33 @@ class EvidenceStore:
             raise RuntimeError("another writer published this version first")
         return after["version"]
 
+    def compact(self, name: str, most: int = 8) -> int:
+        """Rewrites the dates of a dated table that are spread over more than ``most`` folders into one each."""
+        spread = [d for d, f in self.manifest()["dates"].get(name, {}).items() if len(f) > most]
+        for d in spread:
+            self.publish({name: self.read(name, d, d)}, dates={name: [d]})
+        return len(spread)
+
     def cursor(self, source: str) -> int:
         return int(self.manifest()["cursors"].get(source, 0))
 
+    def _rebuilt(self, touched: DataFrame, extra: DataFrame | None = None, without: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+        """The rollups of the dates that ``touched`` events lie on, their minutes rebuilt; and those dates.
+
+        Only those dates' rollups and events are read, with ``extra`` events and less those of ``without``.
+        """
+        days = [str(r[0]) for r in touched.select(F.to_date("ts")).distinct().collect()]  # one row a date
+        if not days:
+            return self.spark.createDataFrame([], schemas.ROLLUPS), []
+        wanted = F.to_date("ts").isin([date.fromisoformat(d) for d in days])
+        events, rollups = self.read("log_events", min(days), max(days)).where(wanted), self.read("rollups", min(days), max(days))
+        rollups = rollups.where(F.to_date("bucket_start").isin([date.fromisoformat(d) for d in days]))
+        if without is not None:
+            events = events.join(without.select("uid"), "uid", "left_anti").select(*events.columns)
+        if extra is not None:
+            events = events.unionByName(extra.select(*events.columns))
+        return recompute(events, rollups, materialize(dirty_minutes(touched, rollups), "dirty")), days
+
     def ingest(self, drafts: DataFrame, cursors: dict[str, int] | None = None) -> IngestReport:
         """Takes a batch of log drafts: rows with a reason are unresolved, the others log events.
 
@@ -198,29 +254,44 @@ class EvidenceStore:
         Sequence numbers continue in (source_file, source_offset) order.
         """
         drafts = materialize(drafts, "drafts")
-        logs, unresolved, rollups = self.read("log_events"), self.read("unresolved_events"), self.read("rollups")
+        known, unresolved = self.read("identities"), self.read("unresolved_events")
         for source, cursor in (cursors or {}).items():
             used = drafts.where(F.col("source_file") == source).agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("n")).first().n
             check_cursor(source, self.cursor(source), cursor, int(used))
-        good, bad = drafts.where("reason IS NULL"), drafts.where("reason IS NOT NULL")
-        self._refuse(good.groupBy("uid").agg(F.count_distinct(F.xxhash64(*schemas.LOG_CONTENT)).alias("n")).where("n > 1"), EvidenceConflict)
-        resolved = materialize(split_batch(good.dropDuplicates(["uid"]), logs, "uid", schemas.LOG_CONTENT), "resolved")
-        self._refuse(resolved.where("outcome = 'conflict'"), EvidenceConflict)
-        self._refuse(bad.join(logs.select("uid"), "uid", "left_semi"), EvidenceRegression)
+        good, bad = drafts.where("reason IS NULL").withColumn("content", F.xxhash64(*schemas.LOG_CONTENT)), drafts.where("reason IS NOT NULL")
+        self._refuse(good.groupBy("uid").agg(F.count_distinct("content").alias("n")).where("n > 1"), EvidenceConflict)
+        resolved = materialize(split_batch(good.dropDuplicates(["uid"]), known, "uid", ("content",)), "resolved")
+        clash = resolved.where("outcome = 'conflict'").limit(5)
+        if clash.limit(1).count():
+            rows = clash.drop("outcome", "differs")
+            days = rows.join(known.select("uid", "on_date"), "uid").agg(F.min("on_date"), F.max("on_date")).first()
+            self._refuse(split_batch(rows, self.read("log_events", *days), "uid", schemas.LOG_CONTENT), EvidenceConflict)
+        self._refuse(bad.join(known.select("uid"), "uid", "left_semi"), EvidenceRegression)
         open_ = materialize(split_batch(bad.dropDuplicates(["uid"]), unresolved, "uid", schemas.UNRESOLVED_CONTENT), "open")
         self._refuse(open_.where("outcome = 'conflict'"), EvidenceConflict)
         new = resolved.where("outcome = 'inserted'")
-        promoted = new.join(unresolved.select("uid"), "uid", "left_semi")
+        n_promoted = new.join(unresolved.select("uid"), "uid", "left_semi").count()
+        waiting = open_.where("outcome = 'inserted'").join(new.select("uid"), "uid", "left_anti")
         counts = dict(drafts.groupBy(F.col("reason").isNull()).count().collect())
-        n_new, n_promoted, n_open = new.count(), promoted.count(), open_.where("outcome = 'inserted'").count()
-        last = logs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
+        n_new, n_open = new.count(), waiting.count()
+        last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
         numbered = materialize(_numbered(new, last), "new-events")
-        all_logs = logs.unionByName(numbered.select(*logs.columns))
-        rest = unresolved.join(new.select("uid"), "uid", "left_anti").unionByName(open_.where("outcome = 'inserted'").join(new.select("uid"), "uid", "left_anti").select(*unresolved.columns))
-        fresh = recompute(all_logs, rollups, dirty_minutes(numbered, rollups))
-        self.publish({"log_events": all_logs, "unresolved_events": rest, "rollups": fresh}, cursors)
+        fresh, days = self._rebuilt(numbered, extra=numbered)
+        changed, added = {"rollups": fresh}, {"log_events": numbered, "unresolved_events": waiting, "identities": numbered.withColumn("on_date", F.to_date("ts"))}
+        if n_promoted:  # only then are unresolved lines rewritten
+            changed["unresolved_events"] = unresolved.join(new.select("uid"), "uid", "left_anti").select(*unresolved.columns).unionByName(waiting.select(*unresolved.columns))
+            del added["unresolved_events"]
+        self.publish(changed, cursors, added, {"rollups": days})
         return IngestReport(n_new - n_promoted, counts.get(True, 0) - n_new + counts.get(False, 0) - n_open, n_promoted, n_open)
 
+    def remove_events(self, gone: DataFrame) -> None:
+        """Deletes log events (uid, service_id, ts) and rebuilds their minutes, so that no rollup is left without its example. Only their dates are rewritten."""
+        fresh, days = self._rebuilt(gone, without=gone)
+        if days:
+            wanted = F.to_date("ts").isin([date.fromisoformat(d) for d in days])
+            kept = self.read("log_events", min(days), max(days)).where(wanted).join(gone.select("uid"), "uid", "left_anti")
+            self.publish({"log_events": kept, "rollups": fresh}, dates={"log_events": days, "rollups": days})
+
     @staticmethod
     def _refuse(rows: DataFrame, error: type[ValueError]) -> None:
         found = rows.limit(5).collect()
@@ -228,6 +299,10 @@ class EvidenceStore:
             raise error("; ".join(f"{r.uid}" + (f" ({', '.join(r.differs)})" if "differs" in rows.columns else "") for r in found))
 
 
+def _columns(ddl: str) -> list[str]:
+    return [f.split(" ")[0] for f in _fields(ddl)]
+
+
 def _fields(ddl: str) -> list[str]:
     """The columns of a schema, split at the commas outside brackets."""
     depth, parts, part = 0, [], ""

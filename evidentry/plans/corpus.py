@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.operators.store import EvidenceConflict, EvidenceStore, IngestReport, apply_deployments, insert_new, replaced_snapshots, split_batch, unresolved_report
-from evidentry.operators.rollups import delete_minutes, dirty_minutes, recompute
+from evidentry.operators.store import EvidenceConflict, EvidenceStore, IngestReport, apply_deployments, replaced_snapshots, split_batch, unresolved_report
 from evidentry.schemas import INFRA_CONTENT
 from evidentry.session import materialize
 from evidentry.sources import formats, git, k8s, lines, postmortems, registry, terraform
@@ -22,8 +21,8 @@ def log_lines(store: EvidenceStore, path: str, prefix: str = "logs/") -> DataFra
 
 def ingest_exports(store: EvidenceStore, path: str) -> int:
     services, exports = store.read("services"), git.read_exports(store.spark, path)
-    commits = insert_new(store.read("commits"), git.commits(exports, services), "sha")
-    return store.publish({"commits": commits, "deployments": apply_deployments(store.read("deployments"), git.deployments(exports, services))})
+    fresh = git.commits(exports, services).dropDuplicates(["sha"]).join(store.read("commits").select("sha"), "sha", "left_anti")
+    return store.publish(added={"commits": fresh}, changed={"deployments": apply_deployments(store.read("deployments"), git.deployments(exports, services))})
 
 
 def ingest_logs(store: EvidenceStore, path: str, manifest: str | None = None) -> IngestReport:
@@ -39,7 +38,7 @@ def ingest_plans(store: EvidenceStore, plans: str, applies: str) -> int:
     clash = batch.where("outcome = 'conflict'").limit(5).collect()
     if clash:
         raise EvidenceConflict("; ".join(f"{r.uid} ({', '.join(r.differs)})" for r in clash))
-    return store.publish({"infra_changes": insert_new(stored, batch, "uid")})
+    return store.publish(added={"infra_changes": batch.where("outcome = 'inserted'").dropDuplicates(["uid"])})
 
 
 def ingest_clusters(store: EvidenceStore, pods: str | None, events: str | None) -> None:
@@ -50,15 +49,10 @@ def ingest_clusters(store: EvidenceStore, pods: str | None, events: str | None)
     if not events:
         return
     found = materialize(k8s.event_drafts(k8s.read_items(store.spark, events), services), "cluster-events")
-    logs, rollups = store.read("log_events"), store.read("rollups")
-    stored = logs.withColumn("event_uid", F.get_json_object("attrs", "$.event_uid")).where("event_uid IS NOT NULL").withColumn("occurrence_count", F.get_json_object("attrs", "$.occurrence_count").cast("long"))
+    stored = store.read("log_events").withColumn("event_uid", F.get_json_object("attrs", "$.event_uid")).where("event_uid IS NOT NULL").withColumn("occurrence_count", F.get_json_object("attrs", "$.occurrence_count").cast("long"))
     gone, fresh = replaced_snapshots(stored, found, "event_uid", "occurrence_count")
     gone, fresh = materialize(gone.select("uid", "service_id", "ts"), "gone"), materialize(fresh.select(*[c for c in found.columns if c not in ("event_uid", "occurrence_count")]), "fresh")
-    if gone.limit(1).count():
-        # A replaced event may stand for its rollup, so its minutes go before it does.
-        kept = logs.join(gone.select("uid"), "uid", "left_anti").select(*logs.columns)
-        dirty = materialize(dirty_minutes(gone, rollups), "dirty")
-        store.publish({"log_events": kept, "rollups": recompute(kept, delete_minutes(rollups, dirty), dirty)})
+    store.remove_events(gone)  # a replaced event may stand for its rollup, so its minutes are rebuilt without it first
     store.ingest(fresh)
 
 

@@ -13,6 +13,7 @@ ROLLUPS = "service_id int, bucket_start timestamp, status_class string, level st
 POSTMORTEMS = "slug string, title string, occurred_at timestamp, services array<string>, body_md string, resolution_md string, content_sha string, model_fingerprint string"
 CHUNKS = "slug string, ordinal int, kind string, content string, embedding array<float>"
 INCIDENTS = "dedup_key string, service_id int, opened_at timestamp, window_start timestamp, window_end timestamp, alert_payload string, summary_json string, status string"
+IDENTITIES = "uid string, content long, id long, on_date date"
 WATERMARKS = "source string, last_cursor string, updated_at timestamp"
 
 #: Columns that two versions of one identity must share.
