@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentry.schemas import DEPLOY_STATUSES
+from evidentry.schemas import CHUNK_KINDS, DEPLOY_STATUSES, INFRA_ACTIONS, LEVELS, REASONS, STATUS_CLASSES
 
 
 def permitted(before: Column, after: Column) -> Column:
@@ -55,3 +55,47 @@ def require_non_empty(counts: DataFrame) -> None:
     empty = [r.name for r in counts.where("n = 0").collect()]
     if empty:
         raise ValueError(f"tables without rows: {', '.join(sorted(empty))}")
+
+
+def _one_of(column: str, values: tuple[str, ...]) -> Column:
+    return F.col(column).isin(*values)
+
+
+def domain_rules() -> dict[str, dict[str, Column]]:
+    """Each table's rules on single rows."""
+    uid = {"uid": F.col("uid").rlike("^[0-9a-f]{32}$")}
+    return {
+        "commits": {"sha": F.col("sha").rlike("^[0-9a-f]{40}$"), "paths": F.forall("files_changed", lambda f: F.coalesce(F.length(f["path"]) > 0, F.lit(False)))},
+        "deployments": uid | {"status": _one_of("status", DEPLOY_STATUSES)},
+        "infra_changes": uid | {"action": _one_of("action", INFRA_ACTIONS)},
+        "log_events": uid | {"level": _one_of("level", LEVELS), "template_hash": F.col("template_hash").rlike("^[0-9a-f]{32}$"), "service": F.col("service_id").isNotNull()},
+        "unresolved_events": uid | {"reason": _one_of("reason", REASONS)},
+        "rollups": {"count": F.col("count") > 0, "status_class": _one_of("status_class", STATUS_CLASSES), "level": _one_of("level", LEVELS)},
+        "chunks": {"kind": _one_of("kind", CHUNK_KINDS)},
+    }
+
+
+UNIQUE = {
+    "services": ("name",), "commits": ("sha",), "deployments": ("uid",), "infra_changes": ("uid",), "log_events": ("uid",), "unresolved_events": ("uid",),
+    "rollups": ("service_id", "bucket_start", "status_class", "level", "template_hash"), "postmortems": ("slug",), "chunks": ("slug", "ordinal"), "incidents": ("dedup_key",),
+}
+REFERENCES = {
+    "deployments": ("commits", "commit_sha", "sha"), "rollups": ("log_events", "exemplar_id", "id"), "chunks": ("postmortems", "slug", "slug"),
+    "commits": ("services", "service_id", "id"), "infra_changes": ("services", "service_id", "id"), "log_events": ("services", "service_id", "id"),
+}
+
+
+def snapshot_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(table, rule, n): everything in a snapshot that breaks a domain, a unique key or a reference; rules that hold are left out."""
+    rules, out = domain_rules(), None
+    for name, rows in tables.items():
+        parts = []
+        references = {f"{key} in {parent}": (tables[parent], key, parent_key) for n, (parent, key, parent_key) in REFERENCES.items() if n == name and parent in tables}
+        if name in rules:
+            parts.append(violations(rows, rules[name], references))
+        if name in UNIQUE:
+            parts.append(doubled(rows, *UNIQUE[name]).agg(F.count("*").alias("n")).select(F.lit("unique").alias("rule"), "n"))
+        for p in parts:
+            p = p.select(F.lit(name).alias("table"), "rule", "n")
+            out = p if out is None else out.unionByName(p)
+    return out.where("n > 0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentry.functions.identity import python_uid
 from evidentry.operators import provenance, store as S
+from evidentry.operators.integrity import snapshot_report
 from evidentry.operators.resolve import registry_conflicts, resolve
 from evidentry.plans.envelopes import QueryError, QueryInterface, parse_time
 from evidentry.plans import render, runs
@@ -255,6 +256,16 @@ def test_three_queries(full):
     assert parse_time("2026-08-19T16:00:00+02:00") == datetime(2026, 8, 19, 14, tzinfo=UTC)
 
 
+def test_snapshot_rules(spark, full):
+    tables = {n: full.read(n) for n in full.tables if n != "identities"}
+    assert snapshot_report(tables).collect() == []
+    tables["rollups"] = tables["rollups"].union(tables["rollups"].limit(1)).withColumn("level", F.lit("loud"))
+    tables["log_events"] = tables["log_events"].where("id <> 1")
+    found = {(r.table, r.rule): r.n for r in snapshot_report(tables).collect()}
+    assert found[("rollups", "unique")] == 1 and found[("rollups", "level")] == tables["rollups"].count()
+    assert full.compact("log_events", 0) > 0 and full.compact("log_events") == 0
+
+
 def test_deployments_and_snapshots(spark, full):
     stored = full.read("deployments")
     step = stored.where("status = 'in_progress'").withColumn("status", F.lit("success"))
