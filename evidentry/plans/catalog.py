@@ -41,12 +41,17 @@ def _rollups(spark, d):
     return rollups.rollup(S.log_events(spark, d), bucket=times.minute_ntz("ts"))
 
 
+def _window_events(spark, d):
+    """Events of both windows. Windows are whole minutes, so the bound on the raw time says the same as one on minutes, and reaches the scan."""
+    return S.log_events(spark, d).where(times.Window(WINDOW.before().start, WINDOW.end).holds(F.col("ts")))
+
+
 def _window_rows(spark, d):
-    return telemetry.rollups_in(_rollups(spark, d), S.services(spark), SERVICE, WINDOW)
+    return telemetry.rollups_in(rollups.rollup(_window_events(spark, d), bucket=times.minute_ntz("ts")), S.services(spark), SERVICE, WINDOW)
 
 
 def _with_exemplars(spark, d):
-    return telemetry.with_exemplars(_window_rows(spark, d), S.log_events(spark, d))
+    return telemetry.with_exemplars(_window_rows(spark, d), _window_events(spark, d))
 
 
 @query(f"WITH {S.LOG_SQL} SELECT service_id, bucket_start, status_class, level, template_hash, count, first_seen, last_seen, exemplar_id FROM rollups")
@@ -393,7 +398,7 @@ def non_zero_counts(spark, d):
 def conditional_full_outer(spark, d):
     both = times.Window(WINDOW.before().start, WINDOW.end)
     now = F.col("bucket_start") >= F.lit(WINDOW.start)
-    rows = _rollups(spark, d).where(both.holds(F.col("bucket_start")))
+    rows = rollups.rollup(S.log_events(spark, d).where(both.holds(F.col("ts"))), bucket=times.minute_ntz("ts"))
     return rows.groupBy("template_hash").agg(F.coalesce(F.sum(F.when(now, F.col("count"))), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(~now, F.col("count"))), F.lit(0)).alias("baseline_count"))
 
 
