@@ -198,6 +198,6 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark window."""
     found = contaminated_words(docs, benchmark, id_col=id_col, text_col=text_col, **how)
-    hit = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(text_col) == F.col("hit_hash"))
+    hit = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).distinct(), "contaminated")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_hash"))
     return docs.join(hit, same, "left_anti")

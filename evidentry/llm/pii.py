@@ -201,9 +201,9 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
     All columns stay; a null text stays null. Spans are joined to their texts on the id and the
     text's hash, so repeated ids with different texts keep their own spans.
     """
-    spans = personal_data(docs, id_col, text_col, **bootstrap).select(F.col("doc_id").alias("pii_id"), F.col("text_hash").alias("pii_hash"), F.concat("base", "more").alias("pii_spans"))
-    spans = spans.where(F.size("pii_spans") > 0).dropDuplicates(["pii_id", "pii_hash"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("pii_id")) & F.xxhash64(text_col).eqNullSafe(F.col("pii_hash"))
+    spans = personal_data(docs, id_col, text_col, **bootstrap).select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.concat("base", "more").alias("__pii_spans"))
+    spans = spans.where(F.size("__pii_spans") > 0).dropDuplicates(["__pii_id", "__pii_hash"])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__pii_id")) & F.xxhash64(text_col).eqNullSafe(F.col("__pii_hash"))
     at = docs.columns.index(text_col)
 
     def cover(text: str | None, spans: list | None) -> str | None:
@@ -222,4 +222,4 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
             columns = [c if i != at else pa.array(texts, c.type) for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return docs.join(spans, same, "left").drop("pii_id", "pii_hash").mapInArrow(run, docs.schema)
+    return docs.join(spans, same, "left").drop("__pii_id", "__pii_hash").mapInArrow(run, docs.schema)

@@ -209,10 +209,10 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
     found = materialize(near_duplicates(docs, id_col, text_col, **how).select("doc_id", "text_hash", "group_id"), "near-duplicates")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text_col) == F.col("kept_hash"))
+    kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text_col) == F.col("__kept_hash"))
     out = docs.join(kept, same, "left_semi")
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if not repeats:
         return out
-    return out.withColumn("kept_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "kept_hash"]).drop("kept_hash")
+    return out.withColumn("__kept_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__kept_hash"]).drop("__kept_hash")

@@ -87,6 +87,8 @@ def test_components_of_chains_and_stars(spark):
 def test_one_of_each_group_stays(spark):
     kept = simhash.without_near_duplicates(frame(spark))
     assert kept.columns == frame(spark).columns
+    named = frame(spark).withColumnsRenamed({"shard": "kept_id", "code": "group_id"})
+    assert simhash.without_near_duplicates(named).count() == kept.count()
     groups = simhash.near_duplicates(frame(spark)).select("group_id").distinct().count()
     assert kept.count() == groups
 
