@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentry.llm import decontam, langid, packing, pii, simhash
+from evidentry.llm import decontam, langid, minhash, packing, pii
 from evidentry.llm.columns import table
 from evidentry.session import materialize
 
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each SimHash component."""
-    return simhash.without_near_duplicates(docs)
+    """Keeps the document of the smallest doc_id of each component of documents that share 0.8 of their five-word shingles."""
+    return minhash.without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

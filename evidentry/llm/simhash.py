@@ -205,9 +205,9 @@ def near_duplicates(
     return fps.join(members, "fp").select("doc_id", shown, "component_id", "text_hash", "group_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
-    found = materialize(near_duplicates(docs, id_col, text_col, **how).select("doc_id", "text_hash", "group_id"), "near-duplicates")
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group_id of ``groups`` (doc_id, text_hash, group_id), with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
+    found = materialize(groups, "near-duplicates")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text_col) == F.col("__kept_hash"))
@@ -216,3 +216,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     if not repeats:
         return out
     return out.withColumn("__kept_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__kept_hash"]).drop("__kept_hash")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col, **how).select("doc_id", "text_hash", "group_id"), id_col, text_col)
