@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentry.llm.columns import pieces
@@ -31,6 +31,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = re.compile(r"\S*[0-9@]\S*")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>*%$#&"
+_EDGE = frozenset(_TRIM + "+-") - frozenset(" \t\r\n")
+_JOIN = " .()-"
 _WORD = re.compile(r"\S+")
 
 
@@ -88,6 +90,55 @@ def _shape(value: str) -> str | None:
     return None
 
 
+def _number_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the maximal runs of digit groups joined by spaces, dots, hyphens and brackets, of 7 digits at least.
+
+    A run ends at a base span (``taken``, sorted) and leaves out groups that are part of a word.
+    """
+    out, i = [], 0
+    for run in _DIGITS.finditer(text):
+        low, high = run.span()
+        if high - low < 7:
+            continue
+        while i < len(taken) and taken[i][1] <= low:
+            i += 1
+        k, parts = i, []
+        while k < len(taken) and taken[k][0] < high:
+            parts.append((low, taken[k][0]))
+            low = max(low, taken[k][1])
+            k += 1
+        for start, end in [*parts, (low, high)]:
+            while start < end and not text[start].isdigit():
+                start += 1
+            while end > start and not text[end - 1].isdigit():
+                end -= 1
+            at = start
+            while at and text[at - 1] in _EDGE:
+                at -= 1
+            if at and not text[at - 1].isspace():  # the first group goes on in a word
+                start = text.find(" ", start, end)
+                start = end if start < 0 else start
+            at = end
+            while at < len(text) and text[at] in _EDGE:
+                at += 1
+            if at < len(text) and not text[at].isspace():  # so does the last one
+                end = max(start, text.rfind(" ", start, end))
+            while start < end and text[start] in _JOIN:
+                start += 1
+            while end > start and text[end - 1] in _JOIN:
+                end -= 1
+            if sum(c.isdigit() for c in text[start:end]) < 7:
+                continue
+            floor = max((e for _, e in taken[i:k]), default=0)
+            inside = text[start:end]
+            if start > floor and text[start - 1] == "(" and inside.count(")") > inside.count("("):
+                start -= 1
+            if start > floor and text[start - 1] == "+":
+                start -= 1
+            out.append((start, end))
+    return out
+
+
 def _context(text: str, start: int, end: int, reach: int = 80) -> list[str]:
     """Lexical patterns around a span: the two words before, and one word on either side; words with digits read as one."""
     lead = _WORD.findall(text[max(0, start - reach) : start].lower())
@@ -107,14 +158,16 @@ _FOUND = f"row long, doc_id long, text_hash long, base array<{_SPAN}>, seen arra
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, text_hash, base, seen): each text's spans, and its identifier-like tokens with the patterns around them (kind null outside spans)."""
+    """(row, doc_id, text_hash, base, seen): each text's spans, and its identifier-like tokens and runs of numbers with the patterns around them (kind null outside spans)."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     token = pa.struct([("kind", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))])
 
     def tokens(text: str, base: list) -> list[dict]:
         out = [{"kind": k, "shape": k if k in ("email", "ip") else "number", "value": text[s:e].lower(), "start": s, "end": e, "patterns": _context(text, s, e)} for k, s, e in base]
         taken = sorted((s, e) for _, s, e in base)
-        i = 0
+        runs = _number_runs(text, taken)
+        out += [{"kind": None, "shape": "number", "value": text[s:e].lower(), "start": s, "end": e, "patterns": _context(text, s, e)} for s, e in runs]
+        i = j = 0
         for m in _TOKEN.finditer(text):
             raw = m.group()
             value = raw.strip(_TRIM)
@@ -125,6 +178,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             end = start + len(value)
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
+            while j < len(runs) and runs[j][1] <= start:
+                j += 1
+            if shape == "number" and j < len(runs) and m.start() <= runs[j][0] <= start and end <= runs[j][1] <= m.end():
+                continue  # the run is this token
             if not any(s < end and start < e for s, e in taken[i : i + 4]):
                 out.append({"kind": None, "shape": shape, "value": value.lower(), "start": start, "end": end, "patterns": _context(text, start, end)})
         return out
@@ -183,6 +240,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     patterns = materialize(confident_patterns(found, **bootstrap), "pii-patterns")
     tokens = found.select("row", F.explode("seen").alias("t")).where("t.kind IS NULL").select("row", "t.shape", "t.start", "t.end", F.explode("t.patterns").alias("pattern"))
     hits = tokens.join(patterns, ["shape", "pattern"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached <= start")  # of a run and a token in it the run
     more = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
     none = F.array().cast(f"array<{_SPAN}>")
     return found.select("row", "doc_id", "text_hash", "base").join(more, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("more", none).alias("more"))
