@@ -10,6 +10,7 @@ the next round. Patterns of high confidence then mark unseen identifiers in all
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentry.llm.columns import pieces
-from evidentry.session import materialize
+from evidentry.session import discard, materialize
+
+_LOG = logging.getLogger(__name__)
 
 #: The kinds, in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -204,11 +207,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return plain.mapInArrow(run, _FOUND)
 
 
-def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.9, promote: float = 0.95) -> DataFrame:
+def confident_patterns(found: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.9, promote: float = 0.95) -> DataFrame:
     """(kind, shape, pattern): the patterns whose values are, by distinct values, known for one kind to ``confidence`` at least.
 
     A pattern needs ``support`` distinct known values. Each round promotes values whose
-    patterns' scores, taken as independent, reach ``promote``.
+    patterns' scores, taken as independent, reach ``promote``; a known value keeps its kind. It
+    ends with the round that promotes none, or with a warning after ``rounds`` where that is given.
     """
     tokens = found.select(F.explode("seen").alias("t")).select("t.kind", "t.shape", "t.value", F.explode("t.patterns").alias("pattern"))
     edges = materialize(tokens.groupBy("shape", "pattern", "value").agg(F.min("kind").alias("seed")), "pii-edges")
@@ -220,13 +224,22 @@ def confident_patterns(found: DataFrame, rounds: int = 3, support: int = 5, conf
         hits = edges.join(known, ["shape", "value"]).groupBy("shape", "pattern", "kind").agg(F.count("*").alias("hits"))
         return hits.join(sized, ["shape", "pattern"]).where(F.col("hits") >= support).withColumn("score", F.col("hits") / F.col("n"))
 
-    seeds = known
-    for _ in range(rounds):
+    known = materialize(known, "pii-known")
+    n, done = known.count(), 0
+    while n:
+        if rounds is not None and done >= rounds:
+            _LOG.warning("stopped after %d rounds; values may still grow", rounds)
+            break
         scored = score_patterns(known)
         said = unseen.join(scored, ["shape", "pattern"]).groupBy("shape", "value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"))
         best = said.groupBy("shape", "value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-        grown = seeds.union(best.where(F.col("score") >= promote).select("shape", "value", "kind"))
-        known = materialize(grown.groupBy("shape", "value").agg(F.min("kind").alias("kind")), "pii-known")
+        fresh = best.where(F.col("score") >= promote).select("shape", "value", "kind").join(known, ["shape", "value"], "left_anti")
+        grown = materialize(known.unionByName(fresh), "pii-known")
+        before, n, done = n, grown.count(), done + 1
+        discard(known)
+        known = grown
+        if n == before:
+            break
     return score_patterns(known).where(F.col("score") >= confidence).select("kind", "shape", "pattern")
 
 

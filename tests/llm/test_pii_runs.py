@@ -51,3 +51,20 @@ def test_runs_on_noise():
             assert end <= s < e and sum(c.isdigit() for c in text[s:e]) >= 7, text
             assert not any(x < e and s < y for x, y in taken), text
             end = e
+
+
+def test_chain_of_contexts_beyond_three_rounds(spark):
+    """Each link's values stand in the context before and in the next one; only the first has seeds."""
+    links, rows = 7, []
+    for link in range(links + 1):
+        for i in range(20):
+            number = f"+1 (499) 555-{6000 + i}" if link == 0 else f"{link}71-555-{1000 + i}"
+            for k in (link - 1, link):
+                if k >= 0:
+                    rows.append((len(rows), f"see lead word{chr(97 + k)} {number} tail{chr(97 + k)} end", "en", "", 0, "", "", ""))
+    rows.append((900, f"see lead word{chr(97 + links)} 999 555 0000 tail{chr(97 + links)} end", "en", "", 0, "", "", ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    how = {"confidence": 0.4, "promote": 0.4}
+    more = pii.personal_data(docs, **how).where("doc_id = 900").first().more
+    assert [(s.kind, rows[-1][1][s.start : s.end]) for s in more] == [("phone", "999 555 0000")]
+    assert not pii.personal_data(docs, rounds=3, **how).where("doc_id = 900").first().more
