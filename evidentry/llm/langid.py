@@ -140,13 +140,21 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 
 
 def known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language the model can tell: those predicted ``und`` go."""
+    """The rows of ``docs``, with all their columns, whose language the model can tell: those predicted ``und`` go.
+
+    A model that knows no language can't tell any; then the rows whose text has a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col):
-            yield batch.filter(pa.array([shared.value.predict(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            if shared.value.languages:
+                keep = [shared.value.predict(t)[0] != UNKNOWN for t in texts]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
