@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as a column of ``docs`` has one of them."""
+    taken, out = {c.lower() for c in docs.columns}, list(names)
+    while any(n.lower() in taken for n in out):
+        out = [f"_{n}" for n in out]
+    return out
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces
+from evidentry.llm.columns import pieces, unused
 from evidentry.llm.components import component_roots
 from evidentry.session import materialize
 
@@ -31,23 +31,30 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 _BYTE = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of the text's word shingles, as a signed long; without words zero."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each of the text's word shingles, repeats included; of all words as one where they are fewer; without words none."""
     words = (text or "").encode().lower().split()
     if not words:
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have, as a signed long; of none zero."""
+    if not len(hashes):
         return 0
-    if len(words) < width:
-        shingles: Iterator[bytes] = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(width))))
-        n = len(words) - width + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
     seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256)
-    ones = (seen @ _BITS).ravel() * 2 > n
+    ones = (seen @ _BITS).ravel() * 2 > len(hashes)
     return int(np.packbits(ones, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of the text's word shingles, as a signed long; without words zero."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp): one row for each row of ``docs``."""
 
@@ -68,6 +75,11 @@ def block_masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
+def _apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
+    """How many bits differ; unsigned, as numpy counts the bits of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _walk(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that join the members as the graph of all pairs within the distance would."""
     links, rest = [], members
@@ -75,7 +87,7 @@ def _walk(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = _apart(rest, at) <= distance
             if near.any():
                 found = rest[near]
                 links += [(int(at), int(x)) for x in found]
@@ -112,7 +124,7 @@ def _bucket_links(distance: int, max_bucket: int):
             big = []
             two = starts[sizes == 2]
             a, b = rows[two, 2], rows[two + 1, 2]
-            near = np.bitwise_count(a ^ b) <= distance
+            near = _apart(a, b) <= distance
             links += list(zip(a[near].tolist(), b[near].tolist()))
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
                 if n > max_bucket:
@@ -209,13 +221,14 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     """One row of ``docs`` for each group_id of ``groups`` (doc_id, text_hash, group_id), with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
     found = materialize(groups, "near-duplicates")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.text_hash").alias("__kept_hash"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text_col) == F.col("__kept_hash"))
+    own_id, own_hash = unused(docs, "kept_id", "kept_hash")
+    kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias(own_id), F.col("k.text_hash").alias(own_hash))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
     out = docs.join(kept, same, "left_semi")
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if not repeats:
         return out
-    return out.withColumn("__kept_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__kept_hash"]).drop("__kept_hash")
+    return out.withColumn(own_hash, F.xxhash64(text_col)).dropDuplicates([id_col, own_hash]).drop(own_hash)
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

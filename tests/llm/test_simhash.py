@@ -78,6 +78,37 @@ def test_large_buckets_keep_every_link(spark):
         assert [roots.get(v, v) for v in values] == expected, limit
 
 
+def both_ways(spark, values):
+    """The components by small buckets and by the way of large ones."""
+    distinct = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    out = []
+    for limit in (20_000, 1):
+        roots = {r.node: r.root for r in component_roots(simhash.fingerprint_links(distinct, max_bucket=limit)).collect()}
+        out.append({v: roots.get(s, s) % (1 << 64) for v, s in ((v, v - (1 << 64) if v >> 63 else v) for v in values)})
+    return out
+
+
+def test_each_bit_counts_alike(spark):
+    """Pairs at 1 to 4 bits, each of the 64 bits flipped, are linked up to 3 and never at 4."""
+    rng = random.Random(5)
+    pairs, values = [], []
+    for bit in range(64):
+        for distance in (1, 2, 3, 4):
+            base = rng.getrandbits(64)
+            others = rng.sample([b for b in range(64) if b != bit], distance - 1)
+            pairs.append((base, base ^ sum(1 << b for b in [bit, *others]), distance))
+            values += pairs[-1][:2]
+    expected = slow_components([(v, v) for v in values])
+    for found in both_ways(spark, values):
+        assert all((found[a] == found[b]) == (d <= 3) for a, b, d in pairs)
+        assert len(set(found.values())) == len(set(expected))
+
+
+def test_values_that_share_half_their_bits_are_not_linked(spark):
+    for found in both_ways(spark, [0x00000000FFFFFFFF, 0xFFFFFFFFFFFFFFFF, 0x12345678, 0x8000000012345679]):
+        assert found[0x00000000FFFFFFFF] != found[0xFFFFFFFFFFFFFFFF] and found[0x12345678] == found[0x8000000012345679]
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     found = {r.node: r.root for r in component_roots(spark.createDataFrame(links, "a long, b long")).collect()}
