@@ -1,17 +1,20 @@
-"""Near copies by word shingles: MinHash bands for candidates, exact Jaccard similarity to verify.
+"""Near copies by word shingles: SimHash and MinHash candidates, exact Jaccard similarity to verify.
 
 A document is the set of its five-word shingles. Documents of equal sets meet in a grouped
-minimum. The others are dealt to ``BANDS`` buckets, each named by ``ROWS`` minima of the set,
-so that a pair of similarity s shares a bucket with probability 1 - (1 - s ** ROWS) ** BANDS:
-0.99995 at 0.8 and more above. Every candidate pair is verified on the sets themselves. First
-each bucket's members meet its smallest one, a pair a member; only members that the verified
-links leave in different components meet each other, so a bucket of copies costs no pairs.
+minimum. The first candidates are the links of :mod:`evidentry.llm.simhash`: fingerprints of
+the same shingles that differ in 3 bits or fewer, found by pigeonhole blocks. At a similarity
+of 0.8 fingerprints of 64 bits differ in about 10 bits, more than blocks can select by, so
+the rest comes from MinHash: sets are dealt to ``BANDS`` buckets, each named by ``ROWS``
+minima, and a pair of similarity s shares a bucket with probability 1 - (1 - s ** ROWS) **
+BANDS: 0.99995 at 0.8 and more above. Every candidate pair is verified on the sets
+themselves. First each bucket's members meet its smallest one, a pair a member; only members
+that the verified links leave in different components meet each other, so a bucket of copies
+costs no pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from evidentry.llm.columns import pieces
 from evidentry.llm.components import component_roots
-from evidentry.llm.simhash import SEED, one_of_each
+from evidentry.llm.simhash import SEED, fingerprint_links, majority, one_of_each, shingle_hashes
 from evidentry.session import materialize
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -34,12 +37,7 @@ _FOLD = _RANDOM.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) +
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct hashes of the text's word shingles; all its words as one where they are fewer; without words none."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    width = min(width, len(words))
-    found = map(b" ".join, zip(*(words[k:] for k in range(width))))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(words) - width + 1))
+    return np.unique(shingle_hashes(text, width))
 
 
 def bands(hashes: np.ndarray, step: int = 2048) -> np.ndarray:
@@ -67,15 +65,16 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, set_hash, n, buckets): one row for each row of ``docs``; n is the set's size."""
+    """(doc_id, text_hash, fp, set_hash, n, buckets): one row for each row of ``docs``; fp is the SimHash, n the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            sets = [shingles(x) for x in batch.column(1).to_pylist()]
-            columns = [batch.column(0), batch.column(2), _names(sets), pa.array(list(map(len, sets)), pa.int32()), _lists([bands(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set_hash", "n", "buckets"])
+            hashes = [shingle_hashes(x, WIDTH) for x in batch.column(1).to_pylist()]
+            sets = list(map(np.unique, hashes))
+            columns = [pa.array(list(map(majority, hashes)), pa.int64()), _names(sets), pa.array(list(map(len, sets)), pa.int32()), _lists([bands(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_hash", "fp", "set_hash", "n", "buckets"])
 
-    return _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, set_hash long, n int, buckets array<long>")
+    return _plain(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, fp long, set_hash long, n int, buckets array<long>")
 
 
 def shingle_sets(plain: DataFrame) -> DataFrame:
@@ -98,6 +97,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.withColumn("shared", shared).where(F.col("shared") >= F.lit(similarity) * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
+def fingerprint_pairs(found: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of set hashes: sets of one SimHash with its smallest, and the smallest of linked ones."""
+    sets = found.select("fp", "set_hash").distinct()
+    firsts = materialize(sets.groupBy("fp").agg(F.min("set_hash").alias("first")), "distinct-fingerprints")
+    alike = sets.join(firsts, "fp").where("first <> set_hash").select(F.col("first").alias("a"), F.col("set_hash").alias("b"))
+    links = fingerprint_links(firsts.select("fp"))
+    x, y = (firsts.select(F.col("fp").alias(n), F.col("first").alias(f"set_{n}")) for n in "ab")
+    linked = links.join(x, "a").join(y, "b").select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b"))
+    return alike.union(linked).distinct()
+
+
 def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between set hashes whose components are those of all candidate pairs as similar as that.
 
@@ -107,12 +117,13 @@ def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY
     dealt = found.select("set_hash", "n", F.explode("buckets").alias("bucket")).distinct()
     shared = dealt.groupBy("bucket").agg(F.min("set_hash").alias("first"), F.count("*").alias("members")).where("members > 1").select("bucket", "first")
     members = materialize(dealt.join(shared, "bucket"), "band-members")
-    named = members.select("set_hash").distinct()
+    near = materialize(fingerprint_pairs(found), "fingerprint-pairs")
+    named = members.select("set_hash").union(near.select("a")).union(near.select("b")).distinct()
     chosen = found.join(named, "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     chosen = materialize(chosen.select(F.col("k.doc_id").alias("of_id"), F.col("k.text_hash").alias("of_hash")), "band-texts")
     texts = plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     sets = materialize(shingle_sets(texts).groupBy("set_hash").agg(F.any_value("shingles").alias("shingles")), "band-sets")
-    to_first = members.where("set_hash <> first").select(F.col("first").alias("a"), F.col("set_hash").alias("b")).distinct()
+    to_first = materialize(members.where("set_hash <> first").select(F.col("first").alias("a"), F.col("set_hash").alias("b")).union(near).distinct(), "first-pairs")
     links = materialize(_verified(to_first, sets, similarity), "first-links")
     roots = component_roots(links)
     labelled = members.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("bucket", "set_hash", "n", F.coalesce("root", "set_hash").alias("root"))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from evidentry.llm import pii
-from tests.llm import test_decontam, test_packing, test_simhash
+from tests.llm import test_decontam, test_minhash, test_packing
 from tests.llm.samples import empty, frame, rows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -11,13 +11,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def plain(spark, docs, sf_dir):
     """The stages re-stated one document at a time: (doc_id, text) before packing."""
     kept = [(d, t) for d, t in docs if any(c.isalpha() for c in t or "")]
-    fps = [(d, test_simhash.slow_fingerprint(t)) for d, t in kept]
-    names = test_simhash.slow_components(fps)
-    seen, one = set(), []
-    for (d, t), c in sorted(zip(kept, names), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
-        if d == c and c not in seen:
-            seen.add(c)
-            one.append((d, t))
+    stays = set(test_minhash.slow_kept(kept))
+    one = [(d, t) for d, t in kept if d in stays]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hit = {d for d, _, h, _ in test_decontam.slow(one, items) if h}
     out = []
