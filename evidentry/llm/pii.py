@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces
+from evidentry.llm.columns import pieces, unused
 from evidentry.session import discard, materialize
 
 _LOG = logging.getLogger(__name__)
@@ -32,11 +32,12 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_MARK = re.compile(r"[0-9@]")
+_REST = re.compile(r"\S*")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>*%$#&"
 _EDGE = frozenset(_TRIM + "+-") - frozenset(" \t\r\n")
 _JOIN = " .()-"
-_WORD = re.compile(r"\S+")
+_REACH = 240
 
 
 def _luhn(digits: str) -> bool:
@@ -105,12 +106,12 @@ def _number_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
             continue
         while i < len(taken) and taken[i][1] <= low:
             i += 1
-        k, parts = i, []
+        k, parts, floor = i, [], taken[i - 1][1] if i else 0
         while k < len(taken) and taken[k][0] < high:
-            parts.append((low, taken[k][0]))
-            low = max(low, taken[k][1])
+            parts.append((floor, low, taken[k][0]))
+            low = floor = max(low, taken[k][1])
             k += 1
-        for start, end in [*parts, (low, high)]:
+        for floor, start, end in [*parts, (floor, low, high)]:
             while start < end and not text[start].isdigit():
                 start += 1
             while end > start and not text[end - 1].isdigit():
@@ -132,7 +133,6 @@ def _number_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
                 end -= 1
             if sum(c.isdigit() for c in text[start:end]) < 7:
                 continue
-            floor = max((e for _, e in taken[i:k]), default=0)
             inside = text[start:end]
             if start > floor and text[start - 1] == "(" and inside.count(")") > inside.count("("):
                 start -= 1
@@ -142,17 +142,40 @@ def _number_runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
-def _context(text: str, start: int, end: int, reach: int = 80) -> list[str]:
-    """Lexical patterns around a span: the two words before, and one word on either side; words with digits read as one."""
-    lead = _WORD.findall(text[max(0, start - reach) : start].lower())
-    tail = _WORD.findall(text[end : end + reach].lower())
-    lead = ["#" if re.search("[0-9@]", w) else w.strip(_TRIM) or w for w in lead[-2:]]
-    tail = ["#" if re.search("[0-9@]", w) else w.strip(_TRIM) or w for w in tail[:1]]
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each run without blanks that has a digit or an at sign, in time that is linear in the text."""
+    end = 0
+    while m := _MARK.search(text, end):
+        start = m.start()
+        while start > end and not text[start - 1].isspace():
+            start -= 1
+        end = _REST.match(text, m.end()).end()
+        yield start, end
+
+
+def _read(word: str) -> str:
+    return "#" if _MARK.search(word) else word.strip(_TRIM) or word
+
+
+def _context(text: str, start: int, end: int, reach: int = _REACH) -> list[str]:
+    """Lexical patterns around a span: the two words before, and one word on either side; words with digits read as one.
+
+    Words are looked for within ``reach`` characters; one that goes on beyond them reads as "~",
+    so that no pattern is made of a part of a word.
+    """
+    low, high = max(0, start - reach), min(len(text), end + reach)
+    lead = text[low:start].lower().split()
+    if lead and low and not text[low - 1].isspace() and not text[low].isspace():
+        lead[0] = "~"
+    tail = text[end:high].lower().split(None, 1)[:1]
+    if tail and high < len(text) and not text[high].isspace() and not any(map(str.isspace, text[high - len(tail[0]) - 1 : high])):
+        tail[0] = "~"
+    lead, tail = list(map(_read, lead[-2:])), list(map(_read, tail))
     out = []
     if len(lead) == 2:
         out.append(f"{lead[0]} {lead[1]} _")
     if lead and tail:
-        out.append(f"{lead[1] if len(lead) == 2 else lead[0]} _ {tail[0]}")
+        out.append(f"{lead[-1]} _ {tail[0]}")
     return out
 
 
@@ -171,19 +194,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         runs = _number_runs(text, taken)
         out += [{"kind": None, "shape": "number", "value": text[s:e].lower(), "start": s, "end": e, "patterns": _context(text, s, e)} for s, e in runs]
         i = j = 0
-        for m in _TOKEN.finditer(text):
-            raw = m.group()
+        for low, high in _tokens(text):
+            raw = text[low:high]
             value = raw.strip(_TRIM)
             shape = _shape(value)
             if shape is None:
                 continue
-            start = m.start() + raw.index(value)
+            start = low + len(raw) - len(raw.lstrip(_TRIM))
             end = start + len(value)
             while i < len(taken) and taken[i][1] <= start:
                 i += 1
             while j < len(runs) and runs[j][1] <= start:
                 j += 1
-            if shape == "number" and j < len(runs) and m.start() <= runs[j][0] <= start and end <= runs[j][1] <= m.end():
+            if shape == "number" and j < len(runs) and low <= runs[j][0] <= start and end <= runs[j][1] <= high:
                 continue  # the run is this token
             if not any(s < end and start < e for s, e in taken[i : i + 4]):
                 out.append({"kind": None, "shape": shape, "value": value.lower(), "start": start, "end": end, "patterns": _context(text, start, end)})
@@ -270,12 +293,14 @@ def joined(spans: Column) -> Column:
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrap) -> DataFrame:
     """``docs`` with every span, base and discovered, replaced by its kind in angle brackets; of overlapping spans the first one's.
 
-    All columns stay; a null text stays null. Spans are joined to their texts on the id and the
+    All columns stay, whatever their names; a null text stays null. Spans are joined to their texts on the id and the
     text's hash, so repeated ids with different texts keep their own spans.
     """
-    spans = personal_data(docs, id_col, text_col, **bootstrap).select(F.col("doc_id").alias("__pii_id"), F.col("text_hash").alias("__pii_hash"), F.concat("base", "more").alias("__pii_spans"))
-    spans = spans.where(F.size("__pii_spans") > 0).dropDuplicates(["__pii_id", "__pii_hash"])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__pii_id")) & F.xxhash64(text_col).eqNullSafe(F.col("__pii_hash"))
+    own_id, own_hash, own_spans = unused(docs, "pii_id", "pii_hash", "pii_spans")
+    found = personal_data(docs, id_col, text_col, **bootstrap).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.concat("base", "more").alias(own_spans))
+    # A table of its own, so that the planner sees how small it is beside the texts.
+    spans = materialize(found.where(F.size(own_spans) > 0).dropDuplicates([own_id, own_hash]), "pii-spans")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & F.xxhash64(text_col).eqNullSafe(F.col(own_hash))
     at = docs.columns.index(text_col)
 
     def cover(text: str | None, spans: list | None) -> str | None:
@@ -294,4 +319,4 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
             columns = [c if i != at else pa.array(texts, c.type) for i, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return docs.join(spans, same, "left").drop("__pii_id", "__pii_hash").mapInArrow(run, docs.schema)
+    return docs.join(spans, same, "left").drop(own_id, own_hash).mapInArrow(run, docs.schema)
