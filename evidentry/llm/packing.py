@@ -30,11 +30,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     """One row a piece: where it starts in its document's ids, its length and checksum, the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path).encode, np.array([end_id], "<u4").tobytes()
+        coder, end = tokenizer(path, end_id), np.array([end_id], "<u4").tobytes()
         for batch in bounded(batches, limit=1 << 20):
             doc, no, start, size, crc, kept = [], [], [], [], [], []
-            for d, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
-                ids += end
+            for d, found in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.frombuffer(found, coder.wide).astype("<u4").tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     doc.append(d), no.append(k), start.append(at // 4), size.append(len(part) // 4), crc.append(zlib.crc32(part))
@@ -112,5 +112,6 @@ def pack(
         first = group["packing_group"][0].as_py() << 32
         return group.drop_columns("packing_group").append_column("sequence_id", pa.array(first + number)).append_column("offset", pa.array(offset))
 
-    dealt = rows.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    # The row's number in the written table keeps repeated rows from being one group.
+    dealt = rows.withColumn("packing_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     return dealt.groupBy("packing_group").applyInArrow(run, PIECES + ", ids binary" * keep_ids + ", sequence_id long, offset long")

@@ -7,12 +7,13 @@ whole documents in ascending doc_id order, ``block_tokens`` ids or a single long
 Its frame is:
 
     magic 4 bytes | version u16 | lanes u16 | n_tokens u64 | n_words u64
-    crc32 of the ids (as u32) u32 | crc32 of states and words u32
-    checkpoint: one u64 state a lane | words: u32 each
+    steps between checkpoints u32 | crc32 of all that follows u32
+    checkpoints: for each, first word u64 | crc32 of the segment's ids (as u32) u64 | one u64 state a lane
+    words: u32 each
 
 Ids go round-robin to the lanes; the lanes share one stream of words, which each step reads
-in lane order. The states are the block's checkpoint, so each block is decoded by itself,
-from any task. Both checksums are tested on reading.
+in lane order. A checkpoint has all that a decoder needs to start there, so the segments
+between checkpoints are decoded in any order, by any task, each against its own checksum.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from evidentry.session import discard, materialize
 
 SCALE_BITS, LOW = 18, 1 << 31
 HEAD = struct.Struct("<4sHHQQII")
-MAGIC, VERSION = b"EVTK", 1
+MAGIC, VERSION = b"EVTK", 2
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -67,32 +67,47 @@ class Coder:
         self.start = np.r_[0, np.cumsum(frequencies)[:-1]].astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(frequencies), dtype=np.uint32), frequencies)
 
-    def encode(self, ids: np.ndarray, lanes: int) -> bytes:
+    def encode(self, ids: np.ndarray, lanes: int, every: int = 1 << 10) -> bytes:
+        """The frame of a block, with a checkpoint each ``every`` steps of ``lanes`` ids."""
         n, bits = len(ids), np.uint64(self.bits)
-        steps = math.ceil(n / lanes)
-        states, words = np.full(lanes, LOW, np.uint64), []
+        lanes = max(1, min(lanes, n))
+        states, words, written, points = np.full(lanes, LOW, np.uint64), [], 0, []
         freq, start = self.freq[ids], self.start[ids]
         top = freq << np.uint64(63 - self.bits)
-        for s in range(steps - 1, -1, -1):
+        for s in range(math.ceil(n / lanes) - 1, -1, -1):
             lo, hi = s * lanes, min(n, (s + 1) * lanes)
             x, f = states[: hi - lo], freq[lo:hi]
             full = x >= top[lo:hi]
-            if full.any():
-                words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+            k = int(np.count_nonzero(full))
+            if k:
+                words.append(x[full].astype("<u4"))  # the low half
+                written += k
                 x = np.where(full, x >> np.uint64(32), x)
             q = x // f
             states[: hi - lo] = (q << bits) + (x - q * f) + start[lo:hi]
-        body = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
-        data = states.astype("<u8").tobytes() + body.tobytes()
-        return HEAD.pack(MAGIC, VERSION, lanes, n, len(body), zlib.crc32(ids.astype("<u4")), zlib.crc32(data)) + data
-
-    def decode(self, frame: bytes) -> np.ndarray:
-        magic, version, lanes, n, n_words, ids_crc, data_crc = HEAD.unpack_from(frame)
-        if (magic, version) != (MAGIC, VERSION) or zlib.crc32(memoryview(frame)[HEAD.size :]) != data_crc:
+            if s % every == 0:
+                crc = zlib.crc32(ids[lo : lo + every * lanes].astype("<u4"))
+                points.append((written, crc, states.astype("<u8").tobytes()))
+        marks = b"".join(struct.pack("<QQ", written - w, crc) + x for w, crc, x in reversed(points))
+        data = marks + b"".join(w.tobytes() for w in reversed(words))
+        return HEAD.pack(MAGIC, VERSION, lanes, n, written, every, zlib.crc32(data)) + data
+
+    def segments(self, frame: bytes, which: list[int] | None = None) -> Iterator[np.ndarray]:
+        """The ids of each segment, or of those in ``which``, each decoded from its own checkpoint."""
+        magic, version, lanes, n, n_words, every, crc = HEAD.unpack_from(frame)
+        if (magic, version) != (MAGIC, VERSION) or zlib.crc32(memoryview(frame)[HEAD.size :]) != crc:
             raise ValueError("a token block's head or checksum is wrong")
-        states = np.frombuffer(frame, "<u8", lanes, HEAD.size).copy()
-        words = np.frombuffer(frame, "<u4", n_words, HEAD.size + 8 * lanes).astype(np.uint64)
-        out, at = np.empty(n, "<u4"), 0
+        count = math.ceil(n / (lanes * every))
+        point = np.dtype([("word", "<u8"), ("crc", "<u8"), ("states", "<u8", (lanes,))])
+        points = np.frombuffer(frame, point, count, HEAD.size)
+        words = np.frombuffer(frame, "<u4", n_words, HEAD.size + count * point.itemsize)
+        for k in range(count) if which is None else which:
+            end = int(points["word"][k + 1]) if k + 1 < count else n_words
+            own = words[int(points["word"][k]) : end].astype(np.uint64)
+            yield self._decode(points["states"][k].copy(), own, min(n - k * lanes * every, lanes * every), int(points["crc"][k]))
+
+    def _decode(self, states: np.ndarray, words: np.ndarray, n: int, crc: int) -> np.ndarray:
+        out, at, lanes = np.empty(n, "<u4"), 0, len(states)
         mask, bits, low = np.uint64((1 << self.bits) - 1), np.uint64(self.bits), np.uint64(LOW)
         for lo in range(0, n, lanes):
             x = states[: min(lanes, n - lo)]
@@ -100,52 +115,53 @@ class Coder:
             ids = self.symbol[slot]
             out[lo : lo + len(x)] = ids
             x = self.freq[ids] * (x >> bits) + slot - self.start[ids]
-            short = x < low
-            k = int(np.count_nonzero(short))
-            if k:
-                x[short] = (x[short] << np.uint64(32)) | words[at : at + k]
-                at += k
+            short = np.flatnonzero(x < low)
+            if len(short):
+                x[short] = (x[short] << np.uint64(32)) | words[at : at + len(short)]
+                at += len(short)
             states[: len(x)] = x
-        if at != n_words or zlib.crc32(out) != ids_crc:
+        if at != len(words) or zlib.crc32(out) != crc:
             raise ValueError("a token block's ids don't match their checksum")
         return out
 
+    def decode(self, frame: bytes) -> np.ndarray:
+        """All ids of a block."""
+        return np.concatenate([np.zeros(0, "<u4"), *self.segments(frame)])
+
 
 def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): each document's ids with the end id, as unsigned 16-bit numbers where they fit, else 32."""
-    from tokenizers import Tokenizer
+    """(doc_id, n_tokens, ids, counts): each document's ids with the end id, two bytes each where the vocabulary allows, else four.
 
-    wide = "<u4" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) > 65536 else "<u2"
+    The last row of each task has ``counts`` instead: how often it met each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path).encode, np.array([end_id], "<u4").tobytes()
+        coder = tokenizer(path, end_id)
+        end, width = np.array([end_id], coder.wide), np.dtype(coder.wide).itemsize
+        total, names = np.zeros(coder.vocabulary, np.int64), ["doc_id", "n_tokens", "ids", "counts"]
         for batch in pieces(batches, limit=1 << 20):
-            ids = [x + end for x in encode([t or "" for t in batch.column(1).to_pylist()])]
-            kept = [np.frombuffer(x, "<u4").astype(wide).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = [x + end.tobytes() for x in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            total += np.bincount(np.frombuffer(b"".join(ids), coder.wide), minlength=coder.vocabulary)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids binary, counts binary")
 
 
-def symbol_counts(ids: DataFrame, vocabulary: int) -> DataFrame:
+def symbol_counts(ids: DataFrame) -> DataFrame:
     """(symbol, n) over all ids; each task sends its own sums once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_flat(batch, 1, 0), minlength=vocabulary)
+            for raw in batch.column(0).to_pylist():
+                total = total + np.frombuffer(raw, np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["symbol", "n"])
 
-    return ids.select("n_tokens", "ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-
-
-def _flat(batch: pa.RecordBatch, ids: int, sizes: int) -> np.ndarray:
-    raw = b"".join(batch.column(ids).to_pylist())
-    n = int(pc.sum(batch.column(sizes)).as_py() or 0)
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+    return ids.where("counts IS NOT NULL").select("counts").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "shard int, block long, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, frame binary"
@@ -160,8 +176,8 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     shards: int | None = None,
-    lanes: int = 1024,
-    block_tokens: int = 1 << 18,
+    lanes: int = 4096,
+    block_tokens: int = 1 << 20,
 ) -> None:
     """Encodes every whole text and writes the folder described above.
 
@@ -172,15 +188,12 @@ def write_token_files(
     """
     spark = docs.sparkSession
     path = tokenizer_path or default_path("byte_bpe_50k.json")
-    from tokenizers import Tokenizer
-
-    vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     ids = materialize(encoded(docs, path, end_id, id_col, text_col), "token-ids")
-    counts = np.zeros(vocabulary, np.int64)
-    for symbol, n in symbol_counts(ids, vocabulary).collect():
-        counts[symbol] = n
+    found = sorted(map(tuple, symbol_counts(ids).collect()))  # at most the vocabulary
+    counts = np.zeros(found[-1][0] + 1 if found else 0, np.int64)
+    counts[[symbol for symbol, _ in found]] = [n for _, n in found]
     frequencies = scaled(counts)
-    rows = [(int(i), int(counts[i]), int(frequencies[i])) for i in np.flatnonzero(counts)]
+    rows = [(symbol, n, int(frequencies[symbol])) for symbol, n in found]
     spark.createDataFrame(rows, "symbol int, n long, frequency int").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(frequencies)
 
@@ -195,7 +208,7 @@ def write_token_files(
         def close() -> pa.RecordBatch:
             nonlocal first, number
             raw, n = b"".join(held), sum(sizes)
-            frame = coder.encode(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"), lanes)
+            frame = coder.encode(np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4"), lanes, max(1, block_tokens // lanes))
             row = [[shard], [number], [first], [n], [list(names)], [list(sizes)], [frame]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             first, number = first + n, number + 1
@@ -214,7 +227,10 @@ def write_token_files(
             yield close()
 
     n_shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.repartitionByRange(n_shards, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    # The row's number keeps many rows of one doc_id from being one range.
+    keys = ["doc_id", "n_tokens", "hash", "row"]
+    numbered = ids.where("n_tokens IS NOT NULL").select("doc_id", "n_tokens", "ids", F.xxhash64("ids").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = numbered.repartitionByRange(n_shards, *keys).sortWithinPartitions(*keys).select("doc_id", "n_tokens", "ids")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     discard(ids)
 
@@ -236,11 +252,19 @@ def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = True) ->
         coder = Coder(shared.value)
         for batch in batches:
             for shard, first, docs, sizes, frame in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = coder.decode(frame)
-                ends = np.cumsum(sizes)
-                parts = [ids[e - s : e] for s, e in zip(sizes, ends)]
-                columns = [pa.array(docs, pa.int64()), pa.array([shard] * len(docs), pa.int32()), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([p.tobytes() for p in parts], pa.binary())] * keep_ids, [c.split(" ")[0] for c in schema.split(", ")])
+                ends, crcs, kept = np.cumsum(sizes), np.zeros(len(sizes), np.int64), [[] for _ in sizes]
+                i, at = 0, 0
+                for ids in coder.segments(frame):  # of a long document one segment at a time is held
+                    done = 0
+                    while done < len(ids):
+                        part = ids[done : done + int(ends[i]) - at]
+                        crcs[i] = zlib.crc32(part, int(crcs[i]))
+                        if keep_ids:
+                            kept[i].append(part.tobytes())
+                        done, at = done + len(part), at + len(part)
+                        i += at == ends[i]
+                columns = [pa.array(docs, pa.int64()), pa.array([shard] * len(docs), pa.int32()), pa.array(first + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs)]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([b"".join(k) for k in kept], pa.binary())] * keep_ids, [c.split(" ")[0] for c in schema.split(", ")])
 
     read = blocks.select("shard", "first_token", "doc_ids", "doc_tokens", "frame").mapInArrow(run, schema)
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()  # one row a shard

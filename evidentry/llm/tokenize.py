@@ -13,7 +13,8 @@ import json
 import os
 import re
 import struct
-from itertools import islice
+from itertools import compress, count, islice, repeat
+from operator import is_
 
 import regex
 
@@ -34,12 +35,17 @@ def default_path(name: str) -> str:
 
 
 class CachedTokenizer:
-    """Encodes texts to little-endian unsigned 32-bit ids; ``limit`` words, some 250 MB, are kept at most between batches."""
+    """Encodes texts to little-endian ids; ``limit`` words, some 120 MB, are kept at most between batches.
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    An id takes two bytes (``wide``) where the vocabulary and ``end_id`` allow it, else four.
+    """
+
+    def __init__(self, path: str, end_id: int = 0, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = max(self.tokenizer.get_vocab_size(), end_id + 1)
+        self.wide = "<u4" if self.vocabulary > 65536 else "<u2"
         self.cache: dict[str, bytes] = {}
         self.limit = limit
         with open(path, encoding="utf-8") as f:
@@ -52,9 +58,9 @@ class CachedTokenizer:
             self.kind, self.words = "bytes", regex.compile(BYTE_LEVEL)
         elif json.dumps(WORD_LEVEL) in text and '"Lowercase"' in text and '"Removed"' in text:
             self.kind, self.words = "words", regex.compile(WORD_LEVEL)
-
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        form = "H" if self.wide == "<u2" else "I"
+        return [struct.pack(f"<{len(e.ids)}{form}", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _cut(self, text: str) -> list[str] | None:
         if not self.kind or any(s in text for s in self.special):
@@ -67,30 +73,56 @@ class CachedTokenizer:
             return self.words.findall(text)
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
+    def _learn(self, words: set[str]) -> None:
+        """Adds the words' ids to the cache. Letters, and letters before one other mark, are cut without the regex."""
+        known = self.cache
+        low = {w: w.lower() for w in words} if self.kind == "words" else dict(zip(words, words))
+        body = {w: (x[1:] if x[:1] == " " else x) for w, x in low.items()}
+        whole = [w for w, x in body.items() if x.isalpha()]
+        marked = [w for w, x in body.items() if x[:-1].isalpha() and not x[-1].isalnum() and not x[-1].isspace()]
+        parts = {w: (low[w][:-1], low[w][-1]) for w in marked}
+        parts |= {w: self.words.findall(low[w]) for w in words.difference(whole, parts)}
+        new = list({low[w] for w in whole}.union(*parts.values()).difference(known))
+        known.update(zip(new, self._direct(new) if new else []))
+        if self.kind == "words":
+            known.update({w: known[low[w]] for w in whole})
+        known.update({w: b"".join(map(known.__getitem__, ps)) for w, ps in parts.items()})
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self._cut(t) for t in texts]
+        """Each text's ids; equal texts are encoded once."""
         if len(self.cache) > self.limit:  # the words met first are the frequent ones
             self.cache = dict(islice(self.cache.items(), self.limit // 2))
-        known, parts = self.cache, {}
-        for word in set().union(*(c for c in cuts if c is not None)).difference(known):
-            parts[word] = self.words.findall(word if self.kind == "bytes" else word.lower())
-        new = list({p for ps in parts.values() for p in ps}.difference(known))
+        get, distinct = self.cache.get, list(dict.fromkeys(texts))
+        out: dict[str, bytes] = {}
+        whole, waiting, new = [], [], set()
+        for text in distinct:
+            words = self._cut(text)
+            if words is None:
+                whole.append(text)
+                continue
+            ids = list(map(get, words))
+            if None in ids:
+                gaps = list(compress(count(), map(is_, ids, repeat(None))))
+                new.update(map(words.__getitem__, gaps))
+                waiting.append((text, words, ids, gaps))
+            else:
+                out[text] = b"".join(ids)
         if new:
-            known.update(zip(new, self._direct(new)))
-        for word, ps in parts.items():
-            known[word] = known[ps[0]] if len(ps) == 1 else b"".join(known[p] for p in ps)
-        out = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cuts]
-        rest = [i for i, c in enumerate(cuts) if c is None]
-        for i, ids in zip(rest, self._direct([texts[i] for i in rest]) if rest else []):
-            out[i] = ids
-        return out
+            self._learn(new)
+        for text, words, ids, gaps in waiting:
+            for k in gaps:
+                ids[k] = self.cache[words[k]]
+            out[text] = b"".join(ids)
+        out.update(zip(whole, self._direct(whole) if whole else []))
+        return [out[t] for t in texts]
 
 
-_loaded: dict[str, CachedTokenizer] = {}
+_loaded: dict[tuple[str, int], CachedTokenizer] = {}
 
 
-def tokenizer(path: str) -> CachedTokenizer:
-    """One for each path and Python worker, so that its cache outlives a task."""
-    if path not in _loaded:
-        _loaded[path] = CachedTokenizer(path)
-    return _loaded[path]
+def tokenizer(path: str, end_id: int = 0) -> CachedTokenizer:
+    """The last one used is kept in each Python worker, so that its cache outlives a task."""
+    if (path, end_id) not in _loaded:
+        _loaded.clear()
+        _loaded[path, end_id] = CachedTokenizer(path, end_id)
+    return _loaded[path, end_id]

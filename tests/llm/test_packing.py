@@ -14,12 +14,26 @@ from tests.llm.samples import empty, frame, rows
 TEXTS = ["", "  a  b\n\n c ", "x\ty <|endoftext|> z", "IT'S İstanbul ΣΑΣ don't", "á é b 12345 $$$!!\n", "日本語 テスト", " lead", "trail \n", "a'll we'RE\x1cb", "one,two...three!!  four"]
 
 
+def test_an_end_id_beyond_two_bytes_widens_the_ids():
+    narrow, wide = (CachedTokenizer(default_path("byte_bpe_50k.json"), end) for end in (2, 70_000))
+    assert (narrow.wide, wide.wide) == ("<u2", "<u4")
+    texts = ["plain words.", "plain words.", "日本語"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in narrow.encode(texts)] == [np.frombuffer(x, "<u4").tolist() for x in wide.encode(texts)]
+
+
+def test_copies_of_one_row_are_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(7, "the same row")] * 300, "doc_id long, text string")
+    found = packing.pack(docs, group_size=50).collect()
+    assert len(found) == 300 and len({r.sequence_id >> 32 for r in found}) > 3
+    check_packing(found, [(7, "the same row")] * 300)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_word_cache_is_exact(name):
     cached = CachedTokenizer(default_path(name), limit=50)
     texts = TEXTS + [r[1] or "" for r in rows()]
     for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in cached.encode(texts)]
+        got = [np.frombuffer(x, cached.wide).tolist() for x in cached.encode(texts)]
         assert got == [e.ids for e in cached.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

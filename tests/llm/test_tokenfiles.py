@@ -24,6 +24,32 @@ def test_coder_round_trips():
     assert one.decode(one.encode(np.ones(50, np.int64), 4)).tolist() == [1] * 50
 
 
+def test_segments_are_decoded_from_their_checkpoints_in_any_order():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 900, 10_001)
+    coder = tokenfiles.Coder(tokenfiles.scaled(np.bincount(ids)))
+    for lanes, every in ((16, 10), (64, 1), (1, 700), (4096, 2)):
+        raw = coder.encode(ids, lanes, every)
+        size = lanes * every
+        count = -(-len(ids) // size)
+        for k in reversed(range(count)):
+            assert next(coder.segments(raw, [k])).tolist() == ids[k * size : (k + 1) * size].tolist()
+        assert coder.decode(raw).tolist() == ids.tolist()
+    assert coder.encode(ids, 16, 10) != coder.encode(ids, 16, 20)
+
+
+def test_a_document_of_many_segments(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta."], 30_000))
+    texts = [(1, "short"), (2, long), (2, long), (3, None)]
+    folder = scratch_path(spark, "t")
+    tokenfiles.write_token_files(spark.createDataFrame(texts, "doc_id long, text string"), folder, shards=2, lanes=32, block_tokens=1000)
+    for keep in (True, False):
+        found = tokenfiles.read_token_files(spark, folder, keep_ids=keep).collect()
+        assert sorted(tuple(r)[:4] for r in found) == expected(texts)
+    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in tokenfiles.read_token_files(spark, folder).collect())
+
+
 def test_scaled_keeps_every_symbol():
     counts = np.r_[np.ones(50_000, np.int64), 10**12, 0]
     found = tokenfiles.scaled(counts)
