@@ -6,21 +6,25 @@ must be contained whole, its necessary prefix is its rarest shingle. Documents j
 windows on that shingle; positional and length bounds drop windows that would not fit, and
 the words themselves are compared last.
 
-The benchmark is dealt into blocks of at most ``block_bytes`` of text. Only a block's words
-and shingles are broadcast, so what is broadcast is bounded whatever the benchmark's size; a
-larger benchmark takes more blocks, each over all documents.
+Windows and prefixes are tables made in tasks. Workers need a benchmark's words and shingle
+numbers to know which of a document's shingles matter: those are broadcast, for blocks of
+items of about ``block_bytes`` of text at a time (a hash deals items to blocks), so that a
+broadcast stays within a few times that size; a larger benchmark takes more blocks, each over
+all documents.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces
+from evidentry.llm.columns import pieces, unused
 from evidentry.session import materialize
 
 WIDTH = 3
@@ -46,63 +50,63 @@ def _codes(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _number(word: bytes) -> int:
+    """A word's number, never 0."""
+    return (xxhash.xxh64_intdigest(word) >> 1) or 1
+
+
 class _Known:
-    """A benchmark block's words, numbered from 1; 0 is any other word."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        self.number: dict[bytes, int] = {}
-        self.windows: list[tuple[int, int, list[bytes], np.ndarray]] = []
-        for item, text in items:
-            words = words_of(text)
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1 if words else 0):
-                self.windows.append((item, size, words[at : at + size], ids[at : at + size]))
-        self.widths = sorted({min(WIDTH, w[1]) for w in self.windows})
-        self.codes = np.unique(np.concatenate([_codes(w[3], min(WIDTH, w[1])) for w in self.windows])) if self.windows else np.zeros(0, np.int64)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words], np.int64)
+    """What a worker has to know of a benchmark block: its words' numbers, the widths of its shingles, and the sorted shingles that matter."""
 
-    def shingles(self, words: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and numbers of the document's shingles that are among the sorted ``codes``."""
-        ids = self.ids(words)
-        places, found = [], []
-        for width in self.widths:
+    def __init__(self, words: list[bytes], widths: list[int], codes: np.ndarray):
+        self.number = {w: _number(w) for w in words}
+        self.widths, self.codes = widths, codes
+
+    def shingles(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and numbers of a document's shingles that matter."""
+        get = self.number.get
+        ids = np.array([get(w, 0) for w in words], np.int64)
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for width in self.widths if len(self.codes) else ():
             n = len(ids) - width + 1
-            if n <= 0 or not len(codes):
+            if n <= 0:
                 continue
-            full = ids[:n] > 0
+            full = ids[:n] != 0
             for k in range(1, width):
-                full &= ids[k : k + n] > 0
+                full &= ids[k : k + n] != 0
             at = np.flatnonzero(full)
             if not len(at):
                 continue
             code = _codes(ids, width)[at]
-            spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-            hit = codes[spot] == code
+            spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            hit = self.codes[spot] == code
             places.append(at[hit]), found.append(code[hit])
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate(places), np.concatenate(found)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded text, of which the driver holds two at most; an empty benchmark is one empty block."""
-    block: list[tuple[int, str]] = []
-    held = 0
-    for item, text in benchmark.where("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
-        if held and held + len(text) > block_bytes:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += len(text)
-    yield block
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, size, words, codes): each distinct window of each item, with its shingles' numbers in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            out: list[list] = [[], [], [], []]
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                ids = np.array([_number(w) for w in words], np.int64)
+                size = min(window, len(words))
+                width = min(WIDTH, size)
+                codes = _codes(ids, width) if words else ids
+                for at in range(len(words) - size + 1 if words else 0):
+                    for c, v in zip(out, (item, size, b" ".join(words[at : at + size]).decode(), codes[at : at + size - width + 1])):
+                        c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["item_id", "size", "words", "codes"])
 
+    return items.select("item_id", "text").mapInArrow(run, "item_id long, size long, words string, codes array<long>").distinct()
 
-def _rarity(texts: DataFrame, known: _Known) -> dict[int, int]:
-    """How often each of the block's shingles occurs in all documents."""
+
+def _rarity(texts: DataFrame, known: _Known) -> DataFrame:
+    """(code, n): how often each shingle that matters occurs in all documents; those that never do are absent."""
     shared = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,24 +114,25 @@ def _rarity(texts: DataFrame, known: _Known) -> dict[int, int]:
         total = np.zeros(len(known.codes), np.int64)
         for batch in pieces(batches):
             for text in batch.column(0).to_pylist():
-                _, codes = known.shingles(words_of(text), known.codes)
+                _, codes = known.shingles(words_of(text))
                 np.add.at(total, np.searchsorted(known.codes, codes), 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known.codes[found]), pa.array(total[found])], ["code", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return dict(tuple(r) for r in counts.collect())  # at most the block's shingles
+    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _prefixes(windows: DataFrame, rarity: DataFrame) -> DataFrame:
+    """(code, item_id, offset, size, words): each window under its rarest shingle; windows with a shingle that occurs nowhere are out."""
+    shingles = windows.select("item_id", "size", "words", F.posexplode("codes").alias("offset", "code"))
+    counted = shingles.join(rarity, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = counted.groupBy("item_id", "size", "words").agg(F.min(F.struct("n", "offset", "code")).alias("k")).where("k.n > 0")
+    return rarest.select("k.code", "item_id", F.col("k.offset").cast("long").alias("offset"), "size", "words")
 
 
-def _prefixes(known: _Known, rarity: dict[int, int]) -> list[tuple]:
-    """(code, item_id, offset, size, words) of each window under its rarest shingle; windows whose rarest occurs nowhere are out."""
-    rows = set()
-    for item, size, words, ids in known.windows:
-        codes = _codes(ids, min(WIDTH, size)).tolist()
-        seen, offset = min((rarity.get(c, 0), k) for k, c in enumerate(codes))
-        if seen:
-            rows.add((codes[offset], item, offset, size, b" ".join(words).decode()))
-    return sorted(rows)
+def _longs(df: DataFrame, name: str) -> np.ndarray:
+    """The sorted distinct values of a column of longs; for columns of a benchmark block."""
+    return np.sort(df.select(name).distinct().toArrow()[name].to_numpy())
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
@@ -140,28 +145,32 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
-    blocks = _blocks(items, block_bytes)
-    block, following = next(blocks), next(blocks, None)
-    if following is not None:  # the rows' numbers have to be the same for every block
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(size / block_bytes))
+    if blocks > 1:  # the rows' numbers have to be the same for every block
         texts = materialize(texts, "numbered-texts")
-    several, found = following is not None, None
-    while block is not None:
-        known = _Known(block, window)
-        prefixes = _prefixes(known, _rarity(texts, known)) if block else []
-        codes = np.unique(np.array([p[0] for p in prefixes], np.int64))
-        shared = spark.sparkContext.broadcast((known, codes))
+    found = None
+    for block in range(blocks):
+        here = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        windows = materialize(_windows(here, window), "benchmark-windows")
+        words = [w.encode() for w in windows.select(F.explode(F.split("words", " ")).alias("w")).distinct().toArrow()["w"].to_pylist()]
+        widths = [min(WIDTH, r[0]) for r in windows.select("size").distinct().collect()]  # at most ``window`` sizes
+        known = _Known(words, sorted(set(widths)), _longs(windows.select(F.explode("codes").alias("code")), "code"))
+        prefixes = materialize(_prefixes(windows, _rarity(texts, known)), "benchmark-prefixes")
+        known.codes = _longs(prefixes, "code")
+        shared = spark.sparkContext.broadcast(known)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             """A row for each document, then one for each of its shingles that is some window's prefix, with the words around it."""
-            known, codes = shared.value
+            known = shared.value
             for batch in pieces(batches):
                 out: list[list] = [[] for _ in range(8)]
                 for row, doc, text, mark in zip(*(c.to_pylist() for c in batch.columns)):
                     words = words_of(text)
                     for c, v in zip(out, (row, doc, mark, len(words), None, None, None, None)):
                         c.append(v)
-                    at, code = known.shingles(words, codes)
+                    at, code = known.shingles(words)
                     for p, k in zip(at.tolist(), code.tolist()):
                         low = max(0, p - window + 1)
                         for c, v in zip(out, (row, doc, mark, len(words), k, p, low, [w.decode() for w in words[low : p + window]])):
@@ -169,20 +178,16 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 kinds = [pa.int64()] * 7 + [pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["row", "doc_id", "text_hash", "n_words", "code", "at", "low", "near"])
 
-        rows = texts.mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, code long, at long, low long, near array<string>")
-        windows = spark.createDataFrame(prefixes, "code long, item_id long, offset long, size long, words string")
-        windows = F.broadcast(windows) if len(prefixes) * window * 16 <= block_bytes else windows
-        joined = rows.join(windows, "code", "left")
+        rows = materialize(texts.mapInArrow(run, "row long, doc_id long, text_hash long, n_words long, code long, at long, low long, near array<string>"), "benchmark-rows")
         first = F.col("at") - F.col("offset")
         fits = (first >= 0) & (first + F.col("size") <= F.col("n_words")) & (first >= F.col("low"))
         same = F.array_join(F.slice("near", (first - F.col("low") + 1).cast("int"), F.col("size").cast("int")), " ") == F.col("words")
-        start = F.when(fits, F.when(same, first))
-        block_rows = joined.select("row", "doc_id", "text_hash", "n_words", "item_id", "size", start.alias("first"))
-        if several:
-            block_rows = materialize(block_rows, "benchmark-block")
-            shared.destroy()
-        found = block_rows if found is None else found.union(block_rows)
-        block, following = following, next(blocks, None)
+        kept = ["row", "doc_id", "text_hash", "n_words", "item_id", "size"]
+        met = rows.where("code IS NOT NULL").join(prefixes, "code").select(*kept, F.when(fits, F.when(same, first)).alias("first")).where("first IS NOT NULL")
+        # The documents' own rows take no part in the join: all their codes are null.
+        own = rows.where("code IS NULL").select(*kept[:4], *(F.lit(None).cast("long").alias(c) for c in ("item_id", "size", "first")))
+        found = met if found is None else found.union(met)
+        found = found.union(own) if not block else found
     hit = F.when(F.col("first").isNotNull(), F.struct("first", "size"))
     grouped = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
@@ -198,6 +203,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark window."""
     found = contaminated_words(docs, benchmark, id_col=id_col, text_col=text_col, **how)
-    hit = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias("__hit_id"), F.col("text_hash").alias("__hit_hash")).distinct(), "contaminated")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__hit_id")) & (F.xxhash64(text_col) == F.col("__hit_hash"))
+    own_id, own_hash = unused(docs, "hit_id", "hit_hash")
+    hit = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "contaminated")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
     return docs.join(hit, same, "left_anti")
