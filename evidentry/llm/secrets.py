@@ -28,14 +28,14 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
-    guard: str | None = None  # a cheaper pattern that every counted match contains
 
 
-#: What counts as a secret.
+#: What counts as a secret. Runs of access keys and hex digits are matched whole, so that their least
+#: length can stand in the pattern: what it leaves out would not have counted, and takes no room in the walk.
 BASE_RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
+    Rule("access", r"AKIA[A-Z0-9]{14,}"),
+    Rule("hex", r"[0-9a-f]{16,}"),
 )
 MORE_RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -142,23 +142,39 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
-def _spans(rule: Rule, order: int, text: Column) -> Column:
-    """The rule's matches in order: what lies between them (split) and their own lengths give where they start."""
+def _spans(rule: Rule, order: int, text: Column, part: int = 256) -> Column:
+    """The rule's matches in order: what lies between them (split) and their own lengths give where they start.
+
+    Matches are walked in parts of ``part``: offsets are summed within each part, then over the
+    parts, and the parts' spans are moved by what stands before. So what is copied while a
+    result grows stays a part's size, not that of all the text's matches.
+    """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     counted = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    step = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("match"), counted.alias("counted"))
+    steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), matches.alias("match"), counted.alias("counted"))
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
+
+    def span(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
         keep = x["match"].isNotNull() & (F.length(x["counted"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span(start, end)))).otherwise(state["spans"]).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
-    walked = F.aggregate(step, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
-    return F.when(text.rlike(rule.guard or rule.pattern), walked).otherwise(none)
+    def walk(steps: Column) -> Column:
+        firsts = F.sequence(F.lit(0), ((F.size(steps) - 1) / part).cast("int"))
+        return F.transform(firsts, lambda k: F.aggregate(F.slice(steps, k * part + 1, part), F.struct(F.lit(0).alias("at"), none.alias("spans")), add))
+
+    def moved(parts: Column) -> Column:
+        sums = F.aggregate(parts, F.array(F.lit(0)), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + p["at"])))
+        return F.zip_with(parts, sums, lambda p, by: F.transform(p["spans"], lambda s: span(s["start"] + by, s["end"] + by)))
+
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  ``value`` is made once, not at each use
+    spans = once(steps, lambda steps: once(walk(steps), lambda parts: F.flatten(F.filter(moved(parts), lambda s: s.isNotNull()))))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
 def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,12 +202,3 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     ]
     return plain.select("doc_id", F.array_sort(F.concat(*parts)).alias("spans"))
 
-
-def python_spans(text: str | None, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) -> list[tuple[int, int, str, int]]:
-    """What :func:`secret_spans` gives, one regex after the other; for tests."""
-    out = []
-    for order, rule in enumerate(rules):
-        for m in re.finditer(rule.pattern, text or "", re.ASCII):
-            if len(m.group(rule.group)) >= rule.least:
-                out.append((m.start(), order, rule.kind, m.end()))
-    return sorted(out)

@@ -19,6 +19,12 @@ def slow_base(text):
     return sorted(out)
 
 
+def python_spans(text, rules=secrets.BASE_RULES + secrets.MORE_RULES):
+    """One regex after the other."""
+    found = ((m, order, rule) for order, rule in enumerate(rules) for m in re.finditer(rule.pattern, text or "", re.ASCII))
+    return sorted((m.start(), order, rule.kind, m.end()) for m, order, rule in found if len(m.group(rule.group)) >= rule.least)
+
+
 def noise(n=400, seed=6):
     rng = random.Random(seed)
     parts = ["password", "PassWd", "secret", "ToKeN", "api_key", "APIKEY", "\"", "'", " ", ":", "=", "abc123def456", "/x.y=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "f", "é", "\n", "ſecret", "toKen", "token=password: abcdefghijklmno", "ghp_" + "a1" * 18]
@@ -30,10 +36,18 @@ def test_spans_on_noise(spark):
     docs = spark.createDataFrame([(i, t, None, "", 0, "", "", "") for i, t in enumerate(texts)], SCHEMA)
     found = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.secret_spans(docs).collect()}
     for i, text in enumerate(texts):
-        assert found[i] == secrets.python_spans(text), text
+        assert found[i] == python_spans(text), text
         assert [s for s in found[i] if s[1] < 3] == slow_base(text), text
 
 
+def test_many_matches_in_one_text(spark):
+    """More matches than a part of the walk holds."""
+    texts = ["token=abcdefghijklmnop short=1 " * n + "0123456789abcdef" for n in (255, 256, 257, 700)]
+    docs = spark.createDataFrame([(i, t, None, "", 0, "", "", "") for i, t in enumerate(texts)], SCHEMA)
+    for r in secrets.secret_spans(docs).collect():
+        assert [tuple(s) for s in r.spans] == python_spans(texts[r.doc_id])
+
+
 def test_query_on_driver_documents(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     found = op6_secrets(spark, sf_dir).collect()
