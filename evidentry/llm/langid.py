@@ -73,53 +73,65 @@ class LanguageModel:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def bounded_sample(labelled: DataFrame, label: str, key: str, most: int) -> DataFrame:
-    """About ``most`` rows of each label at most, chosen by a hash of ``key``; all rows of labels with fewer."""
-    counts = labelled.groupBy(label).count().collect()  # one row a label
-    if not counts:
+def bounded_sample(labelled: DataFrame, label: str, key: str, most: int, labels: int = 256) -> DataFrame:
+    """About ``most`` rows of each label at most, chosen by a hash of ``key``; all rows of labels with fewer.
+
+    Of more than ``labels`` distinct labels the most frequent ones are learned, ties by name: with
+    ``most`` the documented bound of the sample.
+    """
+    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels)
+    shares = [(value, min(1.0, most / n)) for value, n in counts.collect()]
+    if not shares:
         return labelled
-    share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, most / n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = labelled.sparkSession.createDataFrame(shares, labelled.select(F.col(label).alias("of_label"), F.lit(1.0).alias("share")).schema)
+    sampled = labelled.join(F.broadcast(chosen), F.col(label) == F.col("of_label"))  # as many rows as ``labels``
+    return sampled.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("of_label", "share")
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_docs: int = 20_000, smoothing: float = 0.1) -> LanguageModel:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_docs: int = 20_000, max_labels: int = 256, smoothing: float = 0.1) -> LanguageModel:
     """Learns from rows with a label and a text that has a letter.
 
-    ``max_docs`` bounds the rows of each label, chosen by a hash of the id: a documented sample,
-    taken only where a label has more. Without rows the model knows no language.
+    ``max_docs`` bounds the rows of each label, chosen by a hash of the id, and ``max_labels``
+    the labels, the most frequent first: a documented sample, taken only where there are more.
+    Counts that reach the driver are at most 65,537 numbers a label. Without rows the model
+    knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    rows = bounded_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "label", "doc_id", max_docs)
+    rows = bounded_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "label", "doc_id", max_docs, max_labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for label, total in counts.items():
+                at = np.flatnonzero(total)
+                n = np.r_[total[at], docs[label]]
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(n)), pa.array(np.r_[at, -1]), pa.array(n)], ["label", "bucket", "n"])
+            counts.clear()
+
         for batch in pieces(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = ngrams(text)
                 if len(grams):
                     if label not in counts:
+                        if len(counts) == 32:  # 16 MB of counts
+                            yield from summed()
                         counts[label], docs[label] = np.zeros(BUCKETS, np.int64), 0
                     counts[label] += np.bincount(grams, minlength=BUCKETS)
                     docs[label] += 1
-        for label, total in counts.items():
-            at = np.flatnonzero(total)
-            n = np.r_[total[at], docs[label]]
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(n)), pa.array(np.r_[at, -1]), pa.array(n)], ["label", "bucket", "n"])
-
-    summed = rows.select("label", "text").coalesce(256).mapInArrow(run, "label string, bucket long, n long")
-    found = summed.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most buckets + 1 rows a label
-    languages = tuple(sorted(found["label"].unique()))
-    counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    for j, language in enumerate(languages):
-        own = found[found["label"] == language]
-        docs[j] = own.loc[own["bucket"] < 0, "n"].sum()
-        own = own[own["bucket"] >= 0]
-        counts[own["bucket"].to_numpy(), j] = own["n"]
+        yield from summed()
+
+    # A task gives no more numbers than its share of the bounded sample has n-grams.
+    counted = rows.select("label", "text").mapInArrow(run, "label string, bucket long, n long")
+    found = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names, own = np.unique(np.array(found["label"].to_pylist(), object).astype(str), return_inverse=True)
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    counts, docs = np.zeros((BUCKETS, len(names))), np.zeros(len(names))
+    docs[own[bucket < 0]] = n[bucket < 0]
+    counts[bucket[bucket >= 0], own[bucket >= 0]] = n[bucket >= 0]
     counts += smoothing
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(docs / max(1, docs.sum())))
+    return LanguageModel(tuple(map(str, names)), np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(docs / max(1, docs.sum())))
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from evidentry.llm.columns import pieces, utf8
 from evidentry.llm.langid import bounded_sample
 from evidentry.session import materialize
 
-BUCKETS, DIM, NONZERO, MAX_TASKS = 1 << 14, 32, 4, 2048
+BUCKETS, DIM, NONZERO = 1 << 14, 32, 4
 #: Bytes: 0 white space, 1 letters (all beyond ASCII too), 2 digits, 3 the rest.
 _CLASS = np.array([0 if c <= 32 else 1 if c >= 128 or chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(256)], np.uint8)
 _SHAPE = np.random.default_rng(7).integers(1, 1 << 62, (16, 256), np.uint64)
@@ -55,7 +55,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """BUCKETS x DIM unit vectors from all documents; words that never occur have zeros."""
+    """BUCKETS x DIM unit vectors from all documents; words that never occur have zeros.
+
+    A task sends its own sums once, 4 MB at most whatever it read; the driver gets one table of that size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = _index_vectors()
@@ -75,7 +78,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, d]) for d in range(DIM))], ["row", *(f"v{d}" for d in range(DIM))])
 
     schema = "row long, " + ", ".join(f"v{d} long" for d in range(DIM))
-    summed = docs.select(F.col(text_col).alias("text")).coalesce(MAX_TASKS).mapInArrow(run, schema)
+    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
     found = summed.groupBy("row").agg(*(F.sum(f"v{d}").alias(f"v{d}") for d in range(DIM))).toPandas()
     out = np.zeros((BUCKETS, DIM))
     out[found["row"].to_numpy(np.int64)] = found[[f"v{d}" for d in range(DIM)]].to_numpy(float)
@@ -161,7 +164,10 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60
 
 
 def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = 40_000) -> QualityModel:
-    """Fits on at most about ``max_rows`` labelled documents of each label, a sample by a hash of the id: the documented bound."""
+    """Fits on at most about ``max_rows`` labelled documents of each label, a sample by a hash of the id: the documented bound.
+
+    So the driver gets ``2 * max_rows`` rows of 256 bytes at most.
+    """
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     marked = bounded_sample(marked, "label", "doc_id", max_rows)
     rows = features.join(marked, "doc_id").select("doc_id", "features", "label").toPandas().sort_values(["doc_id", "label"], kind="stable")
