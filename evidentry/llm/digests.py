@@ -86,7 +86,7 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next),
     one row for each row of ``docs``. The last document's next is the first; a single one is its
     own. Null texts count as empty; null ids come first; rows with equal ids are ordered by
-    text. An empty table gives none.
+    their first 16 characters, then by a hash of the text. An empty table gives none.
 
     Documents are dealt into ranges of ids and sorted there, so that a document's next stands
     beside it. Only the first and last row of each range go on to be matched across ranges.
@@ -136,7 +136,10 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = plain.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # The row's number keeps many rows of one doc_id from being one range.
+    keys = ["doc_id", "head", "text_hash", "row"]
+    numbered = plain.withColumns({"head": F.substring("text", 1, 16), "text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = numbered.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     schema = _ROW + ", edge int, part int, edge_text string"
     found = materialize(ordered.mapInArrow(run, schema), "digests")
     # At most two rows a range: the range's last document (edge 1) takes the first (edge 0) of the next range that has rows.

@@ -163,16 +163,19 @@ def shard_by_size(
     units["shard"] = (best_fit_decreasing(sizes, capacity) if capacity else balanced(sizes, shards)).astype(np.int32)
     shard_of = spark.createDataFrame([(u, int(s)) for u, s in zip(units["unit"], units["shard"])], "unit string, shard int")
     where = placed.join(shard_of, "unit").select("text_key", "shard")
-    rows = light.join(where, "text_key").select("doc_id", "size", "text_crc32", "shard")
-    return with_slots(materialize(rows, "sharded"))
+    return with_slots(light.join(where, "text_key").select("doc_id", "size", "text_crc32", "shard"))
 
 
 def with_slots(rows: DataFrame, slice_rows: int = 20_000) -> DataFrame:
-    """Numbers the rows of each ``shard`` from 0: rows are dealt to slices by a hash, counted, and numbered inside slices."""
+    """Numbers the rows of each ``shard`` from 0: rows are dealt to slices, counted, and numbered inside slices.
+
+    A row's slice comes from its number in the written table, so that rows of one id are in many.
+    """
+    rows = materialize(rows.withColumn("dealt", F.xxhash64(F.monotonically_increasing_id())), "sharded")
     slices = max(1, math.ceil(rows.count() / slice_rows))
-    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+    sliced = rows.withColumn("slice", F.pmod("dealt", F.lit(slices)).cast("int"))
     counts = sliced.groupBy("shard", "slice").agg(F.count("*").alias("n"))
     before = counts.selectExpr("shard", "slice", "sum(n) OVER (PARTITION BY shard ORDER BY slice) - n AS before")
     numbered = sliced.selectExpr("*", "row_number() OVER (PARTITION BY shard, slice ORDER BY doc_id, text_crc32, size) - 1 AS in_slice")
     joined = numbered.join(before, ["shard", "slice"])
-    return joined.withColumn("slot", (F.col("before") + F.col("in_slice")).cast("long")).drop("slice", "before", "in_slice")
+    return joined.withColumn("slot", (F.col("before") + F.col("in_slice")).cast("long")).drop("dealt", "slice", "before", "in_slice")
