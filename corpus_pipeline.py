@@ -24,7 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each component of documents that share 0.8 of their five-word shingles."""
+    """Keeps the document of the smallest doc_id of each component of documents that share 0.8 of their five-word shingles.
+
+    Candidates are SimHash links in pigeonhole blocks, and MinHash buckets for the pairs that 64
+    bits can't select; all are verified on the shingles.
+    """
     return minhash.without_near_copies(docs)
 
 
