@@ -7,9 +7,10 @@ of 0.8 fingerprints of 64 bits differ in about 10 bits, more than blocks can sel
 the rest comes from MinHash: sets are dealt to ``BANDS`` buckets, each named by ``ROWS``
 minima, and a pair of similarity s shares a bucket with probability 1 - (1 - s ** ROWS) **
 BANDS: 0.99995 at 0.8 and more above. Every candidate pair is verified on the sets
-themselves. First each bucket's members meet its smallest one, a pair a member; only members
-that the verified links leave in different components meet each other, so a bucket of copies
-costs no pairs.
+themselves. First each bucket's members meet its hub, the one that shares buckets with most
+others: a pair a member. Only sets that the verified links leave in different components of
+one bucket go on, to a join of prefixes (:func:`prefix_pairs`), so that a bucket of copies,
+or of texts that are loosely alike, isn't compared all with all.
 """
 
 from __future__ import annotations
@@ -108,6 +109,34 @@ def fingerprint_pairs(found: DataFrame) -> DataFrame:
     return alike.union(linked).distinct()
 
 
+def prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) among the sets of ``rest`` (set_hash, n, root) with different roots: all that can be as similar as that.
+
+    Shingles are ordered by how many of these sets have them. Two sets of that similarity share
+    ``similarity / (1 + similarity)`` of their sizes' sum at least, so the smaller one's first
+    shingles (all but what has to be shared with one of its own size, and one) and the larger
+    one's (all but what the smallest possible partner shares, and one) have one in common. A set's
+    shingles that no other has come first and meet nothing: only the others are moved.
+    """
+    share = similarity / (1 + similarity)
+    least = lambda n: F.ceil(F.lit(share) * n - 1e-9)
+    own = rest.join(sets, "set_hash").select("set_hash", F.explode("shingles").alias("shingle"))
+    common = own.groupBy("shingle").agg(F.count("*").alias("n_sets")).where("n_sets > 1")
+    ordered = own.join(common, "shingle").groupBy("set_hash").agg(F.array_sort(F.collect_list(F.struct("n_sets", "shingle"))).alias("common"))
+    sized = ordered.join(rest, "set_hash").withColumn("alone", F.col("n") - F.size("common"))
+    sized = sized.withColumn("reach", F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).withColumn("as_smaller", F.col("n") - least(2 * F.col("n")) + 1)
+    first = F.slice("common", 1, F.greatest(F.col("reach") - F.col("alone"), F.lit(0)).cast("int"))
+    met = sized.select("set_hash", "n", "root", "alone", "as_smaller", F.posexplode(first).alias("at", "s"))
+    met = materialize(met.select("set_hash", "n", "root", (F.col("alone") + F.col("at")).alias("at"), "as_smaller", F.col("s.shingle").alias("shingle")), "prefixes")
+    x, y = met.where("at < as_smaller").alias("x"), met.alias("y")
+    larger = F.struct("x.n", "x.set_hash") < F.struct("y.n", "y.set_hash")
+    fits = F.col("x.n") >= F.lit(similarity) * F.col("y.n") - 1e-9
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what they can share from here on
+    enough = left >= least(F.col("x.n") + F.col("y.n"))
+    both = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & larger & fits & enough)
+    return both.select(F.least("x.set_hash", "y.set_hash").alias("a"), F.greatest("x.set_hash", "y.set_hash").alias("b")).distinct()
+
+
 def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between set hashes whose components are those of all candidate pairs as similar as that.
 
@@ -115,7 +144,7 @@ def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY
     members of shared buckets only, which is less to write than the sets of all.
     """
     dealt = found.select("set_hash", "n", F.explode("buckets").alias("bucket")).distinct()
-    shared = dealt.groupBy("bucket").agg(F.min("set_hash").alias("first"), F.count("*").alias("members")).where("members > 1").select("bucket", "first")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(dealt.join(shared, "bucket"), "band-members")
     near = materialize(fingerprint_pairs(found), "fingerprint-pairs")
     named = members.select("set_hash").union(near.select("a")).union(near.select("b")).distinct()
@@ -123,18 +152,16 @@ def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY
     chosen = materialize(chosen.select(F.col("k.doc_id").alias("of_id"), F.col("k.text_hash").alias("of_hash")), "band-texts")
     texts = plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     sets = materialize(shingle_sets(texts).groupBy("set_hash").agg(F.any_value("shingles").alias("shingles")), "band-sets")
-    to_first = materialize(members.where("set_hash <> first").select(F.col("first").alias("a"), F.col("set_hash").alias("b")).union(near).distinct(), "first-pairs")
-    links = materialize(_verified(to_first, sets, similarity), "first-links")
+    company = members.groupBy("set_hash").agg(F.sum("members").alias("company"))
+    hubs = members.join(company, "set_hash").groupBy("bucket").agg(F.max_by("set_hash", F.struct("company", "set_hash")).alias("hub"))
+    to_hub = members.join(hubs, "bucket").where("set_hash <> hub").select(F.least("hub", "set_hash").alias("a"), F.greatest("hub", "set_hash").alias("b"))
+    links = materialize(_verified(materialize(to_hub.union(near).distinct(), "hub-pairs"), sets, similarity), "hub-links")
     roots = component_roots(links)
     labelled = members.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("bucket", "set_hash", "n", F.coalesce("root", "set_hash").alias("root"))
     labelled = materialize(labelled, "band-roots")
     apart = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = labelled.join(apart, "bucket")
-    x, y = rest.alias("x"), rest.alias("y")
-    sized = F.least("x.n", "y.n") >= F.lit(similarity) * F.greatest("x.n", "y.n")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.set_hash") < F.col("y.set_hash")) & (F.col("x.root") != F.col("y.root")) & sized)
-    pairs = met.select(F.col("x.set_hash").alias("a"), F.col("y.set_hash").alias("b")).distinct().join(to_first, ["a", "b"], "left_anti")
-    return links.union(_verified(pairs, sets, similarity))
+    rest = materialize(labelled.join(apart, "bucket").select("set_hash", "n", "root").distinct(), "apart")
+    return links.union(_verified(prefix_pairs(rest, sets, similarity), sets, similarity))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

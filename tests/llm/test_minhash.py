@@ -69,3 +69,19 @@ def test_awkward_rows_and_empty(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert len([d for d in ids if d in (100, 101, 102)]) == 1 and ids.count(107) == 0 and ids.count(None) == 1
     assert minhash.without_near_copies(empty(spark)).count() == 0
+
+
+def test_texts_that_are_loosely_alike_are_not_compared_all_with_all(spark):
+    """Copies of one text with a seventh of its words changed: near to 0.8 with it, and below with each other."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    docs = [(0, " ".join(base))] + [(i, edited(rng, base, rng.choice([4, 7, 9, 12, 20]))) for i in range(1, 120)]
+    table = spark.createDataFrame([(d, t, "en", "", 0, "", "", "") for d, t in docs], SCHEMA)
+    assert sorted(r.doc_id for r in minhash.without_near_copies(table).collect()) == slow_kept(docs)
+    rows = [(d, [int(x) for x in minhash.shingles(t).view("int64")]) for d, t in docs]
+    sets = spark.createDataFrame(rows, "set_hash long, shingles array<long>")
+    rest = sets.selectExpr("set_hash", "size(shingles) AS n", "set_hash AS root")
+    found = {(r.a, r.b) for r in minhash.prefix_pairs(rest, sets, 0.8).collect()}
+    kept = dict(docs)
+    alike = {(i, j) for j in kept for i in range(j) if (x := slow_set(kept[i])) and (y := slow_set(kept[j])) and len(x & y) >= 0.8 * len(x | y)}
+    assert alike <= found and len(found) < len(docs) * (len(docs) - 1) / 2
