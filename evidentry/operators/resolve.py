@@ -12,15 +12,14 @@ _REPLICA = r"-[A-Za-z0-9]{10}-[A-Za-z0-9]{5}\z"
 _STATEFUL = r"-[0-9]+\z"
 
 
-def pod_candidates(name: Column, steps: int = 8) -> Column:
-    """A pod's name and what is left of it after each suffix that a controller may have added."""
+def pod_candidates(name: Column) -> Column:
+    """A pod's name and what is left of it after each suffix that a controller may have added; a name has fewer suffixes than parts between hyphens."""
 
     def strip(last: Column) -> Column:
         once = F.regexp_replace(last, _REPLICA, "")
         return F.when(once != last, once).otherwise(F.regexp_replace(last, _STATEFUL, ""))
 
-    numbers = F.array(*[F.lit(i) for i in range(steps)])
-    return F.array_distinct(F.aggregate(numbers, F.array(name), lambda seen, _: F.array_append(seen, strip(F.element_at(seen, -1)))))
+    return F.array_distinct(F.aggregate(F.split(name, "-"), F.array(name), lambda seen, _: F.array_append(seen, strip(F.element_at(seen, -1)))))
 
 
 def tags_hold(needed: Column, given: Column) -> Column:

@@ -82,6 +82,21 @@ def dirty_minutes(changed: DataFrame, rollups: DataFrame | None = None) -> DataF
     return pairs.unionByName(known).distinct()
 
 
+def checked_minutes(pairs: DataFrame) -> DataFrame:
+    """Distinct (service_id, bucket_start) pairs that a caller names: a null, or an instant that no minute starts at, raises.
+
+    ``bucket_start`` has to be an instant; a wall clock without a zone is refused.
+    """
+    kinds = dict(pairs.dtypes)
+    if kinds["bucket_start"] != "timestamp":
+        raise ValueError("bucket_start has to be an instant with a zone")
+    if kinds["service_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("service_id has to be an integer")
+    start = F.col("bucket_start")
+    wrong = F.when(F.col("service_id").isNull() | start.isNull(), "a dirty pair has a null").when(F.unix_micros(start) % 60_000_000 != 0, "bucket_start has to be the start of a minute")
+    return pairs.select("service_id", F.when(wrong.isNull(), start).otherwise(F.raise_error(wrong).cast("timestamp")).alias("bucket_start")).distinct()
+
+
 def delete_minutes(rollups: DataFrame, dirty: DataFrame) -> DataFrame:
     return rollups.join(dirty, ["service_id", "bucket_start"], "left_anti")
 

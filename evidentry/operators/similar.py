@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentry.functions import citations
@@ -18,8 +17,7 @@ FLOOR = 0.65
 def best_chunks(chunks: DataFrame, query: Sequence[float], floor: float = FLOOR) -> DataFrame:
     """The nearest chunk of each slug within the floor. The query vector is a constant: the search is a projection."""
     near = chunks.withColumn("distance", cosine_distance(F.col("embedding"), literal(query))).where(F.col("distance") <= floor)
-    place = F.row_number().over(W.partitionBy("slug").orderBy("distance", "ordinal"))
-    return near.withColumn("place", place).where("place = 1").drop("place")
+    return near.groupBy("slug").agg(F.min_by(F.struct(*near.columns), F.struct("distance", "ordinal")).alias("best")).select("best.*")
 
 
 def resolutions(chunks: DataFrame) -> DataFrame:

@@ -72,8 +72,8 @@ def first_versions(batch: DataFrame, key: str, content: Sequence[str]) -> tuple[
 
 def latest_snapshot(rows: DataFrame, key: str, count: str, sequence: str) -> DataFrame:
     """Of each key the row of the highest count, then of the highest sequence: stale snapshots give way."""
-    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc(count), F.desc(sequence)))
-    return rows.withColumn("place", place).where("place = 1").drop("place")
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(count, sequence)).alias("row"))
+    return newest.select("row.*")
 
 
 def replaced_snapshots(stored: DataFrame, incoming: DataFrame, key: str, count: str, uid: str = "uid") -> tuple[DataFrame, DataFrame]:
@@ -104,6 +104,13 @@ def insert_new(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti").select(*stored.columns))
 
 
+def checked_offsets(drafts: DataFrame) -> DataFrame:
+    """``drafts``; an offset that isn't a number of bytes, 0 or more, raises."""
+    at = F.col("source_offset")
+    bad = F.raise_error(F.concat(F.lit("source_offset has to be a number of bytes, 0 or more: "), F.coalesce(at.cast("string"), F.lit("null")))).cast("long")
+    return drafts.withColumn("source_offset", F.when(F.coalesce(at >= 0, F.lit(False)), at).otherwise(bad))
+
+
 def unresolved_report(unresolved: DataFrame) -> DataFrame:
     return unresolved.groupBy("reason").agg(F.count("*").alias("n")).orderBy("reason")
 
@@ -253,7 +260,7 @@ class EvidenceStore:
         was unresolved before moves over, and the reverse raises. Touched minutes are rebuilt.
         Sequence numbers continue in (source_file, source_offset) order.
         """
-        drafts = materialize(drafts, "drafts")
+        drafts = materialize(checked_offsets(drafts), "drafts")
         known, unresolved = self.read("identities"), self.read("unresolved_events")
         for source, cursor in (cursors or {}).items():
             used = drafts.where(F.col("source_file") == source).agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("n")).first().n

@@ -222,7 +222,7 @@ def template_mask(spark, d):
     return S.read(spark, d, "documents").select("doc_id", texts.template_hash(texts.mask("text")).alias("template_hash"))
 
 
-_BLOCKS = """WITH e AS (SELECT *, CASE WHEN extract(minute FROM ts) >= 0 THEN date_trunc('hour', ts)::TIMESTAMP + to_minutes((extract(minute FROM ts)::BIGINT // 5) * 5) END AS b FROM events WHERE event_type = 'error'),
+_BLOCKS = """WITH e AS (SELECT *, CASE WHEN extract(minute FROM ts) >= 0 THEN date_trunc('hour', ts)::TIMESTAMP + to_minutes((extract(minute FROM ts)::BIGINT // 5) * 5) END AS b FROM events),
   k AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'p-' || (event_id % 40) ELSE 'fp:' || substr(sha256('svc-' || (user_id % 10) || '|errors|' || strftime(b, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 32) END AS dedup_key FROM e)"""
 
 
@@ -230,7 +230,7 @@ _BLOCKS = """WITH e AS (SELECT *, CASE WHEN extract(minute FROM ts) >= 0 THEN da
 def dedup_alerts(spark, d):
     from evidentry.sources.webhooks import dedup_key
 
-    e = S.read(spark, d, "events").where("event_type = 'error'")
+    e = S.read(spark, d, "events")
     provider = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("p-"), (F.col("event_id") % 40).cast("string")))
     key = dedup_key(F.lit(None).cast("string"), provider, F.concat(F.lit("svc-"), (F.col("user_id") % 10).cast("string")), F.lit("errors"), F.col("ts"))
     return e.select("event_id", key.alias("dedup_key")).groupBy("dedup_key").agg(F.min("event_id").alias("winner"), F.count("*").alias("alerts"))
@@ -257,24 +257,29 @@ def snapshot_replacement(spark, d):
     return latest_snapshot(e, "event_uid", "occurrence_count", "id").select("event_uid", "occurrence_count", "id")
 
 
-@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'unparseable' WHEN event_id % 4 = 1 THEN 'no_timestamp' ELSE 'no_service_match' END AS reason, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'unparseable' WHEN event_id % 4 = 1 THEN 'no_timestamp' ELSE 'no_service_match' END AS reason, count(*) AS n FROM events GROUP BY 1")
 def unresolved_by_reason(spark, d):
     from evidentry.operators.store import unresolved_report
 
-    e = S.read(spark, d, "events").where("event_type = 'click'")
+    e = S.read(spark, d, "events")
     reason = F.when(F.col("event_id") % 4 == 0, "unparseable").when(F.col("event_id") % 4 == 1, "no_timestamp").otherwise("no_service_match")
     return unresolved_report(e.select(reason.alias("reason")))
 
 
-@query("""WITH f AS (SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS part, (l_quantity)::INT AS adds, (l_tax * 100)::INT AS dels FROM lineitem),
-  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY -(adds + dels), part, line) AS place FROM f)
-  SELECT k AS l_orderkey, count(*) AS files, sum(adds)::BIGINT AS additions, sum(dels)::BIGINT AS deletions, string_agg(part || '/' || line, ',' ORDER BY place) FILTER (WHERE place <= 2) AS kept FROM r GROUP BY 1""")
+@query("""WITH f AS (SELECT l_orderkey AS k, l_partkey || '/' || l_linenumber AS path, sum(l_quantity::INT)::INT AS adds, sum((l_tax * 100)::INT)::INT AS dels FROM lineitem GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY -(adds + dels), path) AS place FROM f)
+  SELECT k AS l_orderkey, count(*) AS files, sum(adds)::BIGINT AS additions, sum(dels)::BIGINT AS deletions, string_agg(path, ',' ORDER BY path) FILTER (WHERE place <= 2) AS kept FROM r GROUP BY 1""")
 def commit_hunk_rank(spark, d):
-    line = S.read(spark, d, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("adds"), F.round(F.col("l_tax") * 100).cast("int").alias("dels"))
-    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy(-(F.col("adds") + F.col("dels")), "part", "line"))
-    ranked = line.withColumn("place", place)
-    kept = F.array_sort(F.collect_list(F.when(F.col("place") <= 2, F.struct("place", F.concat_ws("/", "part", "line").alias("path")))))
-    return ranked.groupBy("l_orderkey").agg(F.count("*").alias("files"), F.sum("adds").alias("additions"), F.sum("dels").alias("deletions"), F.array_join(F.transform(kept, lambda x: x["path"]), ",").alias("kept"))
+    from evidentry.sources.git import capped_files
+
+    lines = S.read(spark, d, "lineitem").groupBy("l_orderkey", F.concat_ws("/", "l_partkey", "l_linenumber").alias("path"))
+    changes_ = lines.agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("adds"), F.sum(F.round(F.col("l_tax") * 100).cast("int")).cast("int").alias("dels"))
+    file = F.struct("path", F.lit("modified").alias("status"), F.col("adds").alias("additions"), F.col("dels").alias("deletions"), F.lit("@@ -1 +1 @@").alias("hunks"))
+    commits = changes_.groupBy("l_orderkey").agg(F.collect_list(file).alias("files"))  # an order has a few lines
+    capped = commits.withColumn("files", capped_files(F.col("files"), max_files=2))
+    total = lambda key: F.aggregate("files", F.lit(0).cast("long"), lambda s, f: s + f[key])
+    kept = F.transform(F.filter("files", lambda f: f["hunks"].isNotNull()), lambda f: f["path"])
+    return capped.select("l_orderkey", F.size("files").cast("long").alias("files"), total("additions").alias("additions"), total("deletions").alias("deletions"), F.array_join(kept, ",").alias("kept"))
 
 
 @query(f"WITH {S.LOG_SQL} SELECT cite FROM rollups UNION ALL SELECT 'log:' || uid FROM log_events UNION ALL SELECT 'commit:' || sha1(o_orderkey::VARCHAR) FROM orders")
@@ -342,10 +347,19 @@ def snippet(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-  SELECT doc_id, (i - 1)::INT AS ordinal, CASE WHEN line LIKE 'The%' THEN 'resolution' ELSE 'section' END AS kind, length(line)::INT AS chars FROM s WHERE line <> ''""")
+  SELECT doc_id, (i - 1)::INT AS ordinal, 'section' AS kind, length(regexp_replace('## ' || line, '\\s+$', ''))::INT AS chars FROM s""")
 def line_chunks(spark, d):
-    lines = S.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).where("line <> ''")
-    return lines.select("doc_id", "ordinal", F.when(F.startswith("line", F.lit("The")), "resolution").otherwise("section").alias("kind"), F.length("line").alias("chars"))
+    """Every line of a document as a section of a review, through the chunker."""
+    from evidentry.sources.postmortems import chunks_of
+
+    body = F.concat(F.lit("## "), F.replace("text", F.lit("\n"), F.lit("\n## ")))
+    return S.read(spark, d, "documents").select("doc_id", F.posexplode(chunks_of(body, F.lit(1 << 30))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.kind", F.length("c.content").alias("chars"))
+
+
+@query("""SELECT page_id, regexp_replace(replace(url, '://', '://u' || page_id || ':pw' || page_id || '@'), '(://[^:/@]+):[^@/]*@', '\\1:***@') AS url FROM pages""")
+def url_redaction(spark, d):
+    login = F.concat(F.lit("://u"), F.col("page_id").cast("string"), F.lit(":pw"), F.col("page_id").cast("string"), F.lit("@"))
+    return S.read(spark, d, "pages").select("page_id", texts.redact_url(F.replace("url", F.lit("://"), login)).alias("url"))
 
 
 @query("""SELECT event_id, event_id % 5 IN (0) AS stack_array, event_id % 5 = 1 AS upstream_string, event_id % 5 = 0 AS duration_number, FALSE AS exc_string,
@@ -465,3 +479,16 @@ def sniff_formats(spark, d):
 
     lines = S.read(spark, d, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("source_offset"), F.col("text").alias("raw"))
     return best_format(lines, {"marked": F.col("raw").contains("%%"), "plain": F.startswith("raw", F.lit("The"))}).withColumnRenamed("source_file", "file")
+
+
+_ROW = "sha256(json_object('n_name', n_name, 'n_nationkey', n_nationkey, 'n_regionkey', n_regionkey)::VARCHAR)"
+
+
+@query(f"""WITH h AS (SELECT {_ROW} AS h FROM nation), s AS (SELECT count(*) AS n, {", ".join(f"sum(('0x' || substr(h, {at}, 15))::UBIGINT)::VARCHAR AS s{i}" for i, at in enumerate((1, 16, 31)))} FROM h)
+  SELECT sha256('nation:' || n || ':' || s0 || ':' || s1 || ':' || s2) AS digest FROM s""")
+def replay_digest(spark, d):
+    columns = ["n_name", "n_nationkey", "n_regionkey"]
+    return spark.createDataFrame([(provenance.replay_digest({"nation": S.read(spark, d, "nation").select(*columns)}),)], "digest string")
+
+
+from evidentry.plans import ingest_queries  # noqa: E402, F401  registers its queries

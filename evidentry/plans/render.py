@@ -34,14 +34,15 @@ def markdown(summary: Mapping[str, Any]) -> str:
 
 
 def packed_cites(cites: list[str], limit: int) -> tuple[str, int]:
-    """Whole citations up to ``limit`` characters, and how many had no room."""
-    text, used = "", 0
+    """Whole citations that fit in ``limit`` characters, in order, and how many had no room; a shorter one may fit after a longer one didn't."""
+    kept: list[str] = []
+    room = limit
     for cite in cites:
-        longer = f"{text} {cite}".strip()
-        if len(longer) > limit:
-            break
-        text, used = longer, used + 1
-    return text, len(cites) - used
+        size = len(cite) + bool(kept)
+        if size <= room:
+            kept.append(cite)
+            room -= size
+    return " ".join(kept), len(cites) - len(kept)
 
 
 def trace(events: list[Mapping[str, Any]], summary_cites: list[str], payloads: bool = False) -> str:

@@ -92,7 +92,10 @@ def stored_run(incidents: DataFrame, run_id: str) -> dict[str, Any]:
 
 
 def slack_blocks(summary: Mapping[str, Any], run_id: str) -> list[dict[str, Any]]:
-    """Message blocks: claims are shortened to a section's size, citations are only ever left out whole, and counted."""
+    """Message blocks: claims are shortened to a section's size, citations are only ever left out whole, and counted.
+
+    A message has ``BLOCKS`` blocks at most; the last one says how many claims had no room.
+    """
     blocks: list[dict[str, Any]] = [{"type": "header", "text": {"type": "plain_text", "text": f"Run {run_id}"}}]
     for name, value in summary.items():
         for claim in value if isinstance(value, list) else [value]:
@@ -102,7 +105,9 @@ def slack_blocks(summary: Mapping[str, Any], run_id: str) -> list[dict[str, Any]
                 room = SECTION - len(tail) - len(name) - 5
                 text = claim["text"] if len(claim["text"]) <= room else claim["text"][: room - 1] + "…"
                 blocks.append({"type": "section", "text": {"type": "mrkdwn", "text": f"*{name}* {text}{tail}"}})
-    return blocks[:BLOCKS]
+    left = max(0, len(blocks) - (BLOCKS - 1))
+    footer = f"run_id: {run_id}" + (f" · {left} section(s) omitted" if left else "")
+    return [*blocks[: BLOCKS - 1], {"type": "context", "elements": [{"type": "mrkdwn", "text": footer}]}]
 
 
 def resolve_path(value: Any, path: str) -> list[Any]:

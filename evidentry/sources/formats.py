@@ -121,23 +121,25 @@ def parse_traceback(lines: list[str], cut_by_header: bool, roots: tuple[str, ...
     head = re.match(HEADER, lines[0])
     if head is None:
         return _record(reason="unparseable")
-    state, frames, exception, detail = "body", [], None, []
-    for line in lines[1:]:
-        if state == "body":
-            state = "traceback" if line == START else state
-        elif state == "after":
-            if line in CHAINED:
-                state = "traceback"
-            else:
-                detail.append(line)
-        elif frame := re.match(FRAME, line):
-            frames.append({"file": frame[1], "line": int(frame[2]), "func": frame[3] or "<module>"})
-        elif line[:1] not in (" ", "\t") and (found := re.match(EXCEPTION, line)):
-            exception, detail, state = found[1], [found[2] or ""], "after"
-    if state == "traceback" and not cut_by_header:
+    # Where each traceback begins and where its exception stands; what lies between has the frames.
+    first = lambda at, holds: next((i for i in range(at, len(lines)) if holds(lines[i])), None)
+    raised = lambda line: line[:1] not in (" ", "\t") and not re.match(FRAME, line) and re.match(EXCEPTION, line)
+    frames, exception, detail = [], None, []
+    begins, ends = first(1, START.__eq__), None
+    while begins is not None:
+        ends = first(begins + 1, raised)
+        found = [re.match(FRAME, line) for line in lines[begins + 1 : ends]]
+        frames += [{"file": m[1], "line": int(m[2]), "func": m[3] or "<module>"} for m in found if m]
+        if ends is None:
+            break
+        begins = first(ends + 1, CHAINED.__contains__)
+        named = re.match(EXCEPTION, lines[ends])
+        exception, detail = named[1], [named[2] or "", *lines[ends + 1 : begins]]
+    unfinished = begins is not None
+    if unfinished and not cut_by_header:
         return _record(reason="incomplete_traceback")
     attrs: dict[str, Any] = {"logger": head[4]}
-    if state == "traceback":
+    if unfinished:
         attrs["assembly"] = "incomplete"
     message = head[5]
     if exception is not None:

@@ -168,12 +168,44 @@ def test_git_terraform_k8s_reviews(spark, corpus, services):
     review = postmortems.read_postmortems(spark, f"{corpus}/reviews", "fixture")
     r = review.first()
     assert (r.slug, r.title, r.services) == ("pool", "Pool", ["pay-api"]) and r.resolution_md.startswith("## Resolution")
-    texts_ = [c.content for c in review.select(F.explode(postmortems.chunks_of("body_md", F.lit(8191))).alias("c")).select("c.*").collect()]
+    texts_ = [c.content for c in review.select(F.explode(postmortems.chunks_of(F.col("body_md"), F.lit(8191))).alias("c")).select("c.*").collect()]
     vectors = spark.createDataFrame([(t, [1.0, 0.0] if "pool" in t else [0.0, 1.0]) for t in texts_], "text string, vector array<float>")
     chunks = postmortems.chunk_table(review, vectors, 2)
     assert [(c.ordinal, c.kind) for c in chunks.orderBy("ordinal").collect()] == [(0, "section"), (1, "section"), (2, "resolution")]
     assert postmortems.changed_only(review, review).count() == 0
-    assert postmortems.chunk("## A\n\none two\n\nthree", 4) == [("section", "## A\n\none two"), ("section", "three")]
+    assert chunked(spark, "## A\n\none two\n\nthree", 4) == [("section", "## A\n\none two"), ("section", "three")]
+    for body, cap in (("## Resolution\na\n## Resolution\nb", 9), ("## Resolution\na b c", 2)):
+        with pytest.raises(Exception, match="resolution"):
+            chunked(spark, body, cap)
+
+
+def chunked(spark, body, cap):
+    found = spark.createDataFrame([(body, cap)], "body string, cap int").select(F.inline(postmortems.chunks_of(F.col("body"), F.col("cap")))).collect()
+    return [tuple(c) for c in found]
+
+
+def test_pod_names_of_many_suffixes(spark):
+    from evidentry.operators.resolve import pod_candidates
+
+    name = "web" + "".join(f"-{i}" for i in range(1, 13))
+    found = spark.createDataFrame([(name,), ("web",)], "n string").select(pod_candidates(F.col("n")).alias("c")).collect()
+    assert len(found[0].c) == 13 and found[0].c[-1] == "web" and found[1].c == ["web"]
+
+
+def test_named_minutes_and_offsets_are_checked(spark):
+    from evidentry.operators.rollups import checked_minutes
+
+    pairs = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2026-01-01 00:01:00'), (1, TIMESTAMP '2026-01-01 00:01:00') AS t(service_id, bucket_start)")
+    assert checked_minutes(pairs).count() == 1
+    with pytest.raises(Exception, match="start of a minute"):
+        checked_minutes(pairs.withColumn("bucket_start", F.expr("bucket_start + INTERVAL 1 SECOND"))).collect()
+    with pytest.raises(ValueError, match="zone"):
+        checked_minutes(pairs.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz")))
+    with pytest.raises(Exception, match="null"):
+        checked_minutes(pairs.withColumn("service_id", F.lit(None).cast("int"))).collect()
+    assert S.checked_offsets(spark.range(3).withColumnRenamed("id", "source_offset")).count() == 3
+    with pytest.raises(Exception, match="number of bytes"):
+        S.checked_offsets(spark.range(-1, 1).withColumnRenamed("id", "source_offset")).collect()
 
 
 def test_resolution_order(spark, services):
@@ -253,6 +285,7 @@ def test_three_queries(full):
     assert text.endswith("commit:" + "a" * 40 + " <- 1\nlog:x <- MISSING FROM TRACE")
     assert render.markdown({"root_cause": {"text": "pool", "cites": ["log:a"]}, "confidence": 1}) == "## Root cause\n- pool [log:a]\n"
     assert render.packed_cites(["aa", "bb", "cc"], 5) == ("aa bb", 1)
+    assert render.packed_cites(["aa", "b" * 9, "cc"], 5) == ("aa cc", 1)
     assert parse_time("2026-08-19T16:00:00+02:00") == datetime(2026, 8, 19, 14, tzinfo=UTC)
 
 
@@ -336,7 +369,7 @@ def test_whole_corpus_twice(spark, corpus, tmp_path):
     (root / "terraform/applies.json").write_text((root / "applies.json").read_text().replace("plan.json", "plan-a.json"))
     shutil.move(root / "reviews", root / "postmortems")
     shutil.move(root / "manifest.yaml", root / "logs/manifest.yaml")
-    texts_ = [c for _, c in postmortems.chunk(REVIEW.split("---\n", 2)[2])]
+    texts_ = [c for _, c in chunked(spark, REVIEW.split("---\n", 2)[2], 8191)]
     vectors = spark.createDataFrame([(t, [1.0, 0.0]) for t in texts_], "text string, vector array<float>")
     evidence = S.EvidenceStore(spark, f"file://{tmp_path}/store")
     digest = lambda: provenance.replay_digest({n: evidence.read(n) for n in evidence.tables})
@@ -377,7 +410,9 @@ def test_runs(spark, full):
     with pytest.raises(LookupError):
         runs.stored_run(full.read("incidents"), "r2")
     blocks = runs.slack_blocks(summary, "r1")
-    assert len(blocks) == 3 and all(len(b["text"]["text"]) <= runs.SECTION for b in blocks) and blocks[1]["text"]["text"].endswith("commit:x")
+    assert len(blocks) == 4 and all(len(b["text"]["text"]) <= runs.SECTION for b in blocks[:3]) and blocks[1]["text"]["text"].endswith("commit:x")
+    many = runs.slack_blocks({"ruled_out": [{"text": "u", "cites": []}] * 60}, "r1")
+    assert len(many) == runs.BLOCKS and many[-1]["elements"][0]["text"] == "run_id: r1 · 17 section(s) omitted"
     value = {"a": {"b": [{"c": 1}, {"c": 0}]}, "e": []}
     assert runs.resolve_path(value, "a.b[].c") == [1, 0] and runs.path_holds(value, "a.b[].c", "> 0") and not runs.path_holds(value, "a.b[].c", "== 0")
     assert runs.path_holds(value, "e", "is empty") and runs.path_holds(value, "a.b[].c", contains=[1, 0])

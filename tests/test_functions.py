@@ -118,7 +118,14 @@ def test_diffs():
     assert jsondiff.changed({"k": 1}, {}, {"k": True}, {}) == {}
     assert jsondiff.changed({"k": 1}, {}, {"k": True}, {"k": True}) == {"k": jsondiff.HIDDEN}
     assert jsondiff.changed({"k": [1, 2]}, {"k": [2, 1]}, {}, {}) == {"k": {"before": [1, 2], "after": [2, 1]}}
-    assert jsondiff.either_sensitive({"a": [False]}, {"a": [False, True], "b": True}) == {"a": [False, True], "b": True}
+    assert jsondiff.marks({"a": [False]}, {"a": [False, True], "b": True}) == {("a", 1), ("b",)}
+    assert jsondiff.marks({"a": [False]}, {"a": {"c": True}}) == set()
+    assert jsondiff.changed({"a": {"b": 1}}, {"a": None}, {}, {}) == {"a": {"b": {"before": 1, "after": None}}}
+    assert jsondiff.changed({"a": {"b": 1}}, {"a": [1]}, {}, {}) == {"a": {"before": {"b": 1}, "after": [1]}}
+    assert jsondiff.changed({"a": {"b": {"c": 1}}}, {"a": 5}, {}, {"a": {"b": True}}) == {"a": {"b": jsondiff.HIDDEN}}
+    assert jsondiff.changed({"a": {}}, {"a": {}}, {}, {"a": True}) == {"a": jsondiff.HIDDEN}
+    assert jsondiff.changed({"a": {"b": 1, "c": 2}}, {"a": {"b": 2, "c": 3}}, {"a": {"b": True}}, {}, {"a": {"c": True}}) == {"a": {"c": jsondiff.HIDDEN}}
+    assert jsondiff.changed({"k": 1}, {"k": 2}, {}, True) == jsondiff.HIDDEN
     with pytest.raises(ValueError):
         jsondiff.sorted_json({1: 2})
 
