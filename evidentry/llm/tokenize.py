@@ -35,12 +35,12 @@ def default_path(name: str) -> str:
 
 
 class CachedTokenizer:
-    """Encodes texts to little-endian ids; ``limit`` words, some 120 MB, are kept at most between batches.
+    """Encodes texts to little-endian ids; ``limit`` words, some 280 MB, are kept at most between batches.
 
     An id takes two bytes (``wide``) where the vocabulary and ``end_id`` allow it, else four.
     """
 
-    def __init__(self, path: str, end_id: int = 0, limit: int = 600_000):
+    def __init__(self, path: str, end_id: int = 0, limit: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
