@@ -148,7 +148,7 @@ def _two_batches(spark, d):
   UNION ALL SELECT 2, count(*) FILTER (WHERE event_id % 3 = 0), count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 5 > 0), count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 5 = 0), 0 FROM events""")
 def store_ingest(spark, d):
     _, reports = _two_batches(spark, d)
-    return spark.createDataFrame([(i + 1, r.inserted, r.duplicates, r.promoted, r.unresolved) for i, r in enumerate(reports)], "batch int, inserted long, duplicates int, promoted int, unresolved long")
+    return spark.createDataFrame([(i + 1, r.inserted, r.duplicates, r.promoted, r.unresolved) for i, r in enumerate(reports)], "batch int, inserted long, duplicates long, promoted long, unresolved long")
 
 
 @query(f"WITH {S.LOG_SQL} SELECT service_id, bucket_start, status_class, level, template_hash, count, first_seen, last_seen FROM rollups")
