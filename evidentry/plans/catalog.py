@@ -491,4 +491,4 @@ def replay_digest(spark, d):
     return spark.createDataFrame([(provenance.replay_digest({"nation": S.read(spark, d, "nation").select(*columns)}),)], "digest string")
 
 
-from evidentry.plans import ingest_queries  # noqa: E402, F401  registers its queries
+from evidentry.plans import ingest_queries, interface_queries  # noqa: E402, F401  register their queries
