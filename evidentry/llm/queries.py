@@ -1,11 +1,11 @@
-"""The queries of the ten operators, with production parameters, over whole tables."""
+"""The queries of the thirteen operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentry.llm import decontam, digests, langid, packing, pii, quality, secrets, sharding, simhash, tokenfiles
+from evidentry.llm import decontam, dialogues, digests, langid, packing, pii, quality, secrets, sharding, simhash, tokenfiles, vectorcodes, wordpieces
 from evidentry.llm.columns import table
 from evidentry.session import scratch_path
 
@@ -78,4 +78,28 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_packing, op4_token_files, op5_decontam, op6_secrets, op7_language, op8_digests, op9_sharding, op10_quality)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    return codes.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(vectorcodes.books_sha256(books)).alias("codebooks_sha256"))
+
+
+def op12_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return dialogues.described(dialogues.damaged(rows), rows).select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_wordpieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wordpieces.decoded(wordpieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_pii, op3_packing, op4_token_files, op5_decontam, op6_secrets, op7_language, op8_digests, op9_sharding, op10_quality, op11_vector_codes, op12_dialogues, op13_wordpieces)
+}
