@@ -3,16 +3,19 @@
 Emails, addresses, cards and phone numbers that the fixed patterns find are the seeds. The
 words around a seed are lexical patterns. Patterns and the identifier-like tokens that they
 enclose form a bipartite graph of distinct (pattern, value) edges, so copies of a text add
-nothing. Spark scores both sides in turn: a pattern by the share of its values that are known
-for a kind, a value by what its patterns say together; values above the threshold are known in
-the next round. Patterns of high confidence then mark unseen identifiers in all texts.
+nothing. Spark scores both sides in turn: a pattern by its values known for a kind against those
+known for another or unfit for it (unknown ones hardly count, as they are what is looked for), a
+value by what its patterns say together; values above the threshold are known in the next round.
+Patterns of high confidence then mark unseen identifiers in all texts.
 """
 
 from __future__ import annotations
 
 import logging
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +40,9 @@ _REST = re.compile(r"\S*")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>*%$#&"
 _EDGE = frozenset(_TRIM + "+-") - frozenset(" \t\r\n")
 _JOIN = " .()-"
-_REACH = 240
+_WORD = re.compile(r"\S+")
+#: A longer context word is read as one that has this length at least, whatever its characters.
+LONG_WORD = 100
 
 
 def _luhn(digits: str) -> bool:
@@ -153,46 +158,88 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _may_be(shape: str, value: str) -> int:
+    """The kinds that a token without a base span may be, as bits in the order of the kinds.
+
+    A card has 12 to 19 digits, and where 16 or more its check digit fits; a phone number has 7 to
+    16; an address of four numbers up to 255 is a base span already.
+    """
+    if shape == "email":
+        return 1
+    if shape == "ip":
+        return 0
+    digits = "".join(filter(str.isdecimal, value))
+    card = 12 <= len(digits) <= 19 and digits.isascii() and (len(digits) < 16 or _luhn(digits))
+    return 4 * card + 8 * (7 <= len(digits) <= 16)
+
+
 def _read(word: str) -> str:
+    if len(word) > LONG_WORD:
+        return "~"
+    word = word.lower()
     return "#" if _MARK.search(word) else word.strip(_TRIM) or word
 
 
-def _context(text: str, start: int, end: int, reach: int = _REACH) -> list[str]:
-    """Lexical patterns around a span: the two words before, and one word on either side; words with digits read as one.
-
-    Words are looked for within ``reach`` characters; one that goes on beyond them reads as "~",
-    so that no pattern is made of a part of a word.
-    """
-    low, high = max(0, start - reach), min(len(text), end + reach)
-    lead = text[low:start].lower().split()
-    if lead and low and not text[low - 1].isspace() and not text[low].isspace():
-        lead[0] = "~"
-    tail = text[end:high].lower().split(None, 1)[:1]
-    if tail and high < len(text) and not text[high].isspace() and not any(map(str.isspace, text[high - len(tail[0]) - 1 : high])):
-        tail[0] = "~"
-    lead, tail = list(map(_read, lead[-2:])), list(map(_read, tail))
-    out = []
-    if len(lead) == 2:
-        out.append(f"{lead[0]} {lead[1]} _")
-    if lead and tail:
-        out.append(f"{lead[-1]} _ {tail[0]}")
-    return out
+class _Contexts:
+    """The words around spans of one text, found near them, or in a table of all words where they are farther off."""
+
+    def __init__(self, text: str, near: int = 240):
+        self.text, self.near, self.words = text, near, None
+
+    def _far(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        if self.words is None:
+            spans = [m.span() for m in _WORD.finditer(self.text)]
+            self.words = [s for s, _ in spans], [e for _, e in spans]
+        starts, ends = self.words
+        cut = lambda s, e: self.text[s : min(e, s + LONG_WORD + 1)]  # noqa: E731  as much as tells a long word
+        last, after = bisect_left(starts, start), bisect_right(ends, end)
+        lead = [cut(starts[i], min(ends[i], start)) for i in range(max(0, last - 2), last)]
+        return lead, [cut(max(starts[after], end), ends[after])] if after < len(ends) else []
+
+    def _around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        text, low, high = self.text, max(0, start - self.near), min(len(self.text), end + self.near)
+        lead, tail = text[low:start].split(), text[end:high].split(None, 1)
+        # The first word of a window is whole only at the text's beginning; the last one only if something follows it.
+        if low and len(lead) < 3 or high < len(text) and len(tail) < 2:
+            return self._far(start, end)
+        return lead[-2:], tail[:1]
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Lexical patterns around a span: the two words before, and one word on either side.
+
+        Words with digits read as "#", those of more than ``LONG_WORD`` characters as "~". What
+        stands between a span and the blank before or after it is a word.
+        """
+        lead, tail = (list(map(_read, words)) for words in self._around(start, end))
+        out = []
+        if len(lead) == 2:
+            out.append(f"{lead[0]} {lead[1]} _")
+        if lead and tail:
+            out.append(f"{lead[-1]} _ {tail[0]}")
+        return out
 
 
 _SPAN = "struct<kind:string,start:int,end:int>"
-_FOUND = f"row long, doc_id long, text_hash long, base array<{_SPAN}>, seen array<struct<kind:string,shape:string,value:string,start:int,end:int,patterns:array<string>>>"
+_FOUND = f"row long, doc_id long, text_hash long, base array<{_SPAN}>, seen array<struct<kind:string,shape:string,value:string,may:int,start:int,end:int,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text_hash, base, seen): each text's spans, and its identifier-like tokens and runs of numbers with the patterns around them (kind null outside spans)."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    token = pa.struct([("kind", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))])
+    token = pa.struct([("kind", pa.string()), ("shape", pa.string()), ("value", pa.string()), ("may", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.string()))])
 
     def tokens(text: str, base: list) -> list[dict]:
-        out = [{"kind": k, "shape": k if k in ("email", "ip") else "number", "value": text[s:e].lower(), "start": s, "end": e, "patterns": _context(text, s, e)} for k, s, e in base]
+        around = _Contexts(text)
+
+        def told(kind: str | None, shape: str, start: int, end: int) -> dict:
+            value = text[start:end].lower()
+            may = 1 << KINDS.index(kind) if kind else _may_be(shape, value)
+            return {"kind": kind, "shape": shape, "value": value, "may": may, "start": start, "end": end, "patterns": around.patterns(start, end)}
+
+        out = [told(k, k if k in ("email", "ip") else "number", s, e) for k, s, e in base]
         taken = sorted((s, e) for _, s, e in base)
         runs = _number_runs(text, taken)
-        out += [{"kind": None, "shape": "number", "value": text[s:e].lower(), "start": s, "end": e, "patterns": _context(text, s, e)} for s, e in runs]
+        out += [told(None, "number", s, e) for s, e in runs]
         i = j = 0
         for low, high in _tokens(text):
             raw = text[low:high]
@@ -209,7 +256,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             if shape == "number" and j < len(runs) and low <= runs[j][0] <= start and end <= runs[j][1] <= high:
                 continue  # the run is this token
             if not any(s < end and start < e for s, e in taken[i : i + 4]):
-                out.append({"kind": None, "shape": shape, "value": value.lower(), "start": start, "end": end, "patterns": _context(text, start, end)})
+                out.append(told(None, shape, start, end))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,22 +277,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return plain.mapInArrow(run, _FOUND)
 
 
-def confident_patterns(found: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.9, promote: float = 0.95) -> DataFrame:
-    """(kind, shape, pattern): the patterns whose values are, by distinct values, known for one kind to ``confidence`` at least.
+def _fits(kind: str) -> Column:
+    """Whether the token's bits ``may`` have the kind that the column names."""
+    bit = reduce(lambda rest, k: F.when(F.col(kind) == KINDS[k], 1 << k).otherwise(rest), range(len(KINDS)), F.lit(0))
+    return F.col("may").bitwiseAND(bit) != 0
+
+
+def confident_patterns(
+    found: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.9, promote: float = 0.95, unknown: float = 0.02, prior: float = 0.1
+) -> DataFrame:
+    """(kind, shape, pattern): the patterns whose score for a kind is ``confidence`` at least.
 
-    A pattern needs ``support`` distinct known values. Each round promotes values whose
-    patterns' scores, taken as independent, reach ``promote``; a known value keeps its kind. It
-    ends with the round that promotes none, or with a warning after ``rounds`` where that is given.
+    Of a pattern's distinct values, p are known for the kind, n are known for another or can't be
+    of it, u are neither; its score is p / (p + n + ``unknown`` * u + ``prior``), times
+    log(1 + p) / log(2 + p), and it needs p of ``support``. Each round promotes values that fit
+    a kind and whose patterns' scores for it, taken as independent, reach ``promote``; a known value keeps
+    its kind. It ends with the round that promotes none, or with a warning after ``rounds``
+    where that is given.
     """
-    tokens = found.select(F.explode("seen").alias("t")).select("t.kind", "t.shape", "t.value", F.explode("t.patterns").alias("pattern"))
-    edges = materialize(tokens.groupBy("shape", "pattern", "value").agg(F.min("kind").alias("seed")), "pii-edges")
+    tokens = found.select(F.explode("seen").alias("t")).select("t.kind", "t.shape", "t.value", "t.may", F.explode("t.patterns").alias("pattern"))
+    edges = materialize(tokens.groupBy("shape", "pattern", "value").agg(F.min("kind").alias("seed"), F.bit_or("may").alias("may")), "pii-edges")
     known = edges.where("seed IS NOT NULL").groupBy("shape", "value").agg(F.min("seed").alias("kind"))
-    sized = edges.groupBy("shape", "pattern").agg(F.count("*").alias("n"))
-    unseen = edges.where("seed IS NULL").select("shape", "pattern", "value")
+    unseen = edges.where("seed IS NULL").select("shape", "pattern", "value", "may")
 
     def score_patterns(known: DataFrame) -> DataFrame:
-        hits = edges.join(known, ["shape", "value"]).groupBy("shape", "pattern", "kind").agg(F.count("*").alias("hits"))
-        return hits.join(sized, ["shape", "pattern"]).where(F.col("hits") >= support).withColumn("score", F.col("hits") / F.col("n"))
+        told = edges.join(known, ["shape", "value"], "left")
+        own = lambda k: F.count_if(F.col("kind") == k)
+        unfit = lambda i: F.count_if(F.col("kind").isNull() & (F.col("may").bitwiseAND(1 << i) == 0))
+        counts = told.groupBy("shape", "pattern").agg(F.count("kind").alias("known"), F.count("*").alias("n"), *(own(k).alias(f"p_{k}") for k in KINDS), *(unfit(i).alias(f"x_{k}") for i, k in enumerate(KINDS)))
+        kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"p_{k}").alias("p"), F.col(f"x_{k}").alias("unfit")) for k in KINDS)))
+        each = counts.select("shape", "pattern", "known", "n", kinds.alias("k")).select("shape", "pattern", "known", "n", "k.*").where(F.col("p") >= support)
+        against = F.col("known") - F.col("p") + F.col("unfit")
+        share = F.col("p") / (F.col("p") + against + unknown * (F.col("n") - F.col("p") - against) + prior)
+        return each.select("shape", "pattern", "kind", (share * F.log1p("p") / F.log1p(F.col("p") + 1)).alias("score"))
 
     known = materialize(known, "pii-known")
     n, done = known.count(), 0
@@ -254,7 +318,8 @@ def confident_patterns(found: DataFrame, rounds: int | None = None, support: int
             _LOG.warning("stopped after %d rounds; values may still grow", rounds)
             break
         scored = score_patterns(known)
-        said = unseen.join(scored, ["shape", "pattern"]).groupBy("shape", "value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"))
+        said = unseen.join(scored, ["shape", "pattern"]).where(_fits("kind"))
+        said = said.groupBy("shape", "value", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("score"))
         best = said.groupBy("shape", "value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
         fresh = best.where(F.col("score") >= promote).select("shape", "value", "kind").join(known, ["shape", "value"], "left_anti")
         grown = materialize(known.unionByName(fresh), "pii-known")
@@ -274,8 +339,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     found = materialize(scan(docs, id_col, text_col), "pii-scan")
     patterns = materialize(confident_patterns(found, **bootstrap), "pii-patterns")
-    tokens = found.select("row", F.explode("seen").alias("t")).where("t.kind IS NULL").select("row", "t.shape", "t.start", "t.end", F.explode("t.patterns").alias("pattern"))
-    hits = tokens.join(patterns, ["shape", "pattern"]).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
+    tokens = found.select("row", F.explode("seen").alias("t")).where("t.kind IS NULL").select("row", "t.shape", "t.may", "t.start", "t.end", F.explode("t.patterns").alias("pattern"))
+    hits = tokens.join(patterns, ["shape", "pattern"]).where(_fits("kind")).groupBy("row", "start", "end").agg(F.min("kind").alias("kind"))
     before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached <= start")  # of a run and a token in it the run
     more = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("more"))
