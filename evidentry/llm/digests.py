@@ -23,6 +23,8 @@ from evidentry.session import materialize
 
 BUCKETS = 256
 HEAD_WEIGHT = 0.1
+#: Bytes of text in a range of documents, at most about.
+RANGE_BYTES = 1 << 28
 
 
 def _hashed(data: np.ndarray) -> np.ndarray:
@@ -135,7 +137,8 @@ def compared_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     # The row's number keeps many rows of one doc_id from being one range.
     keys = ["doc_id", "head", "text_hash", "row"]
     numbered = plain.withColumns({"head": F.substring("text", 1, 16), "text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})

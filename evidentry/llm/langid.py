@@ -73,31 +73,33 @@ class LanguageModel:
         return self.languages[best], float(share[best] / share.sum())
 
 
-def bounded_sample(labelled: DataFrame, label: str, key: str, most: int, labels: int = 256) -> DataFrame:
-    """About ``most`` rows of each label at most, chosen by a hash of ``key``; all rows of labels with fewer.
+def bounded_sample(labelled: DataFrame, label: str, keys: list[str], most: int, labels: int = 256) -> DataFrame:
+    """About ``most`` rows of each label at most, chosen by a hash of ``keys``; all rows of labels with fewer.
 
-    Of more than ``labels`` distinct labels the most frequent ones are learned, ties by name: with
-    ``most`` the documented bound of the sample.
+    More than ``labels`` distinct labels are an error that names some of those beyond, by frequency.
     """
-    counts = labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels)
-    shares = [(value, min(1.0, most / n)) for value, n in counts.collect()]
+    counts = labelled.groupBy(label).count()
+    found = counts.orderBy(F.desc("count"), label).limit(labels + 20).collect()
+    if len(found) > labels:
+        raise ValueError(f"more than {labels} labels to learn; among those beyond are {', '.join(str(r[0]) for r in found[labels:])}")
+    shares = [(value, min(1.0, most / n)) for value, n in found]
     if not shares:
         return labelled
     chosen = labelled.sparkSession.createDataFrame(shares, labelled.select(F.col(label).alias("of_label"), F.lit(1.0).alias("share")).schema)
     sampled = labelled.join(F.broadcast(chosen), F.col(label) == F.col("of_label"))  # as many rows as ``labels``
-    return sampled.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("of_label", "share")
+    return sampled.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.col("share") * (1 << 30)).drop("of_label", "share")
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", max_docs: int = 20_000, max_labels: int = 256, smoothing: float = 0.1) -> LanguageModel:
     """Learns from rows with a label and a text that has a letter.
 
-    ``max_docs`` bounds the rows of each label, chosen by a hash of the id, and ``max_labels``
-    the labels, the most frequent first: a documented sample, taken only where there are more.
-    Counts that reach the driver are at most 65,537 numbers a label. Without rows the model
-    knows no language.
+    ``max_docs`` bounds the rows of each label, chosen by a hash of the id and the text: a
+    documented sample, taken only where there are more. More than ``max_labels`` labels are an
+    error. Counts that reach the driver are at most 65,537 numbers a label. Without rows the
+    model knows no language.
     """
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    rows = bounded_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "label", "doc_id", max_docs, max_labels)
+    rows = bounded_sample(rows.where("label IS NOT NULL AND text IS NOT NULL"), "label", ["doc_id", "text"], max_docs, max_labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -154,7 +156,9 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 def known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language the model can tell: those predicted ``und`` go.
 
-    A model that knows no language can't tell any; then the rows whose text has a letter stay.
+    These are null and empty texts and those without a letter. Repeated rows stay, each by its
+    own text; columns of any name pass through; an empty table gives none. A model that knows
+    no language can't tell any; then the rows whose text has a letter stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

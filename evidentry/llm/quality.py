@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,13 +166,16 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60
 
 
 def train(features: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = 40_000) -> QualityModel:
-    """Fits on at most about ``max_rows`` labelled documents of each label, a sample by a hash of the id: the documented bound.
+    """Fits on at most ``max_rows`` distinct (id, features) of each label, those of the least hashes: the documented bound.
 
-    So the driver gets ``2 * max_rows`` rows of 256 bytes at most.
+    So the driver gets ``2 * max_rows`` rows of 256 bytes at most, however often an id is repeated.
+    Rows of hashes that can't be among the least are left out before they are ordered.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    marked = bounded_sample(marked, "label", "doc_id", max_rows)
-    rows = features.join(marked, "doc_id").select("doc_id", "features", "label").toPandas().sort_values(["doc_id", "label"], kind="stable")
+    marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    joined = materialize(features.join(marked, "doc_id").select("doc_id", "features", "label").distinct(), "quality-labelled")
+    thinned = bounded_sample(joined, "label", ["doc_id", "features"], max_rows + 6 * math.isqrt(max_rows) + 100)
+    each = [thinned.where(F.col("label") == k).orderBy(F.pmod(F.xxhash64("doc_id", "features"), F.lit(1 << 30)), "doc_id", "features").limit(max_rows) for k in (0, 1)]
+    rows = each[0].union(each[1]).toPandas().sort_values(["doc_id", "label", "features"], kind="stable")
     x = np.frombuffer(b"".join(bytes(f) for f in rows["features"]), "<f4").reshape(-1, 2 * DIM).astype(float)
     return fit_network(x, rows["label"].to_numpy(np.int64))
 

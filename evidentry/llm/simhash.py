@@ -67,12 +67,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return plain.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """The bits (as signed longs) of every choice of ``blocks - distance`` runs."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    runs = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]
-    chosen = (sum(c) for c in combinations(runs, blocks - distance))
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_masks(blocks: int, distance: int, known: int = 0) -> list[int]:
+    """The bits (as signed longs) of every choice of ``blocks - distance`` runs of the bits that ``known`` hasn't, with those of ``known``."""
+    known &= (1 << 64) - 1
+    free = [k for k in range(64) if not known >> k & 1]
+    edges = [round(len(free) * k / blocks) for k in range(blocks + 1)]
+    runs = [sum(1 << k for k in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [_signed(known | sum(c)) for c in combinations(runs, blocks - distance)]
 
 
 def _apart(a: np.ndarray, b: np.ndarray | np.int64) -> np.ndarray:
@@ -96,8 +101,8 @@ def _walk(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def _bucket_links(distance: int, max_bucket: int):
-    """Rows sorted by (mask_no, key, fp) -> links; members of large buckets come back with their mask_no."""
+def _bucket_links(distance: int, limits: list[int]):
+    """Rows sorted by (mask_no, key, fp) -> links; members of buckets beyond their mask's limit come back with its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -127,7 +132,7 @@ def _bucket_links(distance: int, max_bucket: int):
             near = _apart(a, b) <= distance
             links += list(zip(a[near].tolist(), b[near].tolist()))
             for s, n in zip(starts[sizes > 2], sizes[sizes > 2]):
-                if n > max_bucket:
+                if n > limits[rows[s, 0]]:
                     big.append(rows[s : s + n])
                 else:
                     links += _walk(rows[s : s + n, 2], distance)
@@ -150,7 +155,7 @@ def _bucket_links(distance: int, max_bucket: int):
             if last:
                 yield emit(*close(rows[:last]))
             held = [rows[last:]]
-            if len(held[0]) > max_bucket:
+            if len(held[0]) > limits[held[0][0, 0]]:
                 large = held[0][0, :2].copy()
                 yield emit([], held[0])
                 held = []
@@ -160,34 +165,35 @@ def _bucket_links(distance: int, max_bucket: int):
     return run
 
 
-def _large_bucket_links(members: DataFrame, masks: dict[int, int], distance: int) -> DataFrame:
-    """Links within large buckets; ``members`` has (a, large_in), the fingerprint and the number of its mask."""
-    out = None
-    for no, mask in masks.items():
-        free = [k for k in range(64) if not (mask >> k) & 1]
-        clear = [sum(1 << k for k in c) for c in combinations(free, distance)]
-        keep = [~c if ~c >= -(1 << 63) else (~c) + (1 << 64) for c in clear]
-        here = members.where(F.col("large_in") == no).select("a").distinct()
-        dealt = here.select("a", F.posexplode(F.array(*[F.lit(k) for k in keep])).alias("c", "keep"))
-        dealt = dealt.select("a", "c", F.col("a").bitwiseAND(F.col("keep")).alias("rest"))
-        groups = dealt.groupBy("c", "rest").agg(F.collect_set("a").alias("near")).where("size(near) > 1")
-        links = groups.select(F.explode("near").alias("a"), F.array_min("near").alias("b")).where("a <> b")
-        out = links if out is None else out.union(links)
-    return out.distinct()
+#: Of fingerprints that agree in all but so many bits, more than a few thousand lie so close that a walk over them is short: such a bucket is walked whatever its size.
+_FEW_BITS = 18
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = 6, max_bucket: int = 20_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs within the distance."""
+    """Links (a, b) between distinct fingerprints ``fp`` whose components are those of all pairs within the distance.
+
+    Pairs within the distance agree in ``blocks - distance`` runs of bits. The members of a bucket
+    of more than ``max_bucket`` differ only in their other bits, so these are cut into runs and
+    the members dealt to buckets again, until a bucket is small or few bits are left.
+    """
     masks = block_masks(blocks, distance)
     tables = F.array(*[F.struct(F.lit(i).cast("long").alias("mask_no"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
-    dealt = distinct.select("fp", F.explode(tables).alias("t")).select("t.mask_no", "t.key", "fp")
-    buckets = dealt.repartition("mask_no", "key").sortWithinPartitions("mask_no", "key", "fp")
-    found = materialize(buckets.mapInArrow(_bucket_links(distance, max_bucket), "a long, b long, large_in long"), "bucket-links")
-    links = found.where("large_in < 0").select("a", "b")
-    large = [r[0] for r in found.where("large_in >= 0").select("large_in").distinct().collect()]
-    if large:
-        links = links.union(_large_bucket_links(found.where("large_in >= 0"), {i: masks[i] for i in large}, distance))
-    return links
+    dealt, links = distinct.select("fp", F.explode(tables).alias("t")).select("t.mask_no", "t.key", "fp"), None
+    while True:
+        limits = [max_bucket if 64 - (m & (1 << 64) - 1).bit_count() > max(_FEW_BITS, distance) else 1 << 62 for m in masks]
+        buckets = dealt.repartition("mask_no", "key").sortWithinPartitions("mask_no", "key", "fp")
+        found = materialize(buckets.mapInArrow(_bucket_links(distance, limits), "a long, b long, large_in long"), "bucket-links")
+        here = found.where("large_in < 0").select("a", "b")
+        links = here if links is None else links.union(here)
+        large = sorted(r[0] for r in found.where("large_in >= 0").select("large_in").distinct().collect())
+        if not large:
+            return links
+        # Keys hold the bits that are known, so buckets of one mask need no key of the bucket they come from.
+        finer = {i: block_masks(blocks, distance, masks[i]) for i in large}
+        masks = [m for i in large for m in finer[i]]
+        first = {i: sum(len(finer[j]) for j in large if j < i) for i in large}
+        choice = F.coalesce(*(F.when(F.col("large_in") == i, F.array(*(F.struct(F.lit(first[i] + k).cast("long").alias("mask_no"), F.col("a").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(finer[i])))) for i in large))
+        dealt = found.where("large_in >= 0").select(F.col("a").alias("fp"), F.explode(choice).alias("t")).select("t.mask_no", "t.key", "fp")
 
 
 def near_duplicates(

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidentry.llm import langid, quality
@@ -84,3 +85,24 @@ def test_awkward_rows_are_scored(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(3, None), (None, 1), (4, 7)], "doc_id long, quality int")
     found = quality.quality_scores(frame(spark), labels)
     assert found.count() == len(rows()) and found.where(F.col("score").isNull() | F.isnan("score")).count() == 0
+
+
+def test_rows_at_the_driver_are_bounded_with_repeated_ids(spark, monkeypatch):
+    """Three ids of 2,000 rows each and ``max_rows`` of 1: two rows are learned from, and equal rows are one."""
+    met = []
+    monkeypatch.setattr(quality, "fit_network", lambda x, y: met.append((x, y)))
+    texts = spark.range(6000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text number "), (F.col("id") / 2).cast("int").cast("string")).alias("text"))
+    features = quality.pooled(texts, np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32))
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (2, 1)], "doc_id long, quality int")
+    quality.train(features, labels, max_rows=1)
+    quality.train(features, labels, max_rows=500)
+    quality.train(features, labels, max_rows=10**6)
+    assert [len(y) for _, y in met][:2] == [2, 1000] and len(met[2][1]) == features.distinct().count()
+    assert sorted(met[0][1]) == [0, 1] and met[1][1].sum() == 500
+
+
+def test_more_labels_than_the_bound_are_named(spark):
+    docs = spark.createDataFrame([(i, f"text of {i}", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 5 labels.*l5, l6"):
+        langid.train(docs, max_labels=5)
+    assert len(langid.train(docs, max_labels=7).languages) == 7

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from evidentry.llm import simhash
@@ -127,3 +128,23 @@ def test_one_of_each_group_stays(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.without_near_duplicates(empty(spark)).count() == 0
+
+
+def test_a_bucket_of_fifty_thousand_is_cut_again(spark):
+    """All share 32 bits; pairs are planted at 1 to 4 bits. Each member is dealt to 20 finer buckets, not to every choice of 3 bits."""
+    rng = np.random.default_rng(9)
+    low = rng.choice(1 << 32, 49_600, replace=False).astype(np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(32, 1 + k % 4, replace=False)) for k in range(400)], np.uint64)
+    values = np.unique(np.r_[low, low[:400] ^ flips]) | np.uint64(0xABCD_EF01 << 32)
+    signed = values.view(np.int64)
+    links = simhash.fingerprint_links(spark.createDataFrame([(int(v),) for v in signed], "fp long").repartition(4))
+    roots = {r.node: r.root for r in component_roots(links).collect()}
+    planted = [((x | np.uint64(0xABCD_EF01 << 32)).view(np.int64), (x ^ f | np.uint64(0xABCD_EF01 << 32)).view(np.int64), int(np.bitwise_count(f))) for x, f in zip(low[:400], flips)]
+    assert all(roots.get(int(a), int(a)) == roots.get(int(b), int(b)) for a, b, d in planted if d <= 3)
+    pairs = links.collect()
+    assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 3 for r in pairs)
+    masks = simhash.block_masks(6, 3)
+    for m in masks:
+        known = m & (1 << 64) - 1
+        finer = simhash.block_masks(6, 3, m)
+        assert len(finer) == 20 and all((f & known) == known for f in (x & (1 << 64) - 1 for x in finer))

@@ -95,3 +95,43 @@ def test_awkward_rows_and_empty(spark):
     folder = scratch_path(spark, "t")
     tokenfiles.write_token_files(empty(spark), folder)
     assert tokenfiles.read_token_files(spark, folder).count() == 0
+
+
+def test_checksums_are_put_together():
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 0), (5, 0), (0, 7), (1, 1), (1000, 77), (3, 100_000)):
+        a, b = rng.bytes(n), rng.bytes(m)
+        assert tokenfiles.joined_crc32(zlib.crc32(a), zlib.crc32(b), m) == zlib.crc32(a + b)
+
+
+def test_a_full_block_has_eight_segments_in_rows_of_their_own(spark):
+    rng = np.random.default_rng(7)
+    ids = rng.integers(0, 300, (1 << 21) + 5).astype(np.uint16)
+    coder = tokenfiles.Coder(tokenfiles.scaled(np.bincount(ids)))
+    frames = list(coder.cut(coder.encode(ids[: 1 << 21], 2048, 128)))
+    assert len(frames) == 8
+    for k in reversed(range(8)):
+        assert (coder.decode(frames[k]) == ids[k << 18 : k + 1 << 18]).all()
+    damaged = bytearray(frames[3])
+    damaged[60] ^= 4
+    with pytest.raises(ValueError):
+        coder.decode(bytes(damaged))
+    text = " ".join(rng.choice(["alpha", "beta", "gamma"], 3000))
+    folder = scratch_path(spark, "t")
+    tokenfiles.write_token_files(spark.createDataFrame([(1, text), (2, "x"), (3, text)], "doc_id long, text string"), folder, shards=1, lanes=16, steps=8, block_tokens=100_000)
+    rows_ = spark.read.parquet(f"{folder}/blocks").orderBy("first_token").collect()
+    assert len(rows_) > 40 and {r.block for r in rows_} == {0}
+    assert [r.first_token for r in rows_] == list(range(0, 128 * len(rows_), 128))
+
+
+def test_shards_follow_the_ids(spark):
+    texts = [(i, "one two three four") for i in range(40)]
+    folder = scratch_path(spark, "t")
+    tokenfiles.write_token_files(spark.createDataFrame(texts, "doc_id long, text string"), folder, lanes=4, shard_tokens=10)
+    assert spark.read.parquet(f"{folder}/blocks").select("shard").distinct().count() > 10
+    assert sorted(tuple(r)[:4] for r in tokenfiles.read_token_files(spark, folder).collect()) == expected(texts)
+
+
+def test_more_symbols_than_places_are_refused():
+    with pytest.raises(ValueError, match="no place"):
+        tokenfiles.scaled(np.ones(9, np.int64), bits=3)
