@@ -28,7 +28,7 @@ from evidentry.session import discard, materialize
 SCALE = 1024
 #: Relative slack of rounded distances: more than the errors of a conversion, a root and a sum of doubles together.
 _SLACK = 2.0**-48
-_LEAF = 8
+_LEAF = 32
 _SLICE = 1 << 13
 
 
