@@ -14,10 +14,9 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    # How much larger rows are in memory than in compressed Parquet, about; measured between 3 and 10.
+    "spark.sql.sources.fileCompressionFactor": "8.0",
 }
-#: How much larger rows are in memory than in compressed Parquet, about; measured between 3 and 10.
-ROWS_TO_FILES = "8.0"
-_FACTOR = "spark.sql.sources.fileCompressionFactor"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -64,12 +63,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     Unlike a cache it survives lost executors, costs no executor memory, and gives the
     planner sizes, so that joins above it broadcast only what Spark's threshold allows. Files
-    are smaller than rows in memory; where the session leaves ``fileCompressionFactor`` as it
-    is, the planner is told to reckon with :data:`ROWS_TO_FILES` times their size.
+    are smaller than rows in memory: :func:`build_session` has the planner reckon with eight
+    times their size, and a session made otherwise keeps its own setting.
     """
     spark = df.sparkSession
-    if float(spark.conf.get(_FACTOR)) == 1.0:
-        spark.conf.set(_FACTOR, ROWS_TO_FILES)
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

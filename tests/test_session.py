@@ -16,3 +16,14 @@ def test_materialized_tables(spark):
     assert Path("/root/testdata/sf0.001/region.parquet").exists()
     clear_scratch(spark)
     assert not folder.parent.exists()
+
+
+def test_materialize_leaves_the_settings_alone(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.fileCompressionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    assert before["spark.sql.sources.fileCompressionFactor"] == "8.0"
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.fileCompressionFactor", "1.0")
+    materialize(own.range(3), "settings")
+    materialize(spark.range(3), "settings")
+    assert own.conf.get("spark.sql.sources.fileCompressionFactor") == "1.0"
+    assert {k: spark.conf.get(k) for k in before} == before
