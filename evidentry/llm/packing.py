@@ -23,6 +23,8 @@ from evidentry.llm.columns import pieces as bounded
 from evidentry.llm.tokenize import default_path, tokenizer
 from evidentry.session import materialize
 
+#: Words whose ids a worker keeps; packing follows other stages in workers that live on, so fewer than the token files keep.
+CACHED_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -30,7 +32,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col:
     """One row a piece: where it starts in its document's ids, its length and checksum, the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = tokenizer(path, end_id), np.array([end_id], "<u4").tobytes()
+        coder, end = tokenizer(path, end_id, CACHED_WORDS), np.array([end_id], "<u4").tobytes()
         for batch in bounded(batches, limit=1 << 20):
             doc, no, start, size, crc, kept = [], [], [], [], [], []
             for d, found in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()])):

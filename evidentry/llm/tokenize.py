@@ -117,12 +117,12 @@ class CachedTokenizer:
         return [out[t] for t in texts]
 
 
-_loaded: dict[tuple[str, int], CachedTokenizer] = {}
+_loaded: dict[tuple[str, int, int], CachedTokenizer] = {}
 
 
-def tokenizer(path: str, end_id: int = 0) -> CachedTokenizer:
+def tokenizer(path: str, end_id: int = 0, limit: int = 1_200_000) -> CachedTokenizer:
     """The last one used is kept in each Python worker, so that its cache outlives a task."""
-    if (path, end_id) not in _loaded:
+    if (path, end_id, limit) not in _loaded:
         _loaded.clear()
-        _loaded[path, end_id] = CachedTokenizer(path, end_id)
-    return _loaded[path, end_id]
+        _loaded[path, end_id, limit] = CachedTokenizer(path, end_id, limit)
+    return _loaded[path, end_id, limit]
