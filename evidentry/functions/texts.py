@@ -34,34 +34,77 @@ MASKS = (
     ("SIZE", r"-?\b\d+(?:\.\d+)?(?:[KMGT]i?B)\b"),
     ("NUM", r"-?\b\d+(?:\.\d+)?\b"),
 )
-_ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in MASKS))
-_PLACEHOLDER = re.compile("<(" + "|".join(name for name, _ in MASKS) + ")>")
-_BLANK = re.compile(r"\s+")
-
-
-def mask_text(message: str) -> str:
-    """One pass from left to right, so that what a mask writes is never masked again; placeholders in the input are set apart first."""
-    apart = _PLACEHOLDER.sub(r"<ESC\1>", message)
-    return _BLANK.sub(" ", _ANY.sub(lambda m: f"<{m.lastgroup}>", apart)).strip()
-
-
-@F.pandas_udf(StringType())
-def mask(message: pd.Series) -> pd.Series:
-    """The template of each message. Arrow batches: no SQL replacement can depend on which branch matched."""
-    known = {m: mask_text(m) for m in message.dropna().unique()}
-    return message.map(known).where(message.notna(), None)
+#: Python's word characters and white space as classes of the JVM's expressions.
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r" \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_EDGE = f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+#: What the two open-ended masks need before them, or else an earlier place would have matched; so a long run is read once.
+_AFTER = {"URL": r"(?:\G|(?<![a-zA-Z]))", "EMAIL": rf"(?:\G|(?<![{_WORD}.+\-]))"}
+
+
+def _for_jvm(name: str, pattern: str) -> str:
+    """A pattern of ``MASKS`` with the meaning it has for Python's str; repeated groups give nothing back, which these never need to."""
+    out, inside, at = [_AFTER.get(name, "")], False, 0
+    while at < len(pattern):
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        at += len(part)
+        if part == r"\w":
+            out.append(_WORD if inside else f"[{_WORD}]")
+        elif part in (r"\d", r"\s", r"\b"):
+            out.append({r"\d": r"\p{Nd}", r"\s": _SPACE, r"\b": _EDGE}[part])
+        elif part == "." and not inside:
+            out.append(r"[^\n]")
+        else:
+            inside = part == "[" or inside and part != "]"
+            out.append(part)
+    return re.sub(r"\)(\*|\+|\{\d+,\})", r")\1+", "".join(out))
+
+
+_JVM = {name: _for_jvm(name, pattern) for name, pattern in MASKS}
+#: A gap, and the token after it or nothing at the end; the earliest branch that matches at a place is taken.
+_GAP_AND_TOKEN = rf"([\s\S]*?)(?:({'|'.join(_JVM.values())})|\z)"
+_PLACEHOLDER = "<(" + "|".join(name for name, _ in MASKS) + ")>"
+
+
+def mask(message: Column | str) -> Column:
+    """The template of a message: tokens give way to their names in one pass from left to right, and white space runs to one space.
+
+    Placeholders that a message has itself are set apart first. A token's name is the first
+    branch that fits it whole: no branch that looks at a token's surroundings could have fitted
+    where a later one was taken. Numbers are asked for first, as no other branch fits a plain one;
+    a host that begins with a hyphen needs the word before it, and is what no branch fits.
+    """
+    apart = F.regexp_replace(message, _PLACEHOLDER, "<ESC$1>")
+    gaps, tokens = (F.regexp_extract_all(apart, F.lit(_GAP_AND_TOKEN), F.lit(k)) for k in (1, 2))
+
+    def named(token: Column) -> Column:
+        out = F.when(token == "", "")
+        for name in ("NUM", *(n for n, _ in MASKS if n != "NUM")):
+            out = out.when(token.rlike(rf"\A(?:{_JVM[name]})\z"), f"<{name}>")
+        return out.otherwise("<HOSTPORT>")
+
+    joined = F.array_join(F.zip_with(gaps, F.transform(tokens, named), lambda gap, name: F.concat(gap, name)), "")
+    return F.btrim(F.regexp_replace(joined, f"[{_SPACE}]+", " "))
 
 
 def template_hash(masked: Column) -> Column:
     return F.substring(F.sha2(masked, 256), 1, 32)
 
 
+#: A character from U+0300 on; no text without one differs from its normal form C.
+_MAY_COMPOSE = r"[^\x00-\x{2ff}]"
+
+
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C; Spark has no built-in."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def nfc(text: Column) -> Column:
+    """Unicode normal form C; Spark has no built-in, so texts that may differ from theirs go to Python."""
+    return F.coalesce(F.when(~text.rlike(_MAY_COMPOSE), text), _composed(F.when(text.rlike(_MAY_COMPOSE), text)))
+
+
 def normalize_raw(raw: Column) -> Column:
     """Without the one line end it may have, in normal form C."""
     return nfc(F.regexp_replace(raw, r"\r?\n\z", ""))

@@ -216,12 +216,50 @@ def template_hash_groups(spark, d):
     return S.log_events(spark, d, templates=True).groupBy("template_hash").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"))
 
 
-@query()
+def _mask_patterns() -> dict[str, str]:
+    """The mask's branches for the SQL engine, whose patterns know no lookahead and ASCII word edges only; word characters beyond ASCII are underscores by then."""
+    hexed = "|".join([rf"[0-9]{{{k}}}[a-fA-F][0-9a-fA-F]{{{7 - k},}}" for k in range(7)] + ["[0-9]{7,}[a-fA-F][0-9a-fA-F]*"])
+    own = {"HEX": rf"0[xX][0-9a-fA-F]+\b|\b(?:{hexed})\b"}
+    return {name: own.get(name, pattern).replace(r"[^\s", r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}") for name, pattern in texts.MASKS}
+
+
+def mask_sql(rows: str, key: str, column: str) -> str:
+    """(key, masked) of the rows: tokens are found in a copy whose word characters beyond ASCII are underscores, gaps are cut from the text itself."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    branches = _mask_patterns()
+    every = quoted("|".join(f"(?:{p})" for p in branches.values()))
+    names = " ".join(f"WHEN regexp_full_match(token, {quoted(p)}) THEN '<{n}>'" for n, p in [("NUM", branches["NUM"]), *branches.items()])
+    listed = "|".join(branches)
+    return f"""WITH apart AS (SELECT {key}, regexp_replace({column}, '<({listed})>', '<ESC\\1>', 'g') AS o FROM {rows}),
+      plain AS (SELECT *, regexp_replace(regexp_replace(o, '[^\\x00-\\x7F\\P{{L}}]', '_', 'g'), '[^\\x00-\\x7F\\P{{N}}]', '_', 'g') AS m FROM apart),
+      cut AS (SELECT {key}, o, unnest(regexp_split_to_array(m, {every})) AS gap, unnest(list_append(regexp_extract_all(m, {every}), '')) AS token, generate_subscripts(regexp_split_to_array(m, {every}), 1) AS i FROM plain),
+      placed AS (SELECT *, sum(length(gap) + length(token)) OVER (PARTITION BY {key} ORDER BY i) - length(gap) - length(token) AS before FROM cut),
+      named AS (SELECT *, substr(o, before::BIGINT + 1, length(gap)) || CASE WHEN token = '' THEN '' {names} ELSE '<HOSTPORT>' END AS part FROM placed)
+      SELECT {key}, trim(regexp_replace(string_agg(part, '' ORDER BY i), '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS masked FROM named GROUP BY {key}"""
+
+
+@query(f"SELECT doc_id, substr(sha256(masked), 1, 32) AS template_hash FROM ({mask_sql('documents', 'doc_id', 'text')})")
 def template_mask(spark, d):
-    """Templates of free text; a branch of the mask needs lookahead, which the SQL engine's patterns lack."""
+    """Templates of free text."""
     return S.read(spark, d, "documents").select("doc_id", texts.template_hash(texts.mask("text")).alias("template_hash"))
 
 
+#: Messages with every kind of token, by the event's number; {i} and {u} are the event's and the user's.
+_TOKENS = (
+    "at 2026-08-19T14:03:22.{i}Z and 2026-08-19 14:03:22+02:00", "GET https://a.b/c?u={u} <URL>", "mail x.{u}+y@z-{i}.org", "id 0f8fad5b-d9cb-469f-a165-0000{i}8950e", "dead{i}beef at 0x{i}f, {i}",
+    "from 10.0.{u}.1:80 by [fe80::1]:{i}", "host-{u}.local:{i} refused x-y.z:1", "/var/log/{u}.log /one", r"""say "a \" {i} b" and 'c {u}'""", "took -{i}ms or {u}.5s", "used {i}GiB of 9KB", "  {i}\t-7  été {u}  ",
+)
+_FILLED = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in _TOKENS) + f"][event_id % {len(_TOKENS)} + 1]"
+
+
+@query(mask_sql(f"(SELECT event_id, replace(replace({_FILLED}, '{{i}}', event_id::VARCHAR), '{{u}}', user_id::VARCHAR) AS message FROM events)", "event_id", "message"))
+def template_branches(spark, d):
+    """Templates of messages that have every kind of token."""
+    made = F.element_at(F.array(*map(F.lit, _TOKENS)), (F.col("event_id") % len(_TOKENS) + 1).cast("int"))
+    filled = F.replace(F.replace(made, F.lit("{i}"), F.col("event_id").cast("string")), F.lit("{u}"), F.col("user_id").cast("string"))
+    return S.read(spark, d, "events").select("event_id", texts.mask(filled).alias("masked"))
+
+
 _BLOCKS = """WITH e AS (SELECT *, CASE WHEN extract(minute FROM ts) >= 0 THEN date_trunc('hour', ts)::TIMESTAMP + to_minutes((extract(minute FROM ts)::BIGINT // 5) * 5) END AS b FROM events),
   k AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'p-' || (event_id % 40) ELSE 'fp:' || substr(sha256('svc-' || (user_id % 10) || '|errors|' || strftime(b, '%Y-%m-%dT%H:%M:%S') || '+00:00'), 1, 32) END AS dedup_key FROM e)"""
 

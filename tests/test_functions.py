@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import unicodedata
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentry.functions import citations, identity, jsondiff, texts, times, vectors
 from evidentry.plans.catalog import QUERIES
+from tests.plain import mask_text
 
 
 @pytest.mark.parametrize(
@@ -25,7 +28,7 @@ from evidentry.plans.catalog import QUERIES
     ],
 )
 def test_mask(message, masked):
-    assert texts.mask_text(message) == masked
+    assert mask_text(message) == masked
 
 
 def test_template_hashes(spark):
@@ -135,3 +138,22 @@ def test_vectors(spark):
     r = row.select(vectors.cosine_distance(F.col("a"), F.col("b")).alias("d"), vectors.valid(F.col("a"), 2).alias("v"), vectors.valid(F.col("a"), 3).alias("w")).first()
     assert abs(r.d - 0.4) < 1e-6 and r.v and not r.w
     assert timedelta(0) == timedelta()
+
+
+def test_masks_of_columns_are_the_plain_ones(spark):
+    rng = random.Random(3)
+    parts = ["a", "é", "_", "0x", "1", "23", "deadbeef", "12345678", ".", ":", "-", "/", "//", "://", "http", "@", "b.c", "10.0.0.1", "2026-08-19T14:03:22", "Z", "+02:00", ",5", "550e8400-e29b-41d4-a716-446655440000"]
+    parts += ['"', "'", "\\", "\n", " ", "  ", " ", "\t", "ms", "µs", "s", "GiB", "KB", "<NUM>", "<", "[", "]", "fe80::1", "²", "٣", "日本", "x.y:80", "́", "\x1f", "½"]
+    texts_ = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    texts_ += ["a" * 200_000, "1 " * 50_000, "/a" * 50_000, "a.b:" * 30_000, '"' + "x\\\\" * 30_000 + '"', '"' * 20_001, None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts_)), "i int, m string")
+    for r in rows.select("i", texts.mask("m").alias("t")).collect():
+        m = texts_[r.i]
+        assert r.t == (mask_text(m) if m is not None else None), m[:300]
+
+
+def test_normal_form_of_texts_below_and_above_the_first_mark(spark):
+    given = ["", "plain", "é ß", "é", "가", "Ω", "日本 é", None, "˿", "à"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string")
+    assert [r.n for r in rows.select(texts.nfc(F.col("t")).alias("n")).collect()] == [t if t is None else unicodedata.normalize("NFC", t) for t in given]
+    assert all(unicodedata.is_normalized("NFC", a + b) for a in map(chr, range(0x300)) for b in map(chr, range(0x300)))
