@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentry.functions.identity import log_uid
+from evidentry.functions.jsonvalues import field, iso_time, kind, string_field, with_object
 from evidentry.functions.texts import canonical_level, component, mask, normalize_raw, template_hash
 from evidentry.functions.times import attach_zone
 from evidentry.sources.lines import records_by_header
@@ -68,8 +69,8 @@ def _record(**values: Any) -> dict[str, Any]:
     return base | values
 
 
-def _fields(values: dict[str, Any], text_only: bool) -> dict[str, Any]:
-    """What structured lines share: a message and a time are needed; odd durations and statuses are named in coercion_dropped."""
+def _fields(values: dict[str, str]) -> dict[str, Any]:
+    """A message and a time are needed; durations, which are text here, and odd statuses are named in coercion_dropped."""
     message, ts = values.get("msg"), values.get("ts")
     if not isinstance(message, str):
         return _record(reason="unparseable")
@@ -97,14 +98,6 @@ def _fields(values: dict[str, Any], text_only: bool) -> dict[str, Any]:
     return _record(micros=_micros(time), naive=time.tzinfo is None, service=text("service"), level=text("level"), status=code if code is None or abs(code) < 1 << 31 else None, trace_id=text("trace_id"), message=message, attrs=json.dumps(attrs, ensure_ascii=False))
 
 
-def parse_json_line(line: str) -> dict[str, Any]:
-    try:
-        values = json.loads(line)
-    except ValueError:
-        return _record(reason="unparseable")
-    return _fields(values, False) if isinstance(values, dict) else _record(reason="unparseable")
-
-
 def parse_logfmt_line(line: str) -> dict[str, Any]:
     """Shell-quoted key=value tokens; the last of equal keys counts."""
     try:
@@ -113,7 +106,7 @@ def parse_logfmt_line(line: str) -> dict[str, Any]:
         return _record(reason="unparseable")
     if any(len(p) < 2 or not p[0] for p in pairs):
         return _record(reason="unparseable")
-    return _fields({k: v for k, v in pairs}, True)
+    return _fields({k: v for k, v in pairs})
 
 
 def parse_traceback(lines: list[str], cut_by_header: bool, roots: tuple[str, ...] = ()) -> dict[str, Any]:
@@ -167,15 +160,38 @@ def _udf(function: Callable[[str], dict[str, Any]]):
     return parse
 
 
-def _structured(function: Callable[[str], dict[str, Any]], declared: bool) -> Callable[[DataFrame], DataFrame]:
-    def parse(lines: DataFrame) -> DataFrame:
-        p = _udf(function)(F.regexp_replace("raw", r"\r\z", ""))
-        out = lines.withColumn("p", p)
-        if declared:
-            out = out.withColumn("p", F.col("p").withField("service", F.coalesce("p.service", "declared")))
-        return out
+def parse_logfmt(lines: DataFrame) -> DataFrame:
+    """Shell-quoted lines, in Arrow batches; a line without a service has the declared one."""
+    parsed = lines.withColumn("p", _udf(parse_logfmt_line)(F.regexp_replace("raw", r"\r\z", "")))
+    return parsed.withColumn("p", F.col("p").withField("service", F.coalesce("p.service", "declared")))
 
-    return parse
+
+def parse_json_lines(lines: DataFrame) -> DataFrame:
+    """JSON objects, in built-in functions: a message and a time are needed, odd durations and statuses are named in coercion_dropped.
+
+    Of equal keys the last counts. Attributes are what no column has, keys in order.
+    """
+    rows = with_object(lines, F.regexp_replace("raw", r"\r\z", ""), "json_object")
+    values = F.col("json_object")
+    is_kind = lambda key, *kinds: F.coalesce(kind(values, key).isin(*kinds), F.lit(False))
+    has = lambda key: F.coalesce(F.map_contains_key(values, F.lit(key)), F.lit(False))
+    micros, naive = iso_time(string_field(values, "ts"))
+    code = F.when(is_kind("status", "integer"), field(values, "status").try_cast("int"))
+    digits = string_field(values, "status")
+    code = F.coalesce(code, F.when(digits.rlike("^[0-9]+$"), digits.try_cast("int")))
+    bad_duration = has("duration_ms") & ~is_kind("duration_ms", "integer", "number")
+    bad_status = has("status") & ~is_kind("status", "integer", "null") & ~F.coalesce(digits.rlike("^[0-9]+$"), F.lit(False))
+    dropped = F.array_compact(F.array(F.when(bad_duration, "duration_ms"), F.when(bad_status, "status")))
+    hidden = F.array(*map(F.lit, sorted(CONSUMED - {"duration_ms"})))
+    own = lambda key, _: ~F.array_contains(hidden, key) & ~((key == "duration_ms") & bad_duration) & ~((key == "coercion_dropped") & (F.size(dropped) > 0))
+    named = F.when(F.size(dropped) > 0, F.create_map(F.lit("coercion_dropped"), dropped.cast("variant"))).otherwise(F.create_map().cast("map<string,variant>"))
+    reason = F.when(~is_kind("msg", "string"), "unparseable").when(micros.isNull(), "no_timestamp")
+    parsed = F.struct(
+        reason.alias("reason"), micros.alias("micros"), naive.alias("naive"), string_field(values, "service").alias("service"), string_field(values, "level").alias("level"), code.alias("status"),
+        string_field(values, "trace_id").alias("trace_id"), string_field(values, "msg").alias("message"), F.to_json(F.map_concat(F.map_filter(values, own), named)).alias("attrs"),
+    )
+    refused = F.struct(reason.alias("reason"), *(F.lit(None).cast(t).alias(n) for n, t in (("micros", "long"), ("naive", "boolean"), ("service", "string"), ("level", "string"), ("status", "int"), ("trace_id", "string"), ("message", "string"), ("attrs", "string"))))
+    return rows.withColumn("p", F.when(reason.isNull(), parsed).otherwise(refused)).drop("json_object")
 
 
 def parse_nginx(lines: DataFrame) -> DataFrame:
@@ -227,9 +243,9 @@ def _is_object(raw: Column) -> Column:
 
 
 FORMATS: tuple[LogFormat, ...] = (
-    LogFormat("json-lines", _is_object, _structured(parse_json_line, False)),
+    LogFormat("json-lines", _is_object, parse_json_lines),
     LogFormat("nginx", lambda raw: raw.rlike(NGINX), parse_nginx),
-    LogFormat("logfmt", lambda raw: raw.contains("=") & ~raw.rlike(r"^\s*\{"), _structured(parse_logfmt_line, True)),
+    LogFormat("logfmt", lambda raw: raw.contains("=") & ~raw.rlike(r"^\s*\{"), parse_logfmt),
     LogFormat("python-traceback", lambda raw: raw.rlike(HEADER), parse_tracebacks),
 )
 

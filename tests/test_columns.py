@@ -48,7 +48,7 @@ def test_citations_are_never_cut(cites, limit):
 @given(st.text(alphabet=st.characters(blacklist_categories=["Cs"])))
 @settings(max_examples=200)
 def test_parsers_take_any_line(line):
-    for parse in (formats.parse_json_line, formats.parse_logfmt_line, lambda x: formats.parse_traceback([x], False)):
+    for parse in (formats.parse_logfmt_line, lambda x: formats.parse_traceback([x], False)):
         record = parse(line)
         assert (record["reason"] is None) == (record["message"] is not None)
 
