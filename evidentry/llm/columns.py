@@ -7,7 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a key filter at most (64 MB); with more keys than it has room for it lets more rows through, and never a row too few.
+MOST_BITS = 1 << 29
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +51,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(raw[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(raw[2], np.uint8)[offsets[0] : offsets[-1]] if raw[2] else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
+
+
+def key_filter(keys: DataFrame, key: Column, of: Column, n: int) -> Column:
+    """Whether ``of`` may be among the ``n`` values that ``key`` has in ``keys``: false only where it surely isn't.
+
+    A bitmap of ten bits a key, sent to all tasks as one value. It keeps rows that a join would
+    leave alone out of that join's shuffle.
+    """
+    bits = min(MOST_BITS, 1 << max(10, (10 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word = lambda c: F.shiftright(place(c), 6)
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    marked = keys.select(word(key).alias("word"), bit(key).alias("bits"))
+    every = keys.sparkSession.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = marked.groupBy("word").agg(F.bit_or("bits").alias("bits")).union(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bits"))
+    return F.get(table.scalar(), word(of).cast("int")).bitwiseAND(bit(of)) != 0

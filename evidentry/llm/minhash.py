@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces
+from evidentry.llm.columns import key_filter, pieces
 from evidentry.llm.components import component_roots
 from evidentry.llm.simhash import SEED, fingerprint_links, majority, one_of_each, shingle_hashes
 from evidentry.session import materialize
@@ -150,7 +150,8 @@ def set_links(found: DataFrame, plain: DataFrame, similarity: float = SIMILARITY
     named = members.select("set_hash").union(near.select("a")).union(near.select("b")).distinct()
     chosen = found.join(named, "set_hash", "left_semi").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     chosen = materialize(chosen.select(F.col("k.doc_id").alias("of_id"), F.col("k.text_hash").alias("of_hash")), "band-texts")
-    texts = plain.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
+    wanted = key_filter(chosen, F.struct(F.col("of_id").alias("doc_id"), F.col("of_hash").alias("text_hash")), F.struct("doc_id", "text_hash"), chosen.count())
+    texts = plain.where(wanted).join(chosen, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash")), "left_semi")
     sets = materialize(shingle_sets(texts).groupBy("set_hash").agg(F.any_value("shingles").alias("shingles")), "band-sets")
     company = members.groupBy("set_hash").agg(F.sum("members").alias("company"))
     hubs = members.join(company, "set_hash").groupBy("bucket").agg(F.max_by("set_hash", F.struct("company", "set_hash")).alias("hub"))

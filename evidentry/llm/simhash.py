@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces, unused
+from evidentry.llm.columns import key_filter, pieces, unused
 from evidentry.llm.components import component_roots
 from evidentry.session import materialize
 
@@ -224,13 +224,19 @@ def near_duplicates(
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group_id of ``groups`` (doc_id, text_hash, group_id), with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash."""
+    """One row of ``docs`` for each group_id of ``groups`` (doc_id, text_hash, group_id), with all its columns: that of the smallest doc_id, null ids last, then of the smallest text hash.
+
+    Rows that are surely nobody's copy stay without a join; the others are asked for in the kept ones.
+    """
     found = materialize(groups, "near-duplicates")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     own_id, own_hash = unused(docs, "kept_id", "kept_hash")
-    kept = found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias(own_id), F.col("k.text_hash").alias(own_hash))
+    kept = materialize(found.groupBy("group_id").agg(F.min(rank).alias("k")).select(F.col("k.doc_id").alias(own_id), F.col("k.text_hash").alias(own_hash)), "kept")
+    is_kept = F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col("text_hash") == F.col(own_hash))
+    dropped = materialize(found.join(kept, is_kept, "left_anti").select("doc_id", "text_hash").distinct(), "dropped")
+    may_go = key_filter(dropped, F.struct("doc_id", "text_hash"), F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash")), dropped.count())
     same = F.col(id_col).cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_hash))
-    out = docs.join(kept, same, "left_semi")
+    out = docs.where(~may_go).union(docs.where(may_go).join(kept, same, "left_semi"))
     repeats = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count()
     if not repeats:
         return out
