@@ -24,7 +24,7 @@ from evidentry.llm.tokenize import default_path, tokenizer
 from evidentry.session import materialize
 
 #: Words whose ids a worker keeps; packing follows other stages in workers that live on, so fewer than the token files keep.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

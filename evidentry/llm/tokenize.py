@@ -13,9 +13,9 @@ import json
 import os
 import re
 import struct
-from itertools import compress, count, islice, repeat
-from operator import is_
+from itertools import islice
 
+import numpy as np
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,46 +73,53 @@ class CachedTokenizer:
             return self.words.findall(text)
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
+    def _joined(self, plain: list[str]) -> list[bytes]:
+        """The ids of words of letters (after a blank, where blanks are part of words), many given to the tokenizer at once: it cuts them from each other, and nowhere else."""
+        out, blank = [], " " if self.kind == "words" else ""
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            found = self.tokenizer.encode(blank.join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, self.wide), np.array(found.word_ids, np.int64)
+            if not len(ids) or owner[-1] != len(part) - 1:
+                out += self._direct(part)
+                continue
+            raw, ends = ids.tobytes(), (np.searchsorted(owner, np.arange(len(part)), "right") * ids.itemsize).tolist()
+            out += map(raw.__getitem__, map(slice, [0, *ends], ends))
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Adds the words' ids to the cache. Letters, and letters before one other mark, are cut without the regex."""
-        known = self.cache
-        low = {w: w.lower() for w in words} if self.kind == "words" else dict(zip(words, words))
-        body = {w: (x[1:] if x[:1] == " " else x) for w, x in low.items()}
-        whole = [w for w, x in body.items() if x.isalpha()]
-        marked = [w for w, x in body.items() if x[:-1].isalpha() and not x[-1].isalnum() and not x[-1].isspace()]
-        parts = {w: (low[w][:-1], low[w][-1]) for w in marked}
-        parts |= {w: self.words.findall(low[w]) for w in words.difference(whole, parts)}
-        new = list({low[w] for w in whole}.union(*parts.values()).difference(known))
-        known.update(zip(new, self._direct(new) if new else []))
-        if self.kind == "words":
-            known.update({w: known[low[w]] for w in whole})
+        known, first = self.cache, 0 if self.kind == "words" else 1
+        low = {w: w.lower() for w in words} if self.kind == "words" else {}
+        plain, parts = set(), {}
+        for word in words:
+            w = low.get(word, word)
+            body = w[first:] if w[:first] == " " * first else ""
+            if body.isalpha():
+                plain.add(w)
+            elif body[:-1].isalpha() and not body[-1].isalnum() and not body[-1].isspace():
+                parts[word] = w[:-1], w[-1]
+                plain.add(w[:-1])
+            else:
+                parts[word] = self.words.findall(w)
+        plain = list(plain.difference(known))
+        known.update(zip(plain, self._joined(plain)))
+        others = list(set().union(*parts.values()).difference(known))
+        known.update(zip(others, self._direct(others) if others else []))
         known.update({w: b"".join(map(known.__getitem__, ps)) for w, ps in parts.items()})
+        known.update({w: known[x] for w, x in low.items() if w not in known})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids; equal texts are encoded once."""
         if len(self.cache) > self.limit:  # the words met first are the frequent ones
             self.cache = dict(islice(self.cache.items(), self.limit // 2))
-        get, distinct = self.cache.get, list(dict.fromkeys(texts))
-        out: dict[str, bytes] = {}
-        whole, waiting, new = [], [], set()
-        for text in distinct:
-            words = self._cut(text)
-            if words is None:
-                whole.append(text)
-                continue
-            ids = list(map(get, words))
-            if None in ids:
-                gaps = list(compress(count(), map(is_, ids, repeat(None))))
-                new.update(map(words.__getitem__, gaps))
-                waiting.append((text, words, ids, gaps))
-            else:
-                out[text] = b"".join(ids)
+        cut = {t: self._cut(t) for t in dict.fromkeys(texts)}
+        new = set().union(*(words for words in cut.values() if words)).difference(self.cache)
         if new:
             self._learn(new)
-        for text, words, ids, gaps in waiting:
-            for k in gaps:
-                ids[k] = self.cache[words[k]]
-            out[text] = b"".join(ids)
+        ids = self.cache.__getitem__
+        out = {t: b"".join(map(ids, words)) for t, words in cut.items() if words is not None}
+        whole = [t for t in cut if t not in out]
         out.update(zip(whole, self._direct(whole) if whole else []))
         return [out[t] for t in texts]
 
