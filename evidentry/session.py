@@ -16,6 +16,8 @@ SESSION_CONF = {
     "spark.ui.enabled": "false",
     # How much larger rows are in memory than in compressed Parquet, about; measured between 3 and 10.
     "spark.sql.sources.fileCompressionFactor": "8.0",
+    # Streams with keyed state need it.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -12,7 +12,7 @@ import re
 import shlex
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from datetime import UTC, datetime
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -24,31 +24,27 @@ from evidentry.functions.identity import log_uid
 from evidentry.functions.jsonvalues import field, iso_time, kind, string_field, with_object
 from evidentry.functions.texts import canonical_level, component, mask, normalize_raw, template_hash
 from evidentry.functions.times import attach_zone
-from evidentry.sources.lines import records_by_header
+from evidentry.sources.rawlines import text_of
+from evidentry.sources.records import HEADER, PARSED, micros_of, parse_tracebacks, record
 
 SAMPLE = 20
-PARSED = "struct<reason:string,micros:long,naive:boolean,service:string,level:string,status:int,trace_id:string,message:string,attrs:string>"
 CONSUMED = {"ts", "level", "service", "msg", "trace_id", "status", "duration_ms"}
 
 #: The formats' patterns.
 NGINX = r'^(\S+) \S+ \S+ \[([^\]]+)\] "(\S+) (\S+) [^"]+" (\d{3}) \S+ "[^"]*" "[^"]*"(?: rt=(\S+))?(?: urt="([^"]*)")?\s*$'
-HEADER = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})\s+([A-Z]+)\s+\[([^\]]+)\]\s+([\w.]+):\s(.*)$"
-FRAME = r'^\s+File "([^"]+)", line (\d+)(?:, in (.+))?$'
-EXCEPTION = r"^([A-Za-z_][\w.]*)(?:: ?(.*))?$"
-START = "Traceback (most recent call last):"
-CHAINED = {
-    "During handling of the above exception, another exception occurred:",
-    "The above exception was the direct cause of the following exception:",
-}
 
 
 @dataclass(frozen=True)
 class LogFormat:
-    """``probe`` tells whether a line looks like the format; ``parse`` maps (source_file, source_offset, raw, declared) to those and ``p``."""
+    """``probe`` tells whether a line looks like the format; ``parse`` maps (source_file, source_offset, raw, declared) to those and ``p``.
+
+    A ``raw_aware`` format is given the line's own bytes besides, as raw_bytes.
+    """
 
     name: str
     probe: Callable[[Column], Column]
     parse: Callable[[DataFrame], DataFrame]
+    raw_aware: bool = False
 
 
 def best_format(lines: DataFrame, probes: Mapping[str, Column]) -> DataFrame:
@@ -60,26 +56,17 @@ def best_format(lines: DataFrame, probes: Mapping[str, Column]) -> DataFrame:
     return sample.groupBy("source_file").agg(*shares).select("source_file", F.array_max(ranked)["format"].alias("format"))
 
 
-def _micros(value: datetime) -> int:
-    return round((value.replace(tzinfo=value.tzinfo or UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds() * 1_000_000)
-
-
-def _record(**values: Any) -> dict[str, Any]:
-    base = dict.fromkeys(("reason", "micros", "naive", "service", "level", "status", "trace_id", "message", "attrs"))
-    return base | values
-
-
 def _fields(values: dict[str, str]) -> dict[str, Any]:
     """A message and a time are needed; durations, which are text here, and odd statuses are named in coercion_dropped."""
     message, ts = values.get("msg"), values.get("ts")
     if not isinstance(message, str):
-        return _record(reason="unparseable")
+        return record(reason="unparseable")
     try:
         time = datetime.fromisoformat(ts) if isinstance(ts, str) else None
     except ValueError:
         time = None
     if time is None:
-        return _record(reason="no_timestamp")
+        return record(reason="no_timestamp")
     attrs = {k: v for k, v in values.items() if k not in CONSUMED}
     dropped = []
     if "duration_ms" in values:
@@ -95,7 +82,7 @@ def _fields(values: dict[str, str]) -> dict[str, Any]:
     if dropped:
         attrs["coercion_dropped"] = dropped
     text = lambda k: values.get(k) if isinstance(values.get(k), str) else None
-    return _record(micros=_micros(time), naive=time.tzinfo is None, service=text("service"), level=text("level"), status=code if code is None or abs(code) < 1 << 31 else None, trace_id=text("trace_id"), message=message, attrs=json.dumps(attrs, ensure_ascii=False))
+    return record(micros=micros_of(time), naive=time.tzinfo is None, service=text("service"), level=text("level"), status=code if code is None or abs(code) < 1 << 31 else None, trace_id=text("trace_id"), message=message, attrs=json.dumps(attrs, ensure_ascii=False))
 
 
 def parse_logfmt_line(line: str) -> dict[str, Any]:
@@ -103,58 +90,16 @@ def parse_logfmt_line(line: str) -> dict[str, Any]:
     try:
         pairs = [t.split("=", 1) for t in shlex.split(line, posix=True)]
     except ValueError:
-        return _record(reason="unparseable")
+        return record(reason="unparseable")
     if any(len(p) < 2 or not p[0] for p in pairs):
-        return _record(reason="unparseable")
+        return record(reason="unparseable")
     return _fields({k: v for k, v in pairs})
 
 
-def parse_traceback(lines: list[str], cut_by_header: bool, roots: tuple[str, ...] = ()) -> dict[str, Any]:
-    """One record: a header line, text, and perhaps a traceback with chained exceptions."""
-    head = re.match(HEADER, lines[0])
-    if head is None:
-        return _record(reason="unparseable")
-    # Where each traceback begins and where its exception stands; what lies between has the frames.
-    first = lambda at, holds: next((i for i in range(at, len(lines)) if holds(lines[i])), None)
-    raised = lambda line: line[:1] not in (" ", "\t") and not re.match(FRAME, line) and re.match(EXCEPTION, line)
-    frames, exception, detail = [], None, []
-    begins, ends = first(1, START.__eq__), None
-    while begins is not None:
-        ends = first(begins + 1, raised)
-        found = [re.match(FRAME, line) for line in lines[begins + 1 : ends]]
-        frames += [{"file": m[1], "line": int(m[2]), "func": m[3] or "<module>"} for m in found if m]
-        if ends is None:
-            break
-        begins = first(ends + 1, CHAINED.__contains__)
-        named = re.match(EXCEPTION, lines[ends])
-        exception, detail = named[1], [named[2] or "", *lines[ends + 1 : begins]]
-    unfinished = begins is not None
-    if unfinished and not cut_by_header:
-        return _record(reason="incomplete_traceback")
-    attrs: dict[str, Any] = {"logger": head[4]}
-    if unfinished:
-        attrs["assembly"] = "incomplete"
-    message = head[5]
-    if exception is not None:
-        attrs["exc_type"] = exception
-        rest = "\n".join(detail).strip()
-        message = f"{exception}: {rest}" if rest else exception
-    if frames:
-        attrs["stack"] = frames
-        own = [f for f in frames if not f["file"].startswith(roots)] if roots else frames
-        if own:
-            attrs["top_frame"] = own[-1]
-    try:
-        time = datetime.strptime(head[1], "%Y-%m-%d %H:%M:%S,%f")
-    except ValueError:
-        return _record(reason="no_timestamp")
-    return _record(micros=_micros(time), naive=True, service=head[3], level=head[2], message=message, attrs=json.dumps(attrs, ensure_ascii=False))
-
-
 def _udf(function: Callable[[str], dict[str, Any]]):
     @F.pandas_udf(PARSED)
     def parse(raw: pd.Series) -> pd.DataFrame:
-        frame = pd.DataFrame([function(x) for x in raw], columns=list(_record()), dtype=object)
+        frame = pd.DataFrame([function(x) for x in raw], columns=list(record()), dtype=object)
         return frame.astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
 
     return parse
@@ -214,30 +159,6 @@ def parse_nginx(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_tracebacks(lines: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
-    """Lines gathered into records at headers; lines before the first header are unparseable one by one."""
-
-    @F.pandas_udf(PARSED)
-    def parse(raws: pd.Series, cut: pd.Series) -> pd.DataFrame:
-        records = [parse_traceback([x.removesuffix("\r") for x in r], bool(c), roots) for r, c in zip(raws, cut)]
-        return pd.DataFrame(records, columns=list(_record()), dtype=object).astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
-
-    rows = records_by_header(lines.withColumn("is_header", F.regexp_replace("raw", r"\r\z", "").rlike(HEADER)))
-    last = rows.groupBy("source_file").agg(F.max("record").alias("last_record"))
-    split = F.when(F.col("record") == 0, F.col("source_offset")).otherwise(F.lit(-1))
-    grouped = rows.groupBy("source_file", "declared", "record", split.alias("alone")).agg(F.array_sort(F.collect_list(F.struct("source_offset", "raw"))).alias("lines"))
-    out = grouped.join(last, "source_file").withColumn("raws", F.transform("lines", lambda x: x["raw"]))
-    out = out.withColumn("p", parse("raws", F.col("record") < F.col("last_record")))
-    clash = F.col("p.reason").isNull() & (F.col("declared") != F.col("p.service"))
-    return out.select(
-        "source_file",
-        F.col("lines")[0]["source_offset"].alias("source_offset"),
-        F.array_join("raws", "\n").alias("raw"),
-        "declared",
-        F.when(clash, F.col("p").withField("reason", F.lit("ambiguous_service"))).otherwise(F.col("p")).alias("p"),
-    )
-
-
 def _is_object(raw: Column) -> Column:
     return F.from_json(raw, "map<string,string>").isNotNull() & raw.rlike(r"^\s*\{")
 
@@ -262,9 +183,13 @@ def format_mismatches(detected: DataFrame, manifest: DataFrame) -> DataFrame:
 def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = None, formats: tuple[LogFormat, ...] = FORMATS) -> DataFrame:
     """Lines (source_file, source_offset, raw) -> log drafts: LOG_EVENTS without id, and reason.
 
-    ``manifest`` has (source_file, service, format); services have id, name and log_timezone. Both,
+    raw is text, or the line's bytes, whose ill-formed parts read as U+FFFD. ``manifest`` has (source_file, service, format); services have id, name and log_timezone. Both,
     and the detected formats, join on their keys: one row a file or service.
     """
+    if dict(lines.dtypes)["raw"] == "binary":
+        lines = lines.withColumnRenamed("raw", "raw_bytes").withColumn("raw", text_of(F.col("raw_bytes")))
+    else:
+        lines = lines.withColumn("raw_bytes", F.col("raw").cast("binary"))
     found = detect(lines, formats)
     if manifest is not None:
         wrong = format_mismatches(found, manifest).limit(5).collect()
@@ -276,7 +201,8 @@ def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = N
     known = lines.join(found, "source_file").join(declared, "source_file", "left")
     parsed = None
     for f in formats:
-        own = f.parse(known.where(F.col("format") == f.name).drop("format")).select("source_file", "source_offset", "raw", "p")
+        own = known.where(F.col("format") == f.name).drop("format", *([] if f.raw_aware else ["raw_bytes"]))
+        own = f.parse(own).select("source_file", "source_offset", "raw", "p")
         parsed = own if parsed is None else parsed.unionByName(own)
     return _finished(parsed, services)
 

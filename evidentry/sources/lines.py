@@ -24,7 +24,7 @@ def running_total(rows: DataFrame, group: str, block: list[str], order: list[str
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source_file, source_offset, raw): every line without its newline, a carriage return kept.
+    """(source_file, source_offset, raw): every line without its newline, a carriage return kept; ill-formed parts of UTF-8 read as U+FFFD.
 
     Files are read in splits, so that a large file is many tasks. A line's offset is the sum of
     the lengths before it, newlines included.
@@ -33,7 +33,7 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     meta = F.col("_metadata")
     rows = text.select(meta["file_path"].alias("source_file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
     found = running_total(rows, "source_file", ["block"], ["place"], F.octet_length("raw").cast("long") + 1, "source_offset")
-    return found.select("source_file", F.col("source_offset").cast("long").alias("source_offset"), "raw")
+    return found.select("source_file", F.col("source_offset").cast("long").alias("source_offset"), F.make_valid_utf8("raw").alias("raw"))
 
 
 def records_by_header(lines: DataFrame) -> DataFrame:

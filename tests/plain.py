@@ -7,7 +7,7 @@ import re
 from datetime import UTC, datetime, timedelta
 
 from evidentry.functions.texts import MASKS
-from evidentry.sources import formats
+from evidentry.sources import formats, records
 
 _ANY = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in MASKS))
 _PLACEHOLDER = re.compile("<(" + "|".join(name for name, _ in MASKS) + ")>")
@@ -62,3 +62,45 @@ def json_line(line: str) -> dict | None:
     utc = time if time.tzinfo else time.replace(tzinfo=UTC)
     micros = (utc - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
     return {"reason": None, "micros": micros, "naive": time.tzinfo is None, "service": text("service"), "level": text("level"), "status": code if code is None or abs(code) < 1 << 31 else None, "trace_id": text("trace_id"), "message": text("msg"), "attrs": attrs}
+
+
+def parse_traceback(lines: list[str], cut_by_header: bool, roots: tuple[str, ...] = ()) -> dict:
+    """One record from all its lines: where each traceback begins and ends is looked up, nothing is carried."""
+    head = re.match(records.HEADER, lines[0])
+    if head is None:
+        return records.record(reason="unparseable")
+    # Where each traceback begins and where its exception stands; what lies between has the frames.
+    first = lambda at, holds: next((i for i in range(at, len(lines)) if holds(lines[i])), None)
+    raised = lambda line: line[:1] not in (" ", "\t") and not re.match(records.FRAME, line) and re.match(records.EXCEPTION, line)
+    frames, exception, detail = [], None, []
+    begins, ends = first(1, records.START.__eq__), None
+    while begins is not None:
+        ends = first(begins + 1, raised)
+        found = [re.match(records.FRAME, line) for line in lines[begins + 1 : ends]]
+        frames += [{"file": m[1], "line": int(m[2]), "func": m[3] or "<module>"} for m in found if m]
+        if ends is None:
+            break
+        begins = first(ends + 1, records.CHAINED.__contains__)
+        named = re.match(records.EXCEPTION, lines[ends])
+        exception, detail = named[1], [named[2] or "", *lines[ends + 1 : begins]]
+    unfinished = begins is not None
+    if unfinished and not cut_by_header:
+        return records.record(reason="incomplete_traceback")
+    attrs: dict = {"logger": head[4]}
+    if unfinished:
+        attrs["assembly"] = "incomplete"
+    message = head[5]
+    if exception is not None:
+        attrs["exc_type"] = exception
+        rest = "\n".join(detail).strip()
+        message = f"{exception}: {rest}" if rest else exception
+    if frames:
+        attrs["stack"] = frames
+        own = [f for f in frames if not f["file"].startswith(roots)] if roots else frames
+        if own:
+            attrs["top_frame"] = own[-1]
+    try:
+        time = datetime.strptime(head[1], "%Y-%m-%d %H:%M:%S,%f")
+    except ValueError:
+        return records.record(reason="no_timestamp")
+    return records.record(micros=records.micros_of(time), naive=True, service=head[3], level=head[2], message=message, attrs=json.dumps(attrs, ensure_ascii=False))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evidentry.functions import texts, times
 from evidentry.operators.provenance import harvest
 from evidentry.plans.render import packed_cites
-from evidentry.sources import formats, k8s, postmortems
+from evidentry.sources import formats, k8s, postmortems, records
 from tests.plain import mask_text
 
 
@@ -48,7 +48,7 @@ def test_citations_are_never_cut(cites, limit):
 @given(st.text(alphabet=st.characters(blacklist_categories=["Cs"])))
 @settings(max_examples=200)
 def test_parsers_take_any_line(line):
-    for parse in (formats.parse_logfmt_line, lambda x: formats.parse_traceback([x], False)):
+    for parse in (formats.parse_logfmt_line, lambda x: records.parse_traceback([x], False)):
         record = parse(line)
         assert (record["reason"] is None) == (record["message"] is not None)
 

@@ -15,7 +15,7 @@ from evidentry.operators.resolve import registry_conflicts, resolve
 from evidentry.plans.envelopes import QueryError, QueryInterface, parse_time
 from evidentry.plans import render, runs
 from evidentry.plans.corpus import ingest_all, ingest_clusters
-from evidentry.sources import formats, git, k8s, lines, postmortems, registry, terraform, webhooks
+from evidentry.sources import formats, git, k8s, lines, postmortems, records, registry, terraform, webhooks
 from evidentry.streaming.ingest import stream_alerts, stream_drafts
 
 SERVICES = """
@@ -146,7 +146,7 @@ def test_drafts(drafts, services):
     failed = json.loads(find[1].attrs)
     assert find[1].message == "ValueError: bad\nmore detail" and failed["exc_type"] == "ValueError" and failed["top_frame"] == {"file": "/lib/dep.py", "line": 9, "func": "<module>"}
     assert find[1].ts.replace(tzinfo=None) == datetime(2026, 8, 19, 14, 0, 0, 123000)
-    assert formats.parse_traceback(TRACE.split("\n")[11:14], True)["attrs"] == json.dumps({"logger": "app.index", "assembly": "incomplete", "stack": [{"file": "/srv/app.py", "line": 4, "func": "run"}], "top_frame": {"file": "/srv/app.py", "line": 4, "func": "run"}})
+    assert records.parse_traceback(TRACE.split("\n")[11:14], True)["attrs"] == json.dumps({"logger": "app.index", "assembly": "incomplete", "stack": [{"file": "/srv/app.py", "line": 4, "func": "run"}], "top_frame": {"file": "/srv/app.py", "line": 4, "func": "run"}})
 
 
 def test_git_terraform_k8s_reviews(spark, corpus, services):
