@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,26 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: What this Python worker keeps between tasks, and when it was last asked for; one thing at a time.
+_kept: dict[tuple, tuple[Any, float]] = {}
+#: Seconds after which another operator's task lets go of what the worker keeps.
+IDLE_S = 15.0
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """A table that is dear to make, such as a tokenizer with its words: kept in the worker until another is asked for, or it idles."""
+    value = _kept[key][0] if key in _kept else None
+    if value is None:
+        _kept.clear()
+        value = make()
+    _kept[key] = value, time.monotonic()
+    return value
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, one row at least."""
+    for key in [k for k, (_, used) in _kept.items() if time.monotonic() - used > IDLE_S]:
+        del _kept[key]
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -18,6 +18,8 @@ from itertools import islice
 import numpy as np
 import regex
 
+from evidentry.llm.columns import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The word patterns of the two public tokenizers.
@@ -124,12 +126,6 @@ class CachedTokenizer:
         return [out[t] for t in texts]
 
 
-_loaded: dict[tuple[str, int, int], CachedTokenizer] = {}
-
-
 def tokenizer(path: str, end_id: int = 0, limit: int = 1_200_000) -> CachedTokenizer:
-    """The last one used is kept in each Python worker, so that its cache outlives a task."""
-    if (path, end_id, limit) not in _loaded:
-        _loaded.clear()
-        _loaded[path, end_id, limit] = CachedTokenizer(path, end_id, limit)
-    return _loaded[path, end_id, limit]
+    """The one that this Python worker keeps, so that its cache outlives a task."""
+    return kept(("tokenizer", path, end_id, limit), lambda: CachedTokenizer(path, end_id, limit))

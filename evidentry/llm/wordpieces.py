@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces, unused
+from evidentry.llm.columns import kept, pieces, unused
 
 MARK = "▁"
 #: A run of markers, and the other characters up to the next one.
@@ -123,15 +123,9 @@ class WordTable:
         return text[1:] if text[:1] == " " else text
 
 
-_loaded: dict[str, WordTable] = {}
-
-
 def word_table(path: str) -> WordTable:
-    """The last one used is kept in each Python worker, so that its table outlives a task."""
-    if path not in _loaded:
-        _loaded.clear()
-        _loaded[path] = WordTable(path)
-    return _loaded[path]
+    """The one that this Python worker keeps, so that its table outlives a task."""
+    return kept(("word-table", path), lambda: WordTable(path))
 
 
 def encoded(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
