@@ -58,10 +58,6 @@ def kind(values: Column, key: str) -> Column:
     )
 
 
-def string_field(values: Column, key: str) -> Column:
-    return F.when(kind(values, key) == "string", field(values, key).try_cast("string"))
-
-
 #: Calendar dates in both forms; after any one character a time in both forms, and an offset.
 _ISO = (
     r"^(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d))"

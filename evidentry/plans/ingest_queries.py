@@ -8,7 +8,7 @@ from evidentry.operators.store import EvidenceStore
 from evidentry.plans import standins as S
 from evidentry.plans.catalog import query
 from evidentry.session import scratch_path
-from evidentry.sources import formats, terraform, webhooks
+from evidentry.sources import formats, rawlines, records, terraform, webhooks
 
 CODE = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 201 WHEN 'purchase' THEN 200 WHEN 'view' THEN 304 ELSE 404 END"
 LEVEL = f"CASE WHEN event_id % 3 = 0 THEN 'warning' WHEN {CODE} = 500 THEN 'error' WHEN {CODE} = 404 THEN 'warning' ELSE 'info' END"
@@ -49,18 +49,49 @@ def _reasoned(columns: str, time: str) -> str:
 _COLUMNS = ("event_id", "reason", "ts", "service_id", "level", "status_code", "message")
 
 
-@query(_reasoned(", CASE WHEN reason IS NULL AND event_id % 2 = 0 THEN 't-' || user_id END AS trace_id", "ts"))
+def _uid_sql(file: str, offset: str, raw: str) -> str:
+    quoted = f"replace(replace(replace({raw}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+    return f"""substr(sha256('{{"file":"' || {file} || '","kind":"log","offset":' || ({offset}) || ',"raw":"' || {quoted} || '","v":1}}'), 1, 32)"""
+
+
+#: A line's fields: when a field is there, and its text. {i}, {u}, {t}, {c} and {k} stand for the event's number, user, time, code and kind.
+_FIELDS = (
+    ("event_id % 7 <> 1", '"ts":"{t}"'), ("event_id % 4 = 0", '"level":"first"'), ("event_id % 3 = 0", '"level":"WARN"'), ("event_id % 7 = 2", '"service":"nobody"'), ("event_id % 7 <> 2", '"service":"svc-{u}"'), ("TRUE", '"msg":"{k} by user {i}"'),
+    ("event_id % 2 = 0", '"trace_id":"t-{i}"'), ("event_id % 5 = 0", '"status":"{c}"'), ("event_id % 5 BETWEEN 1 AND 3", '"status":{c}'), ("event_id % 5 = 4", '"status":true'), ("event_id % 11 = 0", '"duration_ms":"fast"'), ("event_id % 11 > 3", '"duration_ms":{i}.5'),
+    ("event_id % 13 = 0", '"zone":{{"b":[1,null],"a":"x"}}'), ("event_id % 13 = 1", '"host":"hé"'),
+)
+
+
+def _json_raw_sql() -> str:
+    fill = lambda x: "replace(replace(replace(replace(replace('" + x.replace("{{", "{").replace("}}", "}") + "', '{i}', event_id::VARCHAR), '{u}', (user_id % 10)::VARCHAR), '{t}', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')), '{c}', (" + CODE + ")::VARCHAR), '{k}', event_type)"
+    parts = ", ".join(f"CASE WHEN {when} THEN {fill(text)} END" for when, text in _FIELDS)
+    return f"CASE WHEN event_id % 7 = 0 THEN '{{\"broken\":' ELSE '{{' || concat_ws(',', {parts}) || '}}' || CASE WHEN event_id % 17 = 0 THEN ' {{}}' ELSE '' END END"
+
+
+_JSON_ATTRS = """'{' || concat_ws(',', CASE WHEN event_id % 11 > 3 THEN '"duration_ms":' || event_id || '.5' END, CASE WHEN event_id % 13 = 1 THEN '"host":"hé"' END, CASE WHEN event_id % 13 = 0 THEN '"zone":{"a":"x","b":[1,null]}' END,
+    CASE WHEN event_id % 11 = 0 AND event_id % 5 = 4 THEN '"coercion_dropped":["duration_ms","status"]' WHEN event_id % 11 = 0 THEN '"coercion_dropped":["duration_ms"]' WHEN event_id % 5 = 4 THEN '"coercion_dropped":["status"]' END) || '}'"""
+
+
+@query(f"""WITH e AS (SELECT *, {_json_raw_sql()} AS raw, CASE WHEN event_id % 7 = 0 OR event_id % 17 = 0 THEN 'unparseable' WHEN event_id % 7 = 1 THEN 'no_timestamp' WHEN event_id % 7 = 2 THEN 'no_service_match' END AS reason FROM events),
+  f AS (SELECT *, CASE WHEN event_id % 5 < 4 THEN {CODE} END AS code FROM e)
+  SELECT event_id, {_uid_sql("'logs/json.log'", "event_id * 512", "raw")} AS uid, reason, CASE WHEN reason IS NULL OR reason = 'no_service_match' THEN ts END AS ts, CASE WHEN reason IS NULL THEN (user_id % 10)::INT END AS service_id,
+  CASE WHEN reason IS NULL THEN CASE WHEN event_id % 3 = 0 THEN 'warning' WHEN event_id % 4 = 0 THEN 'info' WHEN code BETWEEN 500 AND 599 THEN 'error' WHEN code BETWEEN 400 AND 499 THEN 'warning' ELSE 'info' END END AS level, CASE WHEN reason IS NULL THEN code::INT END AS status_code,
+  CASE WHEN reason IS NULL AND event_id % 2 = 0 THEN 't-' || event_id END AS trace_id, CASE WHEN reason IS NULL THEN event_type || ' by user ' || event_id END AS message,
+  CASE WHEN reason IS NULL THEN substr(sha256(event_type || ' by user <NUM>'), 1, 32) END AS template_hash, CASE WHEN reason IS NULL THEN {_JSON_ATTRS} END AS attrs FROM f""")
 def json_lines(spark, d):
-    e = S.read(spark, d, "events")
-    code = e.select(F.expr(CODE).alias("code"), "*")
-    fields = F.struct(
-        F.when(_i() % 7 != 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("ts"), F.when(_i() % 3 == 0, "WARN").alias("level"),
-        F.when(_i() % 7 == 2, "nobody").otherwise(F.concat(F.lit("svc-"), _text(_u() % 10))).alias("service"), F.concat("event_type", F.lit(" by "), _text(_u())).alias("msg"),
-        F.when(_i() % 2 == 0, F.concat(F.lit("t-"), _text(_u()))).alias("trace_id"), F.when(_i() % 5 > 0, F.col("code")).alias("status"), F.col("value").alias("duration_ms"),
-    )
-    # A status may be a number or a string of digits.
-    raw = F.when(_i() % 7 == 0, '{"broken":').when(_i() % 5 > 0, F.to_json(fields)).otherwise(F.concat(F.regexp_replace(F.to_json(fields), r"\}\z", ',"status":"'), _text(F.col("code")), F.lit('"}')))
-    return _drafts(spark, code.select(*_line(raw, "json")), 64).select(*_COLUMNS, "trace_id")
+    """JSON lines with repeated keys, odd types, text after the object, nested and escaped values, through to identities."""
+    e = S.read(spark, d, "events").withColumn("code", F.expr(CODE))
+
+    def filled(text):
+        out = F.lit(text.replace("{{", "{").replace("}}", "}"))
+        for name, value in (("{i}", _text(_i())), ("{u}", _text(_u() % 10)), ("{t}", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), ("{c}", _text(F.col("code"))), ("{k}", F.col("event_type"))):
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.when(F.expr(when), filled(text)) for when, text in _FIELDS)), F.lit("}"), F.when(_i() % 17 == 0, " {}").otherwise(""))
+    raw = F.when(_i() % 7 == 0, '{"broken":').otherwise(whole)
+    lines = e.select(F.lit("logs/json.log").alias("source_file"), (_i() * 512).alias("source_offset"), raw.alias("raw"))
+    return _drafts(spark, lines, 512).select(*_COLUMNS, "uid", "trace_id", "template_hash", "attrs")
 
 
 @query(_reasoned("", "ts"))
@@ -92,8 +123,8 @@ def traceback_records(spark, d):
     """Records of one to eight lines: a header, a traceback for two of three, and for one of them a second one that it led to."""
     t = _text(_i())
     head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ERROR [svc-"), _text(_u() % 10), F.lit("] app.x: plain "), t)
-    first = [F.lit(formats.START), F.lit('  File "/srv/app.py", line 4, in run'), F.concat(F.lit("ValueError: bad "), t)]
-    second = [F.lit("During handling of the above exception, another exception occurred:"), F.lit(formats.START), F.lit('  File "/srv/app.py", line 9, in retry'), F.concat(F.lit("KeyError: k"), t)]
+    first = [F.lit(records.START), F.lit('  File "/srv/app.py", line 4, in run'), F.concat(F.lit("ValueError: bad "), t)]
+    second = [F.lit("During handling of the above exception, another exception occurred:"), F.lit(records.START), F.lit('  File "/srv/app.py", line 9, in retry'), F.concat(F.lit("KeyError: k"), t)]
     raws = F.when(_i() % 3 == 0, F.array(head, *first, *second)).when(_i() % 3 == 1, F.array(head, *first)).otherwise(F.array(head))
     lines = S.read(spark, d, "events").select("event_id", F.posexplode(raws).alias("k", "raw")).select(F.lit("logs/py.log").alias("source_file"), (_i() * 512 + F.col("k") * 64).alias("source_offset"), "raw")
     found = _drafts(spark, lines, 512)

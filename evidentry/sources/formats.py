@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentry.functions.identity import log_uid
-from evidentry.functions.jsonvalues import field, iso_time, kind, string_field, with_object
+from evidentry.functions.jsonvalues import field, iso_time, kind, with_object
 from evidentry.functions.texts import canonical_level, component, mask, normalize_raw, template_hash
 from evidentry.functions.times import attach_zone
 from evidentry.sources.rawlines import text_of
@@ -114,29 +114,32 @@ def parse_logfmt(lines: DataFrame) -> DataFrame:
 def parse_json_lines(lines: DataFrame) -> DataFrame:
     """JSON objects, in built-in functions: a message and a time are needed, odd durations and statuses are named in coercion_dropped.
 
-    Of equal keys the last counts. Attributes are what no column has, keys in order.
+    Of equal keys the last counts. Attributes are what no column has, keys in order, then coercion_dropped.
     """
     rows = with_object(lines, F.regexp_replace("raw", r"\r\z", ""), "json_object")
-    values = F.col("json_object")
-    is_kind = lambda key, *kinds: F.coalesce(kind(values, key).isin(*kinds), F.lit(False))
-    has = lambda key: F.coalesce(F.map_contains_key(values, F.lit(key)), F.lit(False))
-    micros, naive = iso_time(string_field(values, "ts"))
-    code = F.when(is_kind("status", "integer"), field(values, "status").try_cast("int"))
-    digits = string_field(values, "status")
-    code = F.coalesce(code, F.when(digits.rlike("^[0-9]+$"), digits.try_cast("int")))
-    bad_duration = has("duration_ms") & ~is_kind("duration_ms", "integer", "number")
-    bad_status = has("status") & ~is_kind("status", "integer", "null") & ~F.coalesce(digits.rlike("^[0-9]+$"), F.lit(False))
-    dropped = F.array_compact(F.array(F.when(bad_duration, "duration_ms"), F.when(bad_status, "status")))
-    hidden = F.array(*map(F.lit, sorted(CONSUMED - {"duration_ms"})))
-    own = lambda key, _: ~F.array_contains(hidden, key) & ~((key == "duration_ms") & bad_duration) & ~((key == "coercion_dropped") & (F.size(dropped) > 0))
+    values, asked = F.col("json_object"), ("msg", "ts", "service", "level", "trace_id", "status", "duration_ms")
+    # Plain columns, step by step: each value is taken out of the object once. (Fields of structs would be computed anew wherever they are used.)
+    rows = rows.withColumns({f"json_is_{k}": kind(values, k) for k in asked})
+    texts = {f"json_{k}": F.when(F.col(f"json_is_{k}") == "string", field(values, k).try_cast("string")) for k in asked[:6]}
+    rows = rows.withColumns(texts | {"json_code": F.when(F.col("json_is_status") == "integer", field(values, "status").try_cast("int"))})
+    micros, naive = iso_time(F.col("json_ts"))
+    is_kind = lambda key, *kinds: F.coalesce(F.col(f"json_is_{key}").isin(*kinds), F.lit(False))
+    rows = rows.withColumns({"json_micros": micros, "json_naive": naive, "json_digits": F.coalesce(F.col("json_status").rlike("^[0-9]+$"), F.lit(False))})
+    bad_duration = F.col("json_is_duration_ms").isNotNull() & ~is_kind("duration_ms", "integer", "number")
+    bad_status = F.col("json_is_status").isNotNull() & ~is_kind("status", "integer", "null") & ~F.col("json_digits")
+    reason = F.when(~is_kind("msg", "string"), "unparseable").when(F.col("json_micros").isNull(), "no_timestamp")
+    rows = rows.withColumns({"json_dropped": F.array_compact(F.array(F.when(bad_duration, "duration_ms"), F.when(bad_status, "status"))), "json_reason": reason})
+    dropped = F.col("json_dropped")
+    no_names = F.array().cast("array<string>")
+    hidden = F.concat(F.array(*map(F.lit, sorted(CONSUMED - {"duration_ms"}))), dropped, F.when(F.size(dropped) > 0, F.array(F.lit("coercion_dropped"))).otherwise(no_names))
     named = F.when(F.size(dropped) > 0, F.create_map(F.lit("coercion_dropped"), dropped.cast("variant"))).otherwise(F.create_map().cast("map<string,variant>"))
-    reason = F.when(~is_kind("msg", "string"), "unparseable").when(micros.isNull(), "no_timestamp")
-    parsed = F.struct(
-        reason.alias("reason"), micros.alias("micros"), naive.alias("naive"), string_field(values, "service").alias("service"), string_field(values, "level").alias("level"), code.alias("status"),
-        string_field(values, "trace_id").alias("trace_id"), string_field(values, "msg").alias("message"), F.to_json(F.map_concat(F.map_filter(values, own), named)).alias("attrs"),
-    )
-    refused = F.struct(reason.alias("reason"), *(F.lit(None).cast(t).alias(n) for n, t in (("micros", "long"), ("naive", "boolean"), ("service", "string"), ("level", "string"), ("status", "int"), ("trace_id", "string"), ("message", "string"), ("attrs", "string"))))
-    return rows.withColumn("p", F.when(reason.isNull(), parsed).otherwise(refused)).drop("json_object")
+    attrs = F.to_json(F.map_concat(F.map_filter(values, lambda key, _: ~F.array_contains(hidden, key)), named))
+    code = F.coalesce("json_code", F.when(F.col("json_digits"), F.col("json_status").try_cast("int")))
+    null = lambda t: F.lit(None).cast(t)
+    parsed = {"reason": null("string"), "micros": F.col("json_micros"), "naive": F.col("json_naive"), "service": F.col("json_service"), "level": F.col("json_level"), "status": code, "trace_id": F.col("json_trace_id"), "message": F.col("json_msg"), "attrs": attrs}
+    refused = F.from_json(F.to_json(F.struct(F.col("json_reason").alias("reason"))), PARSED)
+    rows = rows.withColumn("p", F.when(F.col("json_reason").isNull(), F.struct(*(c.alias(n) for n, c in parsed.items()))).otherwise(refused))
+    return rows.select(*lines.columns, "p")
 
 
 def parse_nginx(lines: DataFrame) -> DataFrame:
