@@ -27,13 +27,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each component of documents that share 0.8 of their five-word shingles.
 
     Candidates are SimHash links in pigeonhole blocks, and MinHash buckets for the pairs that 64
-    bits can't select; all are verified on the shingles.
+    bits can't select; all are verified on the shingles. Texts without a word are one group;
+    rows of one doc_id and text are one; null ids come after all others; columns of any name
+    pass through; an empty table gives none.
     """
     return minhash.without_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark window of ten words."""
+    """Drops documents that hold a benchmark window of ten words (all words of a shorter item).
+
+    Null and empty texts hold none and stay, as do repeated rows that hold none; without items
+    every document stays; columns of any name pass through; an empty table gives none.
+    """
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -43,8 +49,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """Packs the documents into sequences of 2048 tokens, one row a piece.
+
+    Null and empty texts are the end id alone; repeated rows are packed each; only documents
+    beyond 2048 tokens are cut; of the documents' columns doc_id stays; an empty table gives none.
+    Workers that have other stages behind them keep fewer words.
+    """
+    return packing.pack(docs, cached_words=300_000)
 
 
 STAGES = [

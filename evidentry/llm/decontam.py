@@ -201,7 +201,11 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no benchmark window."""
+    """The rows of ``docs``, with all their columns, that hold no benchmark window.
+
+    Null and empty texts hold none. Rows are told apart by id and text, null ids included, so
+    repeated rows go or stay together. An empty benchmark drops nothing, an empty table gives none.
+    """
     found = contaminated_words(docs, benchmark, id_col=id_col, text_col=text_col, **how)
     own_id, own_hash = unused(docs, "hit_id", "hit_hash")
     hit = materialize(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "contaminated")

@@ -23,16 +23,14 @@ from evidentry.llm.columns import pieces as bounded
 from evidentry.llm.tokenize import default_path, tokenizer
 from evidentry.session import materialize
 
-#: Words whose ids a worker keeps; packing follows other stages in workers that live on, so fewer than the token files keep.
-CACHED_WORDS = 800_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool, cached_words: int) -> DataFrame:
     """One row a piece: where it starts in its document's ids, its length and checksum, the ids if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = tokenizer(path, end_id, CACHED_WORDS), np.array([end_id], "<u4").tobytes()
+        coder, end = tokenizer(path, end_id, cached_words), np.array([end_id], "<u4").tobytes()
         for batch in bounded(batches, limit=1 << 20):
             doc, no, start, size, crc, kept = [], [], [], [], [], []
             for d, found in zip(batch.column(0).to_pylist(), coder.encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -95,6 +93,7 @@ def pack(
     by: str = "norm",
     group_size: int = 8192,
     keep_ids: bool = False,
+    cached_words: int = 1_200_000,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset): one row a piece.
 
@@ -102,9 +101,10 @@ def pack(
     ``capacity`` tokens; left out, they never bind. A piece that alone exceeds ``max_cost`` has
     a sequence to itself. Null and empty texts are the end id alone; repeated rows are packed
     each; an empty table gives none. sequence_id is the group and the group's own number.
+    ``cached_words`` bounds what a worker keeps between texts, some 240 bytes a word; fewer cost time.
     """
     path = tokenizer_path or default_path("word_bpe_49k.json")
-    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids), "token-pieces")
+    rows = materialize(token_pieces(docs, path, capacity, end_id, id_col, text_col, keep_ids, cached_words), "token-pieces")
     groups = max(1, math.ceil(rows.count() / group_size))
     most, cost = max_docs or capacity, max_cost or capacity * capacity
 
