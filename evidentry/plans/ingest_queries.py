@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentry.operators.store import EvidenceStore
@@ -9,6 +10,7 @@ from evidentry.plans import standins as S
 from evidentry.plans.catalog import query
 from evidentry.session import scratch_path
 from evidentry.sources import formats, rawlines, records, terraform, webhooks
+from evidentry.streaming.records import state_store, stream_tracebacks
 
 CODE = "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 201 WHEN 'purchase' THEN 200 WHEN 'view' THEN 304 ELSE 404 END"
 LEVEL = f"CASE WHEN event_id % 3 = 0 THEN 'warning' WHEN {CODE} = 500 THEN 'error' WHEN {CODE} = 404 THEN 'warning' ELSE 'info' END"
@@ -131,6 +133,84 @@ def traceback_records(spark, d):
     return found.select(*_COLUMNS, F.get_json_object("attrs", "$.top_frame.line").cast("int").alias("top_line"), F.size(F.split("raw", "\n")).alias("lines"))
 
 
+#: A record's lines by its kind: a header alone, an exception, a traceback that is cut off, one that led to another; the fifth is a line without a header.
+_RECORD_LINES = (
+    ("{h}",),
+    ("{h}", records.START, '  File "/srv/app.py", line 4, in run', "ValueError: bad {i}"),
+    ("{h}", records.START, '  File "/srv/app.py", line 7, in run'),
+    ("{h}", records.START, '  File "/srv/app.py", line 4, in run', "ValueError: bad {i}", "During handling of the above exception, another exception occurred:", records.START, '  File "/lib/dep.py", line 9', "KeyError: key {i}"),
+    ("stray {i}",),
+)
+
+
+def _record_lines(spark, d):
+    e = S.read(spark, d, "events")
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ERROR [svc-"), _text(_u() % 10), F.lit("] app.x: plain "), _text(_i()))
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("{h}"), head), F.lit("{i}"), _text(_i()))
+    raws = F.element_at(F.array(*(F.array(*map(filled, lines)) for lines in _RECORD_LINES)), (_i() % 5 + 1).cast("int"))
+    rows = e.select("event_id", F.concat(F.lit("logs/py-"), _text(_u() % 20), F.lit(".log")).alias("source_file"), F.posexplode(raws).alias("k", "raw"))
+    return rows.select("source_file", (_i() * 512 + F.col("k") * 64).alias("source_offset"), "raw")
+
+
+def _record_drafts(found):
+    named = found.withColumn("event_id", F.floor(F.col("source_offset") / 512).cast("long")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    part = lambda path: F.get_json_object("attrs", path)
+    return named.select(
+        "event_id", "uid", "reason", "ts", "service_id", "level", "message", "template_hash", F.size(F.split("raw", "\n")).alias("lines"),
+        part("$.assembly").alias("assembly"), part("$.exc_type").alias("exc_type"), part("$.top_frame.line").cast("int").alias("top_line"), F.size(F.from_json(part("$.stack"), "array<string>")).alias("frames"),
+    )
+
+
+_RECORDS_SQL = f"""WITH e AS (SELECT *, event_id % 5 AS kind, 'logs/py-' || (user_id % 20) || '.log' AS file, strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' ERROR [svc-' || (user_id % 10) || '] app.x: plain ' || event_id AS head FROM events),
+  t AS (SELECT *, CASE kind {" ".join(f"WHEN {k} THEN " + "'" + chr(10).join(x).replace("'", "''").replace("{h}", "' || head || '").replace("{i}", "' || event_id || '") + "'" for k, x in enumerate(_RECORD_LINES))} END AS raw,
+    sum((kind <> 4)::INT) OVER (PARTITION BY file ORDER BY event_id) AS rec FROM e),
+  r AS (SELECT file, min(event_id) AS event_id, first(kind ORDER BY event_id) AS kind, first(ts ORDER BY event_id) AS ts, first(user_id ORDER BY event_id) AS user_id, string_agg(raw, chr(10) ORDER BY event_id) AS raw,
+    coalesce(string_agg(chr(10) || raw, '' ORDER BY event_id) FILTER (WHERE kind = 4), '') AS strays, rec = max(max(rec)) OVER (PARTITION BY file) AS is_last FROM t WHERE rec > 0 GROUP BY file, rec
+    UNION ALL SELECT file, event_id, 4, ts, user_id, raw, '', FALSE FROM t WHERE rec = 0),
+  m AS (SELECT *, CASE WHEN kind = 4 THEN 'unparseable' WHEN kind = 2 AND is_last THEN 'incomplete_traceback' END AS reason,
+    CASE kind WHEN 1 THEN 'ValueError: bad ' || event_id || strays WHEN 3 THEN 'KeyError: key ' || event_id || strays ELSE 'plain ' || event_id END AS message FROM r)
+  SELECT event_id, {_uid_sql("file", "event_id * 512", "raw")} AS uid, reason, CASE WHEN reason IS NULL THEN date_trunc('millisecond', ts)::TIMESTAMP END AS ts, CASE WHEN reason IS NULL THEN (user_id % 10)::INT END AS service_id, CASE WHEN reason IS NULL THEN 'error' END AS level,
+    CASE WHEN reason IS NULL THEN message END AS message, CASE WHEN reason IS NULL THEN substr(sha256(replace(regexp_replace(message, '[0-9]+', '<NUM>', 'g'), chr(10), ' ')), 1, 32) END AS template_hash, len(string_split(raw, chr(10)))::INT AS lines,
+    CASE WHEN reason IS NULL AND kind = 2 THEN 'incomplete' END AS assembly, CASE WHEN reason IS NULL THEN CASE kind WHEN 1 THEN 'ValueError' WHEN 3 THEN 'KeyError' END END AS exc_type,
+    CASE WHEN reason IS NULL THEN CASE kind WHEN 1 THEN 4 WHEN 2 THEN 7 WHEN 3 THEN 9 END END AS top_line, CASE WHEN reason IS NULL THEN CASE kind WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END END AS frames FROM m"""
+
+
+@query(_RECORDS_SQL)
+def traceback_files(spark, d):
+    """Records of twenty files, by ordered scans: stray lines, tracebacks that a header or the file's end cuts off, chained ones, through to identities."""
+    return _record_drafts(formats.drafts(_record_lines(spark, d), _services(spark)))
+
+
+@query(_RECORDS_SQL)
+def streamed_tracebacks(spark, d):
+    """The same lines landing in three pieces, cut inside records, through a stream with keyed state."""
+    lines = _record_lines(spark, d).withColumn("declared", F.lit(None).cast("string"))
+    landing, out, marks = (scratch_path(spark, f"lines-{x}") for x in ("in", "out", "marks"))
+    top = lines.agg(F.coalesce(F.max("source_offset"), F.lit(0))).first()[0]
+    edges = [-1, top // 3 // 512 * 512 + 32, 2 * top // 3 // 512 * 512 + 96, 1 << 62]
+    ends = lines.select("source_file", F.lit(1 << 61).alias("source_offset"), F.lit(None).cast("string").alias("raw"), "declared").distinct()
+    with state_store(spark):
+        for low, high in zip(edges, edges[1:]):
+            piece = lines.unionByName(ends).where((F.col("source_offset") > low) & (F.col("source_offset") <= high))
+            piece.write.mode("append").parquet(landing)
+            stream = stream_tracebacks(spark.readStream.schema(lines.schema).parquet(landing))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return _record_drafts(formats.finished(spark.read.parquet(out), _services(spark)))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  SELECT doc_id, (i - 1)::INT AS ordinal, sha256(line) AS line_sha256, octet_length(encode(line))::INT AS bytes, TRUE AS adjoins FROM l""")
+def raw_file_lines(spark, d):
+    """Lines written to files and read as bytes, in splits of 64 KB; adjoins says that a line begins where the one before it ends."""
+    folder = scratch_path(spark, "text-files")
+    numbered = S.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    numbered.select(F.concat(_text(F.col("doc_id")), F.lit(":"), _text(F.col("ordinal")), F.lit(":"), "line")).write.text(folder)
+    found = rawlines.read_lines(spark, folder, split_bytes=1 << 16).withColumn("text", rawlines.text_of(F.col("raw")))
+    before = F.lag(F.col("source_offset") + F.octet_length("raw") + 1, 1, 0).over(W.partitionBy("source_file").orderBy("source_offset"))
+    part = lambda i: F.regexp_extract("text", r"(?s)^(\d+):(\d+):(.*)$", i)
+    return found.select(part(1).cast("long").alias("doc_id"), part(2).cast("int").alias("ordinal"), F.sha2(part(3).cast("binary"), 256).alias("line_sha256"), F.octet_length(part(3)).alias("bytes"), (before == F.col("source_offset")).alias("adjoins"))
+
+
 @query("""SELECT sha1(event_id::VARCHAR) AS sha, CASE WHEN event_id % 7 <> 1 THEN 'org/repo-' || (user_id % 10) END AS repo, CASE event_id % 7 WHEN 0 THEN 'truncated' WHEN 1 THEN 'repository' WHEN 2 THEN 'paths' END AS error,
   date_trunc('second', ts)::TIMESTAMP AS committed_at, CASE WHEN event_id % 7 = 2 THEN 3 ELSE 2 END AS files FROM events""")
 def push_mapping(spark, d):

@@ -207,10 +207,11 @@ def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = N
         own = known.where(F.col("format") == f.name).drop("format", *([] if f.raw_aware else ["raw_bytes"]))
         own = f.parse(own).select("source_file", "source_offset", "raw", "p")
         parsed = own if parsed is None else parsed.unionByName(own)
-    return _finished(parsed, services)
+    return finished(parsed, services)
 
 
-def _finished(parsed: DataFrame, services: DataFrame) -> DataFrame:
+def finished(parsed: DataFrame, services: DataFrame) -> DataFrame:
+    """Parsed records (source_file, source_offset, raw, p) -> drafts."""
     named = services.select(F.col("name").alias("service"), F.col("id").alias("service_id"), "log_timezone")
     rows = parsed.select("source_file", "source_offset", normalize_raw(F.concat("raw", F.lit("\n"))).alias("raw"), "p.*").withColumn("service", component(F.col("service")))
     rows = rows.join(named, "service", "left")
