@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import contextlib
+import ctypes
 import time
 
 import numpy as np
@@ -45,6 +47,13 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return value
 
 
+def _give_back() -> None:
+    """Returns memory that is free in this worker to the machine: a worker outlives its tasks, and the next one may need little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, one row at least."""
     for key in [k for k, (_, used) in _kept.items() if time.monotonic() - used > IDLE_S]:
@@ -58,6 +67,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for start, end in zip(starts, np.r_[starts[1:], batch.num_rows]):
             yield batch.slice(start, end - start)
+    _give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
