@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +21,11 @@ class Window:
         """Both bounds on the raw column, so that they reach the scan."""
         return (column >= F.lit(self.start)) & (column < F.lit(self.end))
 
+    def dates(self) -> list[date]:
+        """All dates that the window has an instant of, and its end's."""
+        first = self.start.date()
+        return [first + timedelta(days=k) for k in range((self.end.date() - first).days + 1)]
+
     def contains(self, value: datetime) -> bool:
         return self.start <= value < self.end
 

@@ -51,12 +51,6 @@ def source_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def require_non_empty(counts: DataFrame) -> None:
-    empty = [r.name for r in counts.where("n = 0").collect()]
-    if empty:
-        raise ValueError(f"tables without rows: {', '.join(sorted(empty))}")
-
-
 def _one_of(column: str, values: tuple[str, ...]) -> Column:
     return F.col(column).isin(*values)
 

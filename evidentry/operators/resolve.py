@@ -22,11 +22,6 @@ def pod_candidates(name: Column) -> Column:
     return F.array_distinct(F.aggregate(F.split(name, "-"), F.array(name), lambda seen, _: F.array_append(seen, strip(F.element_at(seen, -1)))))
 
 
-def tags_hold(needed: Column, given: Column) -> Column:
-    """Whether every needed tag is among the given ones; never for no needed tags."""
-    return (F.size(needed) > 0) & F.forall(F.map_entries(needed), lambda e: F.coalesce(F.try_element_at(given, e["key"]) == e["value"], F.lit(False)))
-
-
 def _index(services: DataFrame, column: str) -> DataFrame:
     return services.select(F.explode(column).alias("key"), F.col("id").alias("found"))
 

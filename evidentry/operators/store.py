@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,15 +61,6 @@ def split_batch(batch: DataFrame, stored: DataFrame, key: str, content: Sequence
     return joined.withColumn("outcome", outcome).select(*batch.columns, "outcome", "differs")
 
 
-def first_versions(batch: DataFrame, key: str, content: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """One row a key, and the keys whose rows in the batch disagree."""
-    image = F.struct(*content)
-    grouped = batch.groupBy(key).agg(F.min(F.struct("source_file", "source_offset", image.alias("image")) if "source_file" in batch.columns else F.struct(image.alias("image"))).alias("least"), F.count_distinct(F.xxhash64(*content)).alias("versions"))
-    rest = [c for c in batch.columns if c != key and c not in content]
-    one = batch.dropDuplicates([key]) if rest else grouped.select(key, "least.image.*")
-    return one.select(*batch.columns), grouped.where("versions > 1").select(key)
-
-
 def latest_snapshot(rows: DataFrame, key: str, count: str, sequence: str) -> DataFrame:
     """Of each key the row of the highest count, then of the highest sequence: stale snapshots give way."""
     newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(count, sequence)).alias("row"))
@@ -142,10 +133,10 @@ class IngestReport:
 TABLES = {
     "services": schemas.SERVICES, "commits": schemas.COMMITS, "deployments": schemas.DEPLOYMENTS, "infra_changes": schemas.INFRA_CHANGES,
     "log_events": schemas.LOG_EVENTS, "unresolved_events": schemas.UNRESOLVED_EVENTS, "rollups": schemas.ROLLUPS, "postmortems": schemas.POSTMORTEMS,
-    "chunks": schemas.CHUNKS, "incidents": schemas.INCIDENTS, "identities": schemas.IDENTITIES,
+    "chunks": schemas.CHUNKS, "incidents": schemas.INCIDENTS, "identities": schemas.IDENTITIES, "cluster_events": schemas.CLUSTER_EVENTS,
 }
 #: Tables kept by the date of a time column; a batch adds to its dates or replaces them, and leaves the others alone.
-DATED = {"log_events": "ts", "rollups": "bucket_start"}
+DATED = {"log_events": "ts", "rollups": "bucket_start", "identities": "on_date"}
 
 
 @dataclass
@@ -153,7 +144,9 @@ class EvidenceStore:
     """Snapshots of the evidence tables under ``root``, on any file system that Hadoop can rename in.
 
     ``identities`` has the uid and a hash of the content of every log event: new batches are
-    compared with that narrow table and not with the events themselves.
+    compared with that narrow table and not with the events themselves. An identity holds the
+    line's text and with it its time, so a batch is compared with its own dates and the days
+    beside them (a service's zone may have been set anew); what it reads does not grow with the history.
     """
 
     spark: SparkSession
@@ -175,14 +168,15 @@ class EvidenceStore:
         """The newest manifest: version, folders of each table, folders by date of each dated table, a cursor for each source."""
         versions = [int(n.split(".")[0]) for n in self._names("manifests") if n.endswith(".json") and n[0] != "."]
         if not versions:
-            return {"version": 0, "tables": {}, "dates": {}, "cursors": {}}
+            return {"version": 0, "tables": {}, "dates": {}, "cursors": {}, "last_id": 0}
         return json.loads(self.spark.read.text(f"{self.root}/manifests/{max(versions):012d}.json", wholetext=True).first().value)
 
-    def read(self, name: str, low: date | None = None, high: date | None = None) -> DataFrame:
-        """A table of the current snapshot; of a dated one only the dates from ``low`` to ``high``, if given."""
+    def read(self, name: str, days: Collection[date | str] | None = None) -> DataFrame:
+        """A table of the current snapshot; of a dated one only the ``days`` given."""
         manifest, ddl = self.manifest(), self.tables[name]
         if name in DATED:
-            kept = {d: f for d, f in manifest["dates"].get(name, {}).items() if (low is None or d >= str(low)) and (high is None or d <= str(high))}
+            wanted = None if days is None else set(map(str, days))
+            kept = {d: f for d, f in manifest["dates"].get(name, {}).items() if wanted is None or d in wanted}
             paths = [f"{self.root}/data/{name}/{folder}/on={d}" for d, folders in sorted(kept.items()) for folder in folders]
             base = self.spark.read.option("basePath", f"{self.root}/data/{name}").schema(f"{ddl}, batch string, on date")
             return base.parquet(*paths).drop("batch", "on") if paths else self.spark.createDataFrame([], ddl)
@@ -191,7 +185,7 @@ class EvidenceStore:
             return self.spark.createDataFrame([], ddl)
         return self.spark.read.schema(ddl).parquet(*[f"{self.root}/data/{name}/{f}" for f in folders])
 
-    def publish(self, changed: dict[str, DataFrame] | None = None, cursors: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, dates: dict[str, list[str]] | None = None) -> int:
+    def publish(self, changed: dict[str, DataFrame] | None = None, cursors: dict[str, int] | None = None, added: dict[str, DataFrame] | None = None, dates: dict[str, list[str]] | None = None, last_id: int | None = None) -> int:
         """Writes tables and makes them visible together.
 
         ``changed`` tables are replaced, ``added`` rows go beside those there are. A dated table is
@@ -217,7 +211,7 @@ class EvidenceStore:
                         held.pop(d, None)
                 for d in written:
                     held[d] = held.get(d, []) + [folder]
-        after = {"version": before["version"] + 1, "tables": tables, "dates": dated, "cursors": before["cursors"] | (cursors or {})}
+        after = {"version": before["version"] + 1, "tables": tables, "dates": dated, "cursors": before["cursors"] | (cursors or {}), "last_id": before["last_id"] if last_id is None else last_id}
         fs, draft = self._fs(), self._path(f"manifests/.{uuid.uuid4().hex}")
         out = fs.create(draft)
         out.write(bytearray(json.dumps(after).encode()))
@@ -230,7 +224,7 @@ class EvidenceStore:
         """Rewrites the dates of a dated table that are spread over more than ``most`` folders into one each."""
         spread = [d for d, f in self.manifest()["dates"].get(name, {}).items() if len(f) > most]
         for d in spread:
-            self.publish({name: self.read(name, d, d)}, dates={name: [d]})
+            self.publish({name: self.read(name, [d])}, dates={name: [d]})
         return len(spread)
 
     def cursor(self, source: str) -> int:
@@ -241,63 +235,79 @@ class EvidenceStore:
 
         Only those dates' rollups and events are read, with ``extra`` events and less those of ``without``.
         """
-        days = [str(r[0]) for r in touched.select(F.to_date("ts")).distinct().collect()]  # one row a date
+        days = _days(touched)
         if not days:
             return self.spark.createDataFrame([], schemas.ROLLUPS), []
-        wanted = F.to_date("ts").isin([date.fromisoformat(d) for d in days])
-        events, rollups = self.read("log_events", min(days), max(days)).where(wanted), self.read("rollups", min(days), max(days))
-        rollups = rollups.where(F.to_date("bucket_start").isin([date.fromisoformat(d) for d in days]))
+        events, rollups = self.read("log_events", days), self.read("rollups", days)
         if without is not None:
             events = events.join(without.select("uid"), "uid", "left_anti").select(*events.columns)
         if extra is not None:
             events = events.unionByName(extra.select(*events.columns))
         return recompute(events, rollups, materialize(dirty_minutes(touched, rollups), "dirty")), days
 
-    def ingest(self, drafts: DataFrame, cursors: dict[str, int] | None = None) -> IngestReport:
+    def _known(self, days: list[str], untimed: int) -> DataFrame:
+        """The identities that a batch on these days may have; all, if some of its lines have no time."""
+        near = {date.fromisoformat(d) + timedelta(days=k) for d in days for k in (-2, -1, 0, 1, 2)}
+        return self.read("identities", None if untimed else near)
+
+    def ingest(self, drafts: DataFrame, cursors: dict[str, int] | None = None, gone: DataFrame | None = None, changed: dict[str, DataFrame] | None = None) -> IngestReport:
         """Takes a batch of log drafts: rows with a reason are unresolved, the others log events.
 
         Equal repeats are duplicates, other content under a known uid raises, a resolved line that
         was unresolved before moves over, and the reverse raises. Touched minutes are rebuilt.
-        Sequence numbers continue in (source_file, source_offset) order.
+        Sequence numbers continue in (source_file, source_offset) order. In the same snapshot log
+        events ``gone`` (uid, service_id, ts) leave, and ``changed`` tables are replaced. All counts
+        are observed while the batch's parts are written.
         """
-        drafts = materialize(checked_offsets(drafts), "drafts")
-        known, unresolved = self.read("identities"), self.read("unresolved_events")
+        seen, met, left = Observation(), Observation(), Observation()
+        resolved_line = F.col("reason").isNull()
+        drafts = materialize(checked_offsets(drafts).observe(seen, F.count_if(resolved_line).alias("good"), F.count_if(~resolved_line).alias("bad"), F.count_if(F.col("ts").isNull()).alias("untimed")), "drafts")
+        known, unresolved, before = self._known(_days(drafts), seen.get["untimed"]), self.read("unresolved_events"), self.manifest()
         for source, cursor in (cursors or {}).items():
             used = drafts.where(F.col("source_file") == source).agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0)).alias("n")).first().n
             check_cursor(source, self.cursor(source), cursor, int(used))
         good, bad = drafts.where("reason IS NULL").withColumn("content", F.xxhash64(*schemas.LOG_CONTENT)), drafts.where("reason IS NOT NULL")
         self._refuse(good.groupBy("uid").agg(F.count_distinct("content").alias("n")).where("n > 1"), EvidenceConflict)
-        resolved = materialize(split_batch(good.dropDuplicates(["uid"]), known, "uid", ("content",)), "resolved")
-        clash = resolved.where("outcome = 'conflict'").limit(5)
-        if clash.limit(1).count():
-            rows = clash.drop("outcome", "differs")
-            days = rows.join(known.select("uid", "on_date"), "uid").agg(F.min("on_date"), F.max("on_date")).first()
-            self._refuse(split_batch(rows, self.read("log_events", *days), "uid", schemas.LOG_CONTENT), EvidenceConflict)
+        waited = unresolved.select("uid", F.lit(True).alias("waited"))
+        outcomes = split_batch(good.dropDuplicates(["uid"]), known, "uid", ("content",)).join(waited, "uid", "left")
+        is_new = F.col("outcome") == "inserted"
+        counts = [F.count_if(is_new).alias("new"), F.count_if(is_new & F.col("waited")).alias("promoted"), F.count_if(F.col("outcome") == "conflict").alias("conflict")]
+        resolved = materialize(outcomes.observe(met, *counts), "resolved").drop("waited")
+        if met.get["conflict"]:
+            rows = resolved.where("outcome = 'conflict'").limit(5).drop("outcome", "differs")
+            days = [r[0] for r in rows.join(known.select("uid", "on_date"), "uid").select("on_date").distinct().collect()]
+            self._refuse(split_batch(rows, self.read("log_events", days), "uid", schemas.LOG_CONTENT), EvidenceConflict)
         self._refuse(bad.join(known.select("uid"), "uid", "left_semi"), EvidenceRegression)
         open_ = materialize(split_batch(bad.dropDuplicates(["uid"]), unresolved, "uid", schemas.UNRESOLVED_CONTENT), "open")
         self._refuse(open_.where("outcome = 'conflict'"), EvidenceConflict)
         new = resolved.where("outcome = 'inserted'")
-        n_promoted = new.join(unresolved.select("uid"), "uid", "left_semi").count()
         waiting = open_.where("outcome = 'inserted'").join(new.select("uid"), "uid", "left_anti")
-        counts = dict(drafts.groupBy(F.col("reason").isNull()).count().collect())
-        n_new, n_open = new.count(), waiting.count()
-        last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("n")).first().n
-        numbered = materialize(_numbered(new, last), "new-events")
-        fresh, days = self._rebuilt(numbered, extra=numbered)
-        changed, added = {"rollups": fresh}, {"log_events": numbered, "unresolved_events": waiting, "identities": numbered.withColumn("on_date", F.to_date("ts"))}
+        waiting = materialize(waiting.observe(left, F.count(F.lit(1)).alias("n")), "waiting")
+        n_new, n_promoted, n_open = met.get["new"], met.get["promoted"], left.get["n"]
+        numbered = materialize(_numbered(new, before["last_id"]), "new-events")
+        minutes = numbered.select("uid", "service_id", "ts")
+        fresh, days = self._rebuilt(minutes if gone is None else minutes.unionByName(gone.select("uid", "service_id", "ts")), extra=numbered, without=gone)
+        changed, dates = {"rollups": fresh, **(changed or {})}, {"rollups": days}
+        added = {"log_events": numbered, "unresolved_events": waiting, "identities": numbered.withColumn("on_date", F.to_date("ts"))}
+        if gone is not None and (dates_gone := _days(gone)):
+            changed["log_events"], dates["log_events"] = self.read("log_events", dates_gone).join(gone.select("uid"), "uid", "left_anti"), dates_gone
         if n_promoted:  # only then are unresolved lines rewritten
             changed["unresolved_events"] = unresolved.join(new.select("uid"), "uid", "left_anti").select(*unresolved.columns).unionByName(waiting.select(*unresolved.columns))
             del added["unresolved_events"]
-        self.publish(changed, cursors, added, {"rollups": days})
-        return IngestReport(n_new - n_promoted, counts.get(True, 0) - n_new + counts.get(False, 0) - n_open, n_promoted, n_open)
+        self.publish(changed, cursors, added, dates, before["last_id"] + n_new)
+        return IngestReport(n_new - n_promoted, seen.get["good"] - n_new + seen.get["bad"] - n_open, n_promoted, n_open)
 
-    def remove_events(self, gone: DataFrame) -> None:
-        """Deletes log events (uid, service_id, ts) and rebuilds their minutes, so that no rollup is left without its example. Only their dates are rewritten."""
-        fresh, days = self._rebuilt(gone, without=gone)
-        if days:
-            wanted = F.to_date("ts").isin([date.fromisoformat(d) for d in days])
-            kept = self.read("log_events", min(days), max(days)).where(wanted).join(gone.select("uid"), "uid", "left_anti")
-            self.publish({"log_events": kept, "rollups": fresh}, dates={"log_events": days, "rollups": days})
+    def ingest_snapshots(self, found: DataFrame) -> IngestReport:
+        """Takes drafts that are snapshots of events (event_uid, occurrence_count): newer ones take the place of older ones, all in one publication.
+
+        What is stored of an event is asked of the narrow table of newest snapshots.
+        """
+        found, stored = materialize(found, "snapshots"), self.read("cluster_events")
+        gone, fresh = replaced_snapshots(stored, found, "event_uid", "occurrence_count")
+        gone, fresh = materialize(gone.select("uid", "service_id", "ts"), "gone"), materialize(fresh, "fresh")
+        newest = fresh.where("reason IS NULL").select(*stored.columns)
+        kept = stored.join(newest.select("event_uid"), "event_uid", "left_anti").select(*stored.columns).unionByName(newest)
+        return self.ingest(fresh.drop("event_uid", "occurrence_count"), gone=gone, changed={"cluster_events": kept})
 
     @staticmethod
     def _refuse(rows: DataFrame, error: type[ValueError]) -> None:
@@ -306,6 +316,11 @@ class EvidenceStore:
             raise error("; ".join(f"{r.uid}" + (f" ({', '.join(r.differs)})" if "differs" in rows.columns else "") for r in found))
 
 
+def _days(rows: DataFrame) -> list[str]:
+    """The dates that the rows' times lie on: one row a date reaches the driver."""
+    return sorted(str(r[0]) for r in rows.where("ts IS NOT NULL").select(F.to_date("ts")).distinct().collect())
+
+
 def _columns(ddl: str) -> list[str]:
     return [f.split(" ")[0] for f in _fields(ddl)]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentry.operators.store import EvidenceConflict, EvidenceStore, IngestReport, apply_deployments, replaced_snapshots, split_batch, unresolved_report
+from evidentry.operators.store import EvidenceConflict, EvidenceStore, IngestReport, apply_deployments, split_batch, unresolved_report
 from evidentry.schemas import INFRA_CONTENT
 from evidentry.session import materialize
 from evidentry.sources import formats, git, k8s, lines, postmortems, registry, terraform
@@ -46,14 +46,8 @@ def ingest_clusters(store: EvidenceStore, pods: str | None, events: str | None)
     services = store.read("services")
     if pods:
         store.ingest(k8s.pod_drafts(k8s.read_items(store.spark, pods), services).drop("event_uid", "occurrence_count"))
-    if not events:
-        return
-    found = materialize(k8s.event_drafts(k8s.read_items(store.spark, events), services), "cluster-events")
-    stored = store.read("log_events").withColumn("event_uid", F.get_json_object("attrs", "$.event_uid")).where("event_uid IS NOT NULL").withColumn("occurrence_count", F.get_json_object("attrs", "$.occurrence_count").cast("long"))
-    gone, fresh = replaced_snapshots(stored, found, "event_uid", "occurrence_count")
-    gone, fresh = materialize(gone.select("uid", "service_id", "ts"), "gone"), materialize(fresh.select(*[c for c in found.columns if c not in ("event_uid", "occurrence_count")]), "fresh")
-    store.remove_events(gone)  # a replaced event may stand for its rollup, so its minutes are rebuilt without it first
-    store.ingest(fresh)
+    if events:
+        store.ingest_snapshots(k8s.event_drafts(k8s.read_items(store.spark, events), services))
 
 
 def ingest_reviews(store: EvidenceStore, path: str, vectors: DataFrame, size: int, fingerprint: str, cap: int = 8191) -> int:

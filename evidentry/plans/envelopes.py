@@ -82,9 +82,9 @@ class QueryInterface:
         _whole(top_n, "top_n", 1)
         number = self._service(service)
         both = Window(window.before().start, window.end)
-        days = both.start.date(), both.end.date()
-        events = self.store.read("log_events", *days)
-        rows = telemetry.rollups_in(self.store.read("rollups", *days), self.store.read("services"), service, window)
+        days = both.dates()
+        events = self.store.read("log_events", days)
+        rows = telemetry.rollups_in(self.store.read("rollups", days), self.store.read("services"), service, window)
         # Exemplars lie within their rollups' minutes, so the same range bounds the scan of events.
         rows = telemetry.with_exemplars(rows, events.where((F.col("service_id") == number) & both.holds(F.col("ts"))))
         found = telemetry.anomalies(rows).join(telemetry.occurrence_counts(events, number, window), ["template_hash", "level"], "left")

@@ -14,6 +14,8 @@ POSTMORTEMS = "slug string, title string, occurred_at timestamp, services array<
 CHUNKS = "slug string, ordinal int, kind string, content string, embedding array<float>"
 INCIDENTS = "dedup_key string, service_id int, opened_at timestamp, window_start timestamp, window_end timestamp, alert_payload string, summary_json string, status string"
 IDENTITIES = "uid string, content long, id long, on_date date"
+#: The newest snapshot of each cluster event that is a log event, so that a newer one finds the row it takes the place of.
+CLUSTER_EVENTS = "event_uid string, occurrence_count long, uid string, service_id int, ts timestamp"
 WATERMARKS = "source string, last_cursor string, updated_at timestamp"
 
 #: Columns that two versions of one identity must share.
