@@ -18,12 +18,12 @@ def unsupported(cites: DataFrame, captured: DataFrame) -> DataFrame:
     return cites.select("cite").distinct().join(captured.select("cite"), "cite", "left_anti").withColumn("well_formed", citations.well_formed(F.col("cite")))
 
 
-def captured_cites(results: DataFrame, *columns: str) -> DataFrame:
-    """The distinct citations of result columns, single or arrays."""
+def captured_cites(results: DataFrame, *columns: str, by: str | None = None) -> DataFrame:
+    """The distinct citations of result columns, single or arrays; with ``by``, those of each of its values beside it."""
     kinds = dict(results.dtypes)
     arrays = [F.col(c) if kinds[c].startswith("array") else F.array(c) for c in columns]
     flat = F.array_distinct(F.array_compact(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays])))
-    return results.select(F.explode(flat).alias("cite")).distinct()
+    return results.select(*([by] if by else []), F.explode(flat).alias("cite")).distinct()
 
 
 def first_captures(trace: DataFrame) -> DataFrame:

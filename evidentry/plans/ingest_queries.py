@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evidentry.operators.store import EvidenceStore
+from evidentry.functions import times
+from evidentry.operators import provenance
+from evidentry.operators.store import EvidenceStore, split_batch
 from evidentry.plans import standins as S
 from evidentry.plans.catalog import query
 from evidentry.session import scratch_path
@@ -268,3 +270,51 @@ def store_rollups(spark, d):
     store, _ = _two_batches(spark, d)
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("bucket_start", "first_seen", "last_seen")}
     return store.read("rollups").withColumns(times).select("service_id", "bucket_start", "status_class", "level", "template_hash", "count", "first_seen", "last_seen")
+
+
+@query("""WITH o AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'conflict' WHEN event_id % 10 = 1 THEN 'regression' WHEN event_id % 3 = 0 THEN 'inserted' ELSE 'duplicate' END AS outcome FROM events)
+  SELECT event_id, outcome, CASE WHEN event_id % 10 = 0 AND event_id % 3 > 0 THEN 'message,level' ELSE '' END AS differs FROM o WHERE NOT (event_id % 10 = 0 AND event_id % 3 = 0) AND NOT (event_id % 10 = 1 AND event_id % 3 = 0)
+  UNION ALL SELECT event_id, 'inserted', '' FROM events WHERE event_id % 10 IN (0, 1) AND event_id % 3 = 0""")
+def batch_outcomes(spark, d):
+    """Each line of a second batch against the first: new, equal, with other content (and which), or unresolved now though it was resolved."""
+    drafts = S.log_events(spark, d).drop("id").withColumn("event_id", (F.col("source_offset") / 64).cast("long"))
+    stored = drafts.where(_i() % 3 > 0)
+    changed = _i() % 10 == 0
+    batch = drafts.withColumn("message", F.when(changed, F.concat("message", F.lit("!"))).otherwise(F.col("message"))).withColumn("level", F.when(changed, "fatal").otherwise(F.col("level")))
+    lost = batch.where(_i() % 10 == 1)
+    back = lost.join(stored.select("uid"), "uid", "left_semi").select("event_id", F.lit("regression").alias("outcome"), F.lit("").alias("differs"))
+    new = lost.join(stored.select("uid"), "uid", "left_anti").select("event_id", F.lit("inserted").alias("outcome"), F.lit("").alias("differs"))
+    found = split_batch(batch.where(_i() % 10 != 1), stored, "uid", ["message", "level", "service_id", "ts"])
+    return found.select("event_id", "outcome", F.array_join("differs", ",").alias("differs")).union(back).union(new)
+
+
+_ZONES = ("America/New_York", "Europe/Berlin", "Australia/Sydney", "Asia/Kolkata", "UTC", "America/Sao_Paulo")
+
+
+@query(f"""WITH l AS (SELECT event_id, ts::TIMESTAMP + INTERVAL 1 DAY * (event_id % 366) AS local, [{", ".join(f"'{z}'" for z in _ZONES)}][event_id % {len(_ZONES)} + 1] AS zone FROM events),
+  w AS (SELECT *, (local AT TIME ZONE zone) AT TIME ZONE 'UTC' AS late FROM l),
+  x AS (SELECT *, ((late AT TIME ZONE 'UTC') AT TIME ZONE zone) <> local AS missing, (((late - INTERVAL 1 HOUR) AT TIME ZONE 'UTC') AT TIME ZONE zone) = local AS doubled FROM w)
+  SELECT event_id, zone, CASE WHEN doubled THEN late - INTERVAL 1 HOUR ELSE late END AS instant, doubled AS tz_ambiguous, missing AS tz_nonexistent FROM x""")
+def zone_attach(spark, d):
+    """Wall clocks over a year in six zones as instants, with both flags."""
+    e = S.read(spark, d, "events")
+    local = F.col("ts").cast("timestamp") + F.make_dt_interval(days=(_i() % 366).cast("int"))
+    zone = F.element_at(F.array(*map(F.lit, _ZONES)), (_i() % len(_ZONES) + 1).cast("int"))
+    instant, ambiguous, missing = times.attach_zone(F.col("local"), F.col("zone"))
+    rows = e.select("event_id", local.alias("local"), zone.alias("zone"))
+    return rows.select("event_id", "zone", instant.cast("timestamp_ntz").alias("instant"), ambiguous.alias("tz_ambiguous"), missing.alias("tz_nonexistent"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 'log:' || md5(role || (length(text) % 50)) AS a, 'commit:' || sha1(role || (length(text) % 40)) AS b FROM conversations),
+  c AS (SELECT conv_id, turn, a AS cite FROM t WHERE turn % 3 <> 1 UNION ALL SELECT conv_id, turn, b FROM t WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn, a FROM t WHERE turn % 2 = 0)
+  SELECT cite, min(conv_id * 1000 + turn)::BIGINT AS first_event, count(*)::BIGINT AS n FROM (SELECT DISTINCT conv_id, turn, cite FROM c) GROUP BY cite""")
+def capture_index(spark, d):
+    """Where each citation of a trace was captured first, from single and listed citations of its results."""
+    c = S.read(spark, d, "conversations")
+    a, b = F.concat(F.lit("log:"), F.md5(F.concat("role", _text(F.length("text") % 50)))), F.concat(F.lit("commit:"), F.sha1(F.concat("role", _text(F.length("text") % 40))))
+    turn = F.col("turn")
+    results = c.select((F.col("conv_id") * 1000 + turn).alias("event"), F.when(turn % 3 != 1, a).alias("cite"), F.when(turn % 2 == 0, F.array(b, a)).alias("source_cites"))
+    trace = provenance.captured_cites(results, "cite", "source_cites", by="event").groupBy("event").agg(F.collect_list("cite").alias("cites"))
+    counts = trace.select(F.explode("cites").alias("cite")).groupBy("cite").agg(F.count("*").alias("n"))
+    return provenance.first_captures(trace).join(counts, "cite").select("cite", F.col("event").alias("first_event"), "n")
+
