@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,17 +62,34 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, _own_scratch(spark))
 
 
+#: Rows of an Arrow batch while a table is written: batches of long texts stand in memory on both sides of a Python worker.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once to the shared scratch folder as Parquet and returns a scan of it.
 
     Unlike a cache it survives lost executors, costs no executor memory, and gives the
     planner sizes, so that joins above it broadcast only what Spark's threshold allows. Files
     are smaller than rows in memory: :func:`build_session` has the planner reckon with eight
-    times their size, and a session made otherwise keeps its own setting.
+    times their size, and a session made otherwise keeps its own setting. Only the size of Arrow
+    batches is set while the table is written, and set back.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

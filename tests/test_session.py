@@ -19,7 +19,7 @@ def test_materialized_tables(spark):
 
 
 def test_materialize_leaves_the_settings_alone(spark):
-    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.fileCompressionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.sources.fileCompressionFactor", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     assert before["spark.sql.sources.fileCompressionFactor"] == "8.0"
     own = spark.newSession()
     own.conf.set("spark.sql.sources.fileCompressionFactor", "1.0")
