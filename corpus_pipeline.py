@@ -55,7 +55,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     beyond 2048 tokens are cut; of the documents' columns doc_id stays; an empty table gives none.
     Workers that have other stages behind them keep fewer words.
     """
-    return packing.pack(docs, cached_words=300_000)
+    return packing.pack(docs, cached_words=100_000)
 
 
 STAGES = [
