@@ -61,20 +61,31 @@ def _for_jvm(name: str, pattern: str) -> str:
 
 
 _JVM = {name: _for_jvm(name, pattern) for name, pattern in MASKS}
+_TOKEN = "|".join(_JVM.values())
 #: A gap, and the token after it or nothing at the end; the earliest branch that matches at a place is taken.
-_GAP_AND_TOKEN = rf"([\s\S]*?)(?:({'|'.join(_JVM.values())})|\z)"
+_GAP_AND_TOKEN = rf"([\s\S]*?)(?:({_TOKEN})|\z)"
 _PLACEHOLDER = "<(" + "|".join(name for name, _ in MASKS) + ")>"
+#: Places where no token begins, many at a step: characters that begin none; words of letters and their stops before white space
+#: (but for eight hex digits); of other letters the first is asked, as after a letter only a UUID may begin. Both take letters that
+#: are one unit for the JVM, which looks back by units.
+_NO_TOKEN = (
+    rf"[^{_WORD}.+\-\[/\"']++|(?![0-9a-fA-F]{{8}})[\p{{L}}&&[\x00-\x{{ffff}}]]++[.,;:!?)]*+(?=\s|\z)"
+    rf"|(?!{_TOKEN})(?:[a-zA-Z](?:(?![0-9a-fA-F]{{8}}-)[a-zA-Z])*+|[\s\S])"
+)
+#: Private characters: one before a token, and one after the place of each kind.
+_MARKS = [chr(0xE000 + k) for k in range(len(MASKS) + 1)]
+_ANY_MARK = f"[{_MARKS[0]}-{_MARKS[-1]}]"
+#: A gap in group 1, the token in its kind's group.
+_GAP_AND_KINDS = rf"((?:{_NO_TOKEN})*+)(?:{'|'.join(f'({p})' for p in _JVM.values())}|\z)"
+_MARKED = "$1" + _MARKS[0] + "".join(f"${k + 1}{m}" for k, m in enumerate(_MARKS) if k)
 
 
-def mask(message: Column | str) -> Column:
-    """The template of a message: tokens give way to their names in one pass from left to right, and white space runs to one space.
+def _by_parts(apart: Column) -> Column:
+    """Gaps and the names of the tokens between them, each token's name asked of the token; for any characters.
 
-    Placeholders that a message has itself are set apart first. A token's name is the first
-    branch that fits it whole: no branch that looks at a token's surroundings could have fitted
-    where a later one was taken. Numbers are asked for first, as no other branch fits a plain one;
-    a host that begins with a hyphen needs the word before it, and is what no branch fits.
+    Numbers are asked for first, as no other branch fits a plain one; a host that begins with a
+    hyphen needs the word before it, and is what no branch fits.
     """
-    apart = F.regexp_replace(message, _PLACEHOLDER, "<ESC$1>")
     gaps, tokens = (F.regexp_extract_all(apart, F.lit(_GAP_AND_TOKEN), F.lit(k)) for k in (1, 2))
 
     def named(token: Column) -> Column:
@@ -83,8 +94,26 @@ def mask(message: Column | str) -> Column:
             out = out.when(token.rlike(rf"\A(?:{_JVM[name]})\z"), f"<{name}>")
         return out.otherwise("<HOSTPORT>")
 
-    joined = F.array_join(F.zip_with(gaps, F.transform(tokens, named), lambda gap, name: F.concat(gap, name)), "")
-    return F.btrim(F.regexp_replace(joined, f"[{_SPACE}]+", " "))
+    return F.array_join(F.zip_with(gaps, F.transform(tokens, named), lambda gap, name: F.concat(gap, name)), "")
+
+
+def _by_marks(apart: Column) -> Column:
+    """The same in one pass: each token is put between the marks of the branch that took it, and both give way to the name."""
+    out = F.regexp_replace(apart, _GAP_AND_KINDS, _MARKED)
+    for (name, _), before, after in zip(MASKS, _MARKS, _MARKS[1:]):
+        out = F.regexp_replace(out, f"{before}[^{after}]++{after}", f"<{name}>")
+    return F.regexp_replace(out, f"{_ANY_MARK}+", "")
+
+
+def mask(message: Column | str) -> Column:
+    """The template of a message: tokens give way to their names in one pass from left to right, and white space runs to one space.
+
+    Placeholders that a message has itself are set apart first. Messages that have the private
+    characters of :data:`_MARKS` are put together from their parts.
+    """
+    apart = F.regexp_replace(message, _PLACEHOLDER, "<ESC$1>")
+    joined = F.when(apart.rlike(_ANY_MARK), _by_parts(apart)).otherwise(_by_marks(apart))
+    return F.btrim(F.regexp_replace(joined, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " "))
 
 
 def template_hash(masked: Column) -> Column:
