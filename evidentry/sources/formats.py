@@ -24,6 +24,7 @@ from evidentry.functions.identity import log_uid
 from evidentry.functions.jsonvalues import field, iso_time, kind, with_object
 from evidentry.functions.texts import canonical_level, component, mask, normalize_raw, template_hash
 from evidentry.functions.times import attach_zone
+from evidentry.session import materialize
 from evidentry.sources.rawlines import text_of
 from evidentry.sources.records import HEADER, PARSED, micros_of, parse_tracebacks, record
 
@@ -85,8 +86,24 @@ def _fields(values: dict[str, str]) -> dict[str, Any]:
     return record(micros=micros_of(time), naive=time.tzinfo is None, service=text("service"), level=text("level"), status=code if code is None or abs(code) < 1 << 31 else None, trace_id=text("trace_id"), message=message, attrs=json.dumps(attrs, ensure_ascii=False))
 
 
+#: A key=value token of a line without backslashes: the value is bare or quoted whole.
+_PAIR = re.compile(r"""[ \t\r\n]*([^ \t\r\n"'\\=]+)=(?:"([^"\\]*)"|'([^'\\]*)'|([^ \t\r\n"'\\]*))(?=[ \t\r\n]|\Z)""")
+
+
+def _plain_pairs(line: str) -> dict[str, str] | None:
+    """The pairs of a line of such tokens, as ``shlex`` splits them; None for other lines."""
+    found, at = {}, 0
+    while token := _PAIR.match(line, at):
+        key, double, single, bare = token.groups()
+        found[key] = double if double is not None else single if single is not None else bare
+        at = token.end()
+    return found if not line[at:].strip(" \t\r\n") else None
+
+
 def parse_logfmt_line(line: str) -> dict[str, Any]:
     """Shell-quoted key=value tokens; the last of equal keys counts."""
+    if (plain := _plain_pairs(line)) is not None:
+        return _fields(plain)
     try:
         pairs = [t.split("=", 1) for t in shlex.split(line, posix=True)]
     except ValueError:
@@ -99,7 +116,8 @@ def parse_logfmt_line(line: str) -> dict[str, Any]:
 def _udf(function: Callable[[str], dict[str, Any]]):
     @F.pandas_udf(PARSED)
     def parse(raw: pd.Series) -> pd.DataFrame:
-        frame = pd.DataFrame([function(x) for x in raw], columns=list(record()), dtype=object)
+        found = [function(x) for x in raw]
+        frame = pd.DataFrame({name: pd.Series([f[name] for f in found], dtype=object) for name in record()})
         return frame.astype({"micros": "Int64", "status": "Int32", "naive": "boolean"})
 
     return parse
@@ -187,23 +205,25 @@ def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = N
     """Lines (source_file, source_offset, raw) -> log drafts: LOG_EVENTS without id, and reason.
 
     raw is text, or the line's bytes, whose ill-formed parts read as U+FFFD. ``manifest`` has (source_file, service, format); services have id, name and log_timezone. Both,
-    and the detected formats, join on their keys: one row a file or service.
+    and the detected formats, join on their keys: one row a file or service. Formats are detected
+    once, into a table whose size the planner knows, and only formats that were found are parsed.
     """
     if dict(lines.dtypes)["raw"] == "binary":
         lines = lines.withColumnRenamed("raw", "raw_bytes").withColumn("raw", text_of(F.col("raw_bytes")))
     else:
         lines = lines.withColumn("raw_bytes", F.col("raw").cast("binary"))
-    found = detect(lines, formats)
+    found = materialize(detect(lines, formats), "formats")
+    present = {r[0] for r in found.select("format").distinct().collect()}  # of the few there are
     if manifest is not None:
         wrong = format_mismatches(found, manifest).limit(5).collect()
         if wrong:
             raise ValueError("; ".join(f"{r.source_file}: declared {r.declared_format}, looks like {r.format}" for r in wrong))
         declared = manifest.select("source_file", F.col("service").alias("declared"))
+        known = lines.join(found, "source_file").join(declared, "source_file", "left")
     else:
-        declared = found.select("source_file", F.lit(None).cast("string").alias("declared"))
-    known = lines.join(found, "source_file").join(declared, "source_file", "left")
+        known = lines.join(found, "source_file").withColumn("declared", F.lit(None).cast("string"))
     parsed = None
-    for f in formats:
+    for f in [f for f in formats if f.name in present] or formats[:1]:
         own = known.where(F.col("format") == f.name).drop("format", *([] if f.raw_aware else ["raw_bytes"]))
         own = f.parse(own).select("source_file", "source_offset", "raw", "p")
         parsed = own if parsed is None else parsed.unionByName(own)

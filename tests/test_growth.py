@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+import shlex
 import time
 
 from pyspark.sql import functions as F
 
 from evidentry.functions import texts
+from evidentry.sources import formats
 
 
 def test_tokens_are_named_in_the_pass_that_finds_them(spark):
@@ -26,3 +29,22 @@ def test_tokens_are_named_in_the_pass_that_finds_them(spark):
         return time.time() - began
 
     assert seconds(texts._by_marks(F.col("m"))) < seconds(texts._by_parts(F.col("m"))) / 2
+
+
+def test_only_formats_that_were_found_are_parsed(spark):
+    """Formats that no file has cost nothing, and plain pairs are what shlex gives."""
+
+    def never(lines):
+        raise AssertionError("no file has this format")
+
+    kinds = (formats.LogFormat("never", lambda raw: F.lit(False), never), *(f for f in formats.FORMATS if f.name == "logfmt"))
+    lines = spark.createDataFrame([("a.log", 0, 'ts=2026-01-01T00:00:00Z service=s msg="x y"')], "source_file string, source_offset long, raw string")
+    services = spark.createDataFrame([(1, "s", "UTC")], "id int, name string, log_timezone string")
+    assert [r.message for r in formats.drafts(lines, services, formats=kinds).collect()] == ["x y"]
+    dice = random.Random(3)
+    for _ in range(20000):
+        line = "".join(dice.choice(["a", "=", " ", "  ", '"', "'", "b=1", 'c="x y"', "d=''", "\\", "#", " ", "\t", "\r"]) for _ in range(dice.randint(0, 9)))
+        plain = formats._plain_pairs(line)
+        if plain is not None:
+            pairs = [t.split("=", 1) for t in shlex.split(line)]
+            assert all(len(p) == 2 and p[0] for p in pairs) and plain == dict(pairs), line
