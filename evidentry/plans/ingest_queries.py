@@ -208,9 +208,10 @@ def raw_file_lines(spark, d):
     numbered = S.read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
     numbered.select(F.concat(_text(F.col("doc_id")), F.lit(":"), _text(F.col("ordinal")), F.lit(":"), "line")).write.text(folder)
     found = rawlines.read_lines(spark, folder, split_bytes=1 << 16).withColumn("text", rawlines.text_of(F.col("raw")))
-    before = F.lag(F.col("source_offset") + F.octet_length("raw") + 1, 1, 0).over(W.partitionBy("source_file").orderBy("source_offset"))
+    before = F.lag(F.col("source_offset") + F.col("length") + 1, 1, 0).over(W.partitionBy("source_file").orderBy("source_offset"))
     part = lambda i: F.regexp_extract("text", r"(?s)^(\d+):(\d+):(.*)$", i)
-    return found.select(part(1).cast("long").alias("doc_id"), part(2).cast("int").alias("ordinal"), F.sha2(part(3).cast("binary"), 256).alias("line_sha256"), F.octet_length(part(3)).alias("bytes"), (before == F.col("source_offset")).alias("adjoins"))
+    read = found.select("source_file", "source_offset", F.octet_length("raw").alias("length"), part(1).cast("long").alias("doc_id"), part(2).cast("int").alias("ordinal"), F.sha2(part(3).cast("binary"), 256).alias("line_sha256"), F.octet_length(part(3)).alias("bytes"))
+    return read.select("doc_id", "ordinal", "line_sha256", "bytes", (before == F.col("source_offset")).alias("adjoins"))
 
 
 @query("""SELECT sha1(event_id::VARCHAR) AS sha, CASE WHEN event_id % 7 <> 1 THEN 'org/repo-' || (user_id % 10) END AS repo, CASE event_id % 7 WHEN 0 THEN 'truncated' WHEN 1 THEN 'repository' WHEN 2 THEN 'paths' END AS error,

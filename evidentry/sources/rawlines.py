@@ -20,6 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "source_file string, source_offset long, raw binary"
 NAMES = ["source_file", "source_offset", "raw"]
 SPLIT_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
+#: Splits that a task reads one after the other hold this many bytes, so that small ones don't make a task each; what is first read
+#: for a line that goes on beyond a split's end, then twice as much each time.
+TASK_BYTES, BEYOND_BYTES = 16 << 20, 64 << 10
 
 
 @dataclass
@@ -32,6 +35,25 @@ class Split(InputPartition):
     last: int
 
 
+@dataclass
+class Splits(InputPartition):
+    """Splits that one task reads in turn."""
+
+    splits: list[Split]
+
+
+def _tasks(splits: list[Split]) -> list[Splits]:
+    """Splits dealt to tasks in order, some :data:`TASK_BYTES` each; a larger split is a task."""
+    tasks, size = [], TASK_BYTES
+    for split in splits:
+        if size >= TASK_BYTES:
+            tasks.append(Splits([]))
+            size = 0
+        tasks[-1].splits.append(split)
+        size += split.end - split.start
+    return tasks
+
+
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         return fs.FileSystem.from_uri(path)
@@ -70,18 +92,20 @@ def lines_of(split: Split, chunk: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]
     """The split's lines; of a chunk at a time, and of one line where it is longer, the bytes are held."""
     system, name = _opened(split.path)
     with system.open_input_file(name) as file:
-        at, rest = split.start, []
+        at, rest, step = split.start, [], BEYOND_BYTES
         if at and file.read_at(1, at - 1) != b"\n":  # the line before goes on into this split, and is that one's
             while at < split.last:
-                data = file.read_at(min(chunk, split.last - at), at)
+                data = file.read_at(min(chunk, split.last - at, step), at)
+                step *= 2
                 found = data.find(b"\n")
                 at += found + 1 if found >= 0 else len(data)
                 if found >= 0:
                     break
         begin = at  # of the first line that is not given yet
         while begin < split.end and at < split.last:
-            data = file.read_at(min(chunk, split.last - at), at)
+            data = file.read_at(min(chunk, split.last - at, max(split.end - at, step)), at)
             at += len(data)
+            step *= 2
             if b"\n" not in data and at < split.last:
                 rest.append(data)
                 continue
@@ -123,11 +147,12 @@ class _BatchReader(DataSourceReader):
     def __init__(self, path: str, size: int):
         self.path, self.size = path, size
 
-    def partitions(self) -> list[Split]:
-        return [s for name, last in sorted(_files(self.path).items()) for s in _splits(name, 0, last, self.size)]
+    def partitions(self) -> list[Splits]:
+        return _tasks([s for name, last in sorted(_files(self.path).items()) for s in _splits(name, 0, last, self.size)])
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        yield from lines_of(partition) if partition else ()
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits if partition else ():
+            yield from lines_of(split)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -145,11 +170,12 @@ class _StreamReader(DataSourceStreamReader):
                 self.ends[name] = _finished(name, size, self.ends.get(name, 0))
         return {name: end for name, end in sorted(self.ends.items()) if end}
 
-    def partitions(self, start: dict, end: dict) -> list[Split]:
-        return [s for name, last in sorted(end.items()) for s in _splits(name, start.get(name, 0), last, self.size)]
+    def partitions(self, start: dict, end: dict) -> list[Splits]:
+        return _tasks([s for name, last in sorted(end.items()) for s in _splits(name, start.get(name, 0), last, self.size)])
 
-    def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
-        yield from lines_of(partition) if partition else ()
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits if partition else ():
+            yield from lines_of(split)
 
     def commit(self, end: dict) -> None:
         self.ends |= end

@@ -9,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from evidentry.functions import texts
-from evidentry.sources import formats
+from evidentry.sources import formats, rawlines
 
 
 def test_tokens_are_named_in_the_pass_that_finds_them(spark):
@@ -48,3 +48,36 @@ def test_only_formats_that_were_found_are_parsed(spark):
         if plain is not None:
             pairs = [t.split("=", 1) for t in shlex.split(line)]
             assert all(len(p) == 2 and p[0] for p in pairs) and plain == dict(pairs), line
+
+
+def test_small_splits_share_tasks_and_are_read_once(spark, tmp_path, monkeypatch):
+    """Splits of 64 KB are dealt to few tasks, and a split reads little beyond its own bytes."""
+    body = b"".join(b"%d:" % i + b"x" * (i % 90) + b"\n" for i in range(60000))
+    (tmp_path / "a.log").write_bytes(body)
+    found = rawlines.read_lines(spark, str(tmp_path), split_bytes=1 << 16)
+    assert found.rdd.getNumPartitions() == 1 and found.count() == 60000
+    read = []
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read_at(self, size, at):
+            read.append(size)
+            return self.file.read_at(size, at)
+
+    class System:
+        def open_input_file(self, name):
+            return Counted(rawlines.fs.LocalFileSystem().open_input_file(name))
+
+    monkeypatch.setattr(rawlines, "_opened", lambda path: (System(), path))
+    splits = rawlines._splits(str(tmp_path / "a.log"), 0, len(body), 1 << 16)
+    given = [line for s in splits for batch in rawlines.lines_of(s) for line in batch.column(2).to_pylist()]
+    assert b"".join(x + b"\n" for x in given) == body
+    assert sum(read) < 3 * len(body)
