@@ -24,6 +24,10 @@ from evidentry.sources.records import FIELDS, HEADER, PARSED, OpenRecord, record
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STATE_STORE = SESSION_CONF[_PROVIDER]
 _OUT = "source_file string, source_offset long, raw string, declared string, parsed string"
+_NAMES = ["source_file", "source_offset", "raw", "declared", "parsed"]
+_HEADER = re.compile(HEADER)
+#: Rows that are given on at once.
+OUT_ROWS = 4096
 
 
 @contextmanager
@@ -49,33 +53,29 @@ class Assembler(StatefulProcessor):
         self.open = handle.getValueState("open", "source_offset long, declared string")
         self.pieces = handle.getListState("pieces", "lines string")
 
-    def _close(self, file: str, cut: bool, fresh: list[str]) -> list[tuple]:
-        """The open record with the lines that state and this batch have of it."""
-        if not self.open.exists():
-            return []
-        start, declared = self.open.get()
-        texts = [row[0] for row in self.pieces.get()] + fresh
-        found = None
-        for text in texts:
-            for line in text.split("\n"):
-                line = line.removesuffix("\r")
-                if found is None:
-                    found = OpenRecord(line, self.roots)
-                else:
-                    found.take(line)
+    def _parsed(self, file: str, opened: tuple, stored: bool, fresh: list[str], cut: bool) -> tuple[tuple, bool]:
+        """The open record as a row, and whether it stays open; its first lines are those of state where ``stored``."""
+        start, declared = opened
+        lines = [line for row in self.pieces.get() for line in row[0].split("\n")] + fresh if stored else fresh
+        found = OpenRecord(lines[0].removesuffix("\r"), self.roots)
+        for line in lines[1:]:
+            found.take(line.removesuffix("\r"))
         parsed = found.result(cut)
         if parsed["reason"] is None and declared is not None and declared != parsed["service"]:
             parsed["reason"] = "ambiguous_service"
-        if cut or parsed["reason"] != "incomplete_traceback":
-            self.open.clear()
-            self.pieces.clear()
-        elif fresh:
-            self.pieces.appendList([(t,) for t in fresh])
-        return [(file, start, "\n".join(texts), declared, json.dumps(parsed, ensure_ascii=False))]
+        stays = not cut and parsed["reason"] == "incomplete_traceback"
+        return (file, start, "\n".join(lines), declared, json.dumps(parsed, ensure_ascii=False)), stays
+
+    def _clear(self) -> None:
+        self.open.clear()
+        self.pieces.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """State is asked once and written once a batch, as each call of it is a message to the JVM; records that begin and end in the batch never reach it."""
         file = key[0]
         up_to = self.read.get()[0] if self.read.exists() else -1
+        opened = tuple(self.open.get()) if self.open.exists() else None
+        known = stored = opened is not None  # whether state has a record, and whether it is the one that is open
         out: list[tuple] = []
         fresh: list[str] = []  # lines of the open record that state hasn't
         ended = False
@@ -87,29 +87,44 @@ class Assembler(StatefulProcessor):
             if at <= up_to:
                 continue  # read before: a batch is repeated
             up_to, declared = int(at), declared if isinstance(declared, str) else None
-            if re.match(HEADER, raw.removesuffix("\r")):
-                out += self._close(file, True, ["\n".join(fresh)] if fresh else [])
-                self.open.update((up_to, declared))
-                fresh = [raw]
-            elif self.open.exists():
+            if _HEADER.match(raw.removesuffix("\r")):
+                if opened:
+                    out.append(self._parsed(file, opened, stored, fresh, True)[0])
+                opened, stored, fresh = (up_to, declared), False, [raw]
+            elif opened:
                 fresh.append(raw)
             else:
                 out.append((file, up_to, raw, declared, json.dumps(record(reason="unparseable"))))
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=_NAMES)
+                out = []
+        if ended and opened:
+            row, stays = self._parsed(file, opened, stored, fresh, False)
+            out.append(row)
+            opened = opened if stays else None
         self.read.update((up_to,))
-        last = ["\n".join(fresh)] if fresh else []
-        if ended:
-            out += self._close(file, False, last)
-        elif last:
-            self.pieces.appendList([(t,) for t in last])
+        if known and not (opened and stored):
+            self._clear()
+        if opened:
+            if not stored:
+                self.open.update(opened)
+            if fresh:
+                self.pieces.appendList([("\n".join(fresh),)])
         if self.idle_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if self.open.exists():
+            if opened:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield pd.DataFrame(out, columns=["source_file", "source_offset", "raw", "declared", "parsed"])
+        yield pd.DataFrame(out, columns=_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame(self._close(key[0], False, []), columns=["source_file", "source_offset", "raw", "declared", "parsed"])
+        out = []
+        if self.open.exists():
+            row, stays = self._parsed(key[0], tuple(self.open.get()), True, [], False)
+            out.append(row)
+            if not stays:
+                self._clear()
+        yield pd.DataFrame(out, columns=_NAMES)
 
     def close(self) -> None:
         pass

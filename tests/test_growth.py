@@ -6,10 +6,12 @@ import random
 import shlex
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evidentry.functions import texts
 from evidentry.sources import formats, rawlines
+from evidentry.streaming.records import Assembler
 
 
 def test_tokens_are_named_in_the_pass_that_finds_them(spark):
@@ -81,3 +83,39 @@ def test_small_splits_share_tasks_and_are_read_once(spark, tmp_path, monkeypatch
     given = [line for s in splits for batch in rawlines.lines_of(s) for line in batch.column(2).to_pylist()]
     assert b"".join(x + b"\n" for x in given) == body
     assert sum(read) < 3 * len(body)
+
+
+def test_a_batch_of_records_asks_state_a_few_times():
+    """However many records a micro-batch has, the calls of state are as many."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("update", "appendList"):
+                    self.value = args[0] if name == "update" else [*(self.value or []), *args[0]]
+                elif name == "clear":
+                    self.value = None
+                return self.value is not None if name == "exists" else self.value
+
+            return call
+
+    def run(n):
+        found = Assembler((), None)
+        found.read, found.open, found.pieces = Value(), Value(), Value()
+        calls.clear()
+        head = "2026-01-01 00:00:00,000 ERROR [s] app.x: plain "
+        given = []
+        for begin in (0, n):
+            rows = [(k * 2 + j, text, None) for k in range(begin, begin + n) for j, text in enumerate((head + str(k), "more"))]
+            rows = rows[1:] if begin else [*rows, (n * 2 - 1 + 0.5, "cut", None)]
+            given += [r for out in found.handleInputRows(("f",), iter([pd.DataFrame(rows, columns=["source_offset", "raw", "declared"])]), None) for r in out.itertuples(index=False)]
+        assert [r.source_offset for r in given] == [2 * k for k in range(2 * n - 1) if k != n]
+        assert given[n - 1].raw == head + str(n - 1) + "\nmore\ncut\nmore"
+        return len(calls)
+
+    assert run(3) == run(300)
