@@ -16,22 +16,33 @@ KEYS = ("service_id", "bucket_start", "status_class", "level", "template_hash")
 SEQUENCE_BITS = 56
 
 
+def _tests(kind: Column) -> dict[str, Column]:
+    """Whether a variant's schema is of a kind; no schema is of two."""
+    return {
+        "array": F.startswith(kind, F.lit("ARRAY")),
+        "string": kind == "STRING",
+        "number": kind.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"),
+        "object": F.startswith(kind, F.lit("OBJECT")),
+        "boolean": kind == "BOOLEAN",
+        "null": kind == "VOID",
+    }
+
+
+def _schema(attrs: Column, key: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(attrs), f"$.{key}", "variant"))
+
+
 def json_kind(attrs: Column, key: str) -> Column:
     """array, string, number, object, boolean or null of a JSON text's key; no value where the key or the JSON is missing."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(attrs), f"$.{key}", "variant"))
-    number = kind.rlike(r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
-    return (
-        F.when(F.startswith(kind, F.lit("ARRAY")), "array")
-        .when(kind == "STRING", "string")
-        .when(number, "number")
-        .when(F.startswith(kind, F.lit("OBJECT")), "object")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-    )
+    out = F
+    for name, holds in _tests(_schema(attrs, key)).items():
+        out = out.when(holds, name)
+    return out
 
 
 def is_kind(attrs: Column, key: str, kind: str) -> Column:
-    return F.coalesce(json_kind(attrs, key) == kind, F.lit(False))
+    """One test of the key, not a question for its kind, which would parse the text for each kind there is."""
+    return F.coalesce(_tests(_schema(attrs, key))[kind], F.lit(False))
 
 
 def richness(trace_id: Column, attrs: Column) -> Column:

@@ -203,7 +203,8 @@ class EvidenceStore:
                     rows.write.parquet(path)
                     tables[name] = (tables.get(name, []) if more else []) + [folder]
                     continue
-                rows.withColumn("on", F.to_date(DATED[name])).write.partitionBy("on").parquet(path)
+                # A date's rows meet in a few tasks first: else each task would write a file for each date.
+                rows.withColumn("on", F.to_date(DATED[name])).hint("rebalance", "on").write.partitionBy("on").parquet(path)
                 written = sorted(n.removeprefix("on=") for n in self._names(f"data/{name}/{folder}") if n.startswith("on="))
                 held = dated.setdefault(name, {})
                 if not more:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from evidentry.functions import texts
+from evidentry.operators import rollups
+from evidentry.operators.store import EvidenceStore
 from evidentry.sources import formats, rawlines
 from evidentry.streaming.records import Assembler
 
@@ -119,3 +121,18 @@ def test_a_batch_of_records_asks_state_a_few_times():
         return len(calls)
 
     assert run(3) == run(300)
+
+
+def test_dated_tables_are_written_in_few_files(spark, tmp_path):
+    """A date's rows meet before they are written, and a key's kind is asked for with one test of it."""
+    store = EvidenceStore(spark, f"file://{tmp_path}/store")
+    day = F.expr("timestamp '2026-01-01' + make_interval(0, 0, 0, cast(id % 10 as int))")
+    rows = spark.range(4000).repartition(8).select(F.col("id").cast("string").alias("uid"), F.xxhash64("id").alias("content"), "id", F.to_date(day).alias("on_date"))
+    store.publish(added={"identities": rows})
+    assert store.read("identities").count() == 4000
+    assert 10 <= len(list(tmp_path.rglob("*.parquet"))) <= 20
+    asked = str(rollups.is_kind(F.col("a"), "k", "array"))
+    assert asked.count("try_parse_json") == 1
+    texts_ = [('{"k":[1]}', "array"), ('{"k":"x"}', "string"), ('{"k":1.5}', "number"), ('{"k":{}}', "object"), ('{"k":true}', "boolean"), ('{"k":null}', "null"), ("{", None), ("{}", None)]
+    for r in spark.createDataFrame(texts_, "a string, kind string").withColumn("found", rollups.json_kind(F.col("a"), "k")).withColumn("holds", rollups.is_kind(F.col("a"), "k", "number")).collect():
+        assert r.found == r.kind and r.holds == (r.kind == "number")
