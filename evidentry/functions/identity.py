@@ -15,12 +15,13 @@ VERSION = 1
 
 def json_string(text: Column) -> Column:
     """A JSON string literal with non-ASCII characters kept and control characters as \\u00xx in lower case."""
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    full = out
-    for code in range(32):
+    plain = usual = out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    common = (9, 10, 13)  # tabs and line ends; the other control characters are asked for only where there are some
+    for code in (*common, *(c for c in range(32) if c not in common)):
         short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
-        full = F.replace(full, F.lit(chr(code)), F.lit(short))
-    body = F.when(text.rlike("[\\x00-\\x1f]"), full).otherwise(out)
+        out = F.replace(out, F.lit(chr(code)), F.lit(short))
+        usual = out if code == common[-1] else usual
+    body = F.when(~text.rlike("[\\x00-\\x1f]"), plain).when(~text.rlike("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"), usual).otherwise(out)
     return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -105,12 +105,27 @@ def _by_marks(apart: Column) -> Column:
     return F.regexp_replace(out, f"{_ANY_MARK}+", "")
 
 
+#: Messages of ASCII words (no eight hex digits, a stop after them at most), whole numbers and numbers after one other letter than a
+#: hex digit, one blank or newline between them: no other token than a whole number begins anywhere in these.
+_SIMPLE = r"\A(?:(?:(?![a-fA-F]{8})[a-zA-Z]++[.,;:!?]?+|[g-zG-Z]?[0-9]++)(?:[ \n](?=[a-zA-Z0-9])|\z))++\z"
+
+
+def _by_numbers(message: Column) -> Column:
+    return F.translate(F.regexp_replace(message, r"(?<![a-zA-Z0-9])[0-9]++", "<NUM>"), "\n", " ")
+
+
 def mask(message: Column | str) -> Column:
     """The template of a message: tokens give way to their names in one pass from left to right, and white space runs to one space.
 
-    Placeholders that a message has itself are set apart first. Messages that have the private
-    characters of :data:`_MARKS` are put together from their parts.
+    Messages of words and numbers alone need one expression. Of others, placeholders that a message has
+    itself are set apart first. Messages that have the private characters of :data:`_MARKS` are put
+    together from their parts.
     """
+    given = F.col(message) if isinstance(message, str) else message
+    return F.when(given.rlike(_SIMPLE), _by_numbers(given)).otherwise(_of_any(given))
+
+
+def _of_any(message: Column) -> Column:
     apart = F.regexp_replace(message, _PLACEHOLDER, "<ESC$1>")
     joined = F.when(apart.rlike(_ANY_MARK), _by_parts(apart)).otherwise(_by_marks(apart))
     return F.btrim(F.regexp_replace(joined, rf"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " "))
@@ -124,9 +139,11 @@ def template_hash(masked: Column) -> Column:
 _MAY_COMPOSE = r"[^\x00-\x{2ff}]"
 
 
-@F.pandas_udf(StringType())
-def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(StringType())
+def _composed(text: pa.Array) -> pa.Array:
+    if text.null_count == len(text):
+        return text
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], text.type)
 
 
 def nfc(text: Column) -> Column:

@@ -148,8 +148,11 @@ _RECORD_LINES = (
 def _record_lines(spark, d):
     e = S.read(spark, d, "events")
     head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" ERROR [svc-"), _text(_u() % 10), F.lit("] app.x: plain "), _text(_i()))
-    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("{h}"), head), F.lit("{i}"), _text(_i()))
-    raws = F.element_at(F.array(*(F.array(*map(filled, lines)) for lines in _RECORD_LINES)), (_i() % 5 + 1).cast("int"))
+    e = e.withColumn("head", F.when(_i().isNotNull(), head))
+    filled = lambda text: F.col("head") if text == "{h}" else F.when(F.col("head").isNotNull(), F.concat(F.lit(text[:-3]), _text(_i()))) if text.endswith("{i}") else F.when(F.col("head").isNotNull(), F.lit(text))
+    raws = F.lit(None).cast("array<string>")
+    for k, lines in enumerate(_RECORD_LINES):  # only the lines of the event's own kind are made
+        raws = F.when(_i() % 5 == k, F.array(*map(filled, lines))).otherwise(raws)
     rows = e.select("event_id", F.concat(F.lit("logs/py-"), _text(_u() % 20), F.lit(".log")).alias("source_file"), F.posexplode(raws).alias("k", "raw"))
     return rows.select("source_file", (_i() * 512 + F.col("k") * 64).alias("source_offset"), "raw")
 
