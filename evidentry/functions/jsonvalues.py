@@ -29,6 +29,8 @@ def with_object(rows: DataFrame, text: Column, name: str) -> DataFrame:
     two or of nothing valid, unless what follows begins with a bracket; such a text is asked for
     in braces too, where a bracket cannot go on. NaN and infinities, which JSON hasn't, are refused.
     """
+    # What isn't in braces is no object; the parser would raise an error for it, which costs more than all else.
+    text = F.when(text.rlike(r"\A[ \t\r\n]*+\{") & text.rlike(r"\}[ \t\r\n]*+\z"), text)
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     held = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
     with _last_of_equal_keys(rows.sparkSession):
@@ -45,7 +47,11 @@ def field(values: Column, key: str) -> Column:
 
 def kind(values: Column, key: str) -> Column:
     """string, integer, number (any other), boolean, null, object or array; null where the key is missing."""
-    schema = F.schema_of_variant(field(values, key))
+    return kind_of(F.schema_of_variant(field(values, key)))
+
+
+def kind_of(schema: Column) -> Column:
+    """The kind that a variant's schema says; the schema is best a plain column, as it is asked several times."""
     # Integers beyond a long are decimals of 19 digits or more; shorter decimals had a point.
     return (
         F.when(schema == "STRING", "string")
@@ -63,10 +69,23 @@ _ISO = (
     r"^(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d))"
     r"(?:[\s\S](\d\d)(?::(\d\d)(?::(\d\d))?|(\d\d)(\d\d)?)?(?:[.,](\d+))?(Z|[+-]\d\d(?::?\d\d(?::?\d\d(?:\.\d{1,6})?)?)?)?)?$"
 )
+#: The form that most logs use, in UTC or without an offset: read as it stands.
+_USUAL = r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?Z?\z"
 
 
 def iso_time(text: Column) -> tuple[Column, Column]:
     """(microseconds since 1970 or null, whether no offset was given) of an ISO 8601 date and time; week dates are not taken."""
+    usual = text.rlike(_USUAL)
+    wall = F.replace(text, F.lit("Z"), F.lit("")).try_cast("timestamp_ntz")
+    micros, naive = _any_iso_time(text)
+    return F.when(usual, _micros(wall)).otherwise(micros), F.when(usual, ~F.endswith(text, F.lit("Z"))).otherwise(naive)
+
+
+def _micros(wall: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01T00:00:00").cast("timestamp_ntz"), wall)
+
+
+def _any_iso_time(text: Column) -> tuple[Column, Column]:
     part = lambda i: F.regexp_extract(text, _ISO, i)
     either = lambda i, j, zero="00": F.coalesce(F.nullif(part(i), F.lit("")), F.nullif(part(j), F.lit("")), F.lit(zero))
     fraction = F.substring(F.rpad(either(11, 11, "0"), 6, "0"), 1, 6)
@@ -78,5 +97,4 @@ def iso_time(text: Column) -> tuple[Column, Column]:
     piece = lambda at, size: F.coalesce(F.nullif(F.substring(digits, at, size), F.lit("")), F.lit("0")).try_cast("decimal(12,6)")
     seconds = piece(1, 2) * 3600 + piece(3, 2) * 60 + piece(5, 9)
     offset = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1) * (seconds * 1_000_000).cast("long"))
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01T00:00:00").cast("timestamp_ntz"), wall)
-    return F.when(seconds < 86_400, micros - offset), zone == ""
+    return F.when(seconds < 86_400, _micros(wall) - offset), zone == ""

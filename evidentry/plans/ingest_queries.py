@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -86,13 +88,15 @@ def json_lines(spark, d):
     """JSON lines with repeated keys, odd types, text after the object, nested and escaped values, through to identities."""
     e = S.read(spark, d, "events").withColumn("code", F.expr(CODE))
 
+    values = {"{i}": _text(_i()), "{u}": _text(_u() % 10), "{t}": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), "{c}": _text(F.col("code")), "{k}": F.col("event_type")}
+    known = F.col("event_id").isNotNull() & F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("event_type").isNotNull()
+
     def filled(text):
-        out = F.lit(text.replace("{{", "{").replace("}}", "}"))
-        for name, value in (("{i}", _text(_i())), ("{u}", _text(_u() % 10)), ("{t}", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")), ("{c}", _text(F.col("code"))), ("{k}", F.col("event_type"))):
-            out = F.replace(out, F.lit(name), value)
-        return out
+        parts = re.split(r"(\{[iutck]\})", text.replace("{{", "\0").replace("}}", "\1"))
+        return F.concat(*(values.get(p, F.lit(p.replace("\0", "{").replace("\1", "}"))) for p in parts if p))
 
-    whole = F.concat(F.lit("{"), F.concat_ws(",", *(F.when(F.expr(when), filled(text)) for when, text in _FIELDS)), F.lit("}"), F.when(_i() % 17 == 0, " {}").otherwise(""))
+    fields = F.when(known, F.concat_ws(",", *(F.when(F.expr(when), filled(text)) for when, text in _FIELDS))).otherwise("")  # a missing value leaves none
+    whole = F.concat(F.lit("{"), fields, F.lit("}"), F.when(_i() % 17 == 0, " {}").otherwise(""))
     raw = F.when(_i() % 7 == 0, '{"broken":').otherwise(whole)
     lines = e.select(F.lit("logs/json.log").alias("source_file"), (_i() * 512).alias("source_offset"), raw.alias("raw"))
     return _drafts(spark, lines, 512).select(*_COLUMNS, "uid", "trace_id", "template_hash", "attrs")

@@ -21,8 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidentry.functions.identity import log_uid
-from evidentry.functions.jsonvalues import field, iso_time, kind, with_object
-from evidentry.functions.texts import canonical_level, component, mask, normalize_raw, template_hash
+from evidentry.functions.jsonvalues import field, iso_time, kind_of, with_object
+from evidentry.functions.texts import canonical_level, component, mask, nfc, template_hash
 from evidentry.functions.times import attach_zone
 from evidentry.session import materialize
 from evidentry.sources.rawlines import text_of
@@ -137,7 +137,9 @@ def parse_json_lines(lines: DataFrame) -> DataFrame:
     rows = with_object(lines, F.regexp_replace("raw", r"\r\z", ""), "json_object")
     values, asked = F.col("json_object"), ("msg", "ts", "service", "level", "trace_id", "status", "duration_ms")
     # Plain columns, step by step: each value is taken out of the object once. (Fields of structs would be computed anew wherever they are used.)
-    rows = rows.withColumns({f"json_is_{k}": kind(values, k) for k in asked})
+    # A function of higher order keeps this step out of the method that makes the lines: fused, they are too long for the JVM to compile.
+    rows = rows.withColumn("json_schemas", F.transform(F.array(*map(F.lit, asked)), lambda key: F.schema_of_variant(F.element_at(values, key))))
+    rows = rows.withColumns({f"json_is_{k}": kind_of(F.get("json_schemas", F.lit(i))) for i, k in enumerate(asked)})
     texts = {f"json_{k}": F.when(F.col(f"json_is_{k}") == "string", field(values, k).try_cast("string")) for k in asked[:6]}
     rows = rows.withColumns(texts | {"json_code": F.when(F.col("json_is_status") == "integer", field(values, "status").try_cast("int"))})
     micros, naive = iso_time(F.col("json_ts"))
@@ -150,12 +152,13 @@ def parse_json_lines(lines: DataFrame) -> DataFrame:
     dropped = F.col("json_dropped")
     no_names = F.array().cast("array<string>")
     hidden = F.concat(F.array(*map(F.lit, sorted(CONSUMED - {"duration_ms"}))), dropped, F.when(F.size(dropped) > 0, F.array(F.lit("coercion_dropped"))).otherwise(no_names))
+    rows = rows.withColumn("json_hidden", hidden)  # a plain column, as each key asks it
     named = F.when(F.size(dropped) > 0, F.create_map(F.lit("coercion_dropped"), dropped.cast("variant"))).otherwise(F.create_map().cast("map<string,variant>"))
-    attrs = F.to_json(F.map_concat(F.map_filter(values, lambda key, _: ~F.array_contains(hidden, key)), named))
+    attrs = F.to_json(F.map_concat(F.map_filter(values, lambda key, _: ~F.array_contains(F.col("json_hidden"), key)), named))
     code = F.coalesce("json_code", F.when(F.col("json_digits"), F.col("json_status").try_cast("int")))
     null = lambda t: F.lit(None).cast(t)
     parsed = {"reason": null("string"), "micros": F.col("json_micros"), "naive": F.col("json_naive"), "service": F.col("json_service"), "level": F.col("json_level"), "status": code, "trace_id": F.col("json_trace_id"), "message": F.col("json_msg"), "attrs": attrs}
-    refused = F.from_json(F.to_json(F.struct(F.col("json_reason").alias("reason"))), PARSED)
+    refused = F.struct(F.col("json_reason").alias("reason"), *(null(t).alias(n) for n, t in (f.split(":") for f in PARSED[7:-1].split(",")[1:])))
     rows = rows.withColumn("p", F.when(F.col("json_reason").isNull(), F.struct(*(c.alias(n) for n, c in parsed.items()))).otherwise(refused))
     return rows.select(*lines.columns, "p")
 
@@ -233,15 +236,15 @@ def drafts(lines: DataFrame, services: DataFrame, manifest: DataFrame | None = N
 def finished(parsed: DataFrame, services: DataFrame) -> DataFrame:
     """Parsed records (source_file, source_offset, raw, p) -> drafts."""
     named = services.select(F.col("name").alias("service"), F.col("id").alias("service_id"), "log_timezone")
-    rows = parsed.select("source_file", "source_offset", normalize_raw(F.concat("raw", F.lit("\n"))).alias("raw"), "p.*").withColumn("service", component(F.col("service")))
+    rows = parsed.select("source_file", "source_offset", nfc(F.when(F.endswith("raw", F.lit("\r")), F.regexp_replace("raw", r"\r\z", "")).otherwise(F.col("raw"))).alias("raw"), "p.*").withColumn("service", component(F.col("service")))
     rows = rows.join(named, "service", "left")
     local = F.timestamp_micros("micros")
     instant, ambiguous, missing = attach_zone(local, F.coalesce("log_timezone", F.lit("UTC")))
     ts = F.when(F.col("naive") & F.col("service_id").isNotNull(), instant).otherwise(local)
     reason = F.coalesce("reason", F.when(F.col("service_id").isNull(), "no_service_match"))
     # The assembled format has never carried the two flags.
-    flagged = F.col("naive") & ~F.coalesce(F.get_json_object("attrs", "$.logger").isNotNull(), F.lit(False))
-    flag = F.when(flagged & ambiguous, '"tz_ambiguous":true').when(flagged & missing, '"tz_nonexistent":true')
+    flagged = lambda found: F.col("naive") & found & ~F.coalesce(F.get_json_object("attrs", "$.logger").isNotNull(), F.lit(False))
+    flag = F.when(flagged(ambiguous), '"tz_ambiguous":true').when(flagged(missing), '"tz_nonexistent":true')
     attrs = F.when(flag.isNull(), F.col("attrs")).when(F.col("attrs") == "{}", F.concat(F.lit("{"), flag, F.lit("}"))).otherwise(F.concat(F.regexp_replace("attrs", r"\}\z", ","), flag, F.lit("}")))
     good = reason.isNull()
     keep = lambda c: F.when(good, c)

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from evidentry.functions import identity, texts
+from evidentry.functions import identity, jsonvalues, texts
 
 
 def test_messages_of_words_and_numbers(spark):
@@ -29,6 +29,14 @@ def test_messages_of_words_and_numbers(spark):
     assert seconds(texts.mask("m")) < seconds(texts._of_any(F.col("m"))) / 2
 
 
+def test_usual_times(spark):
+    rows = [(x,) for x in ("2026-08-19T14:03:22.123456Z", "2026-08-19T14:03:22", "2026-08-19T14:03:22.1Z", "2026-02-30T00:00:00Z", "2026-01-01T24:00:00Z", "0000-01-01T00:00:00Z", "0001-01-01T00:00:00Z", "2026-01-01T00:00:60Z", "9999-12-31T23:59:59.999999Z", "1960-01-01T00:00:00.5Z", "2026-08-19T14:03:22.1234567Z", "2026-08-19T14:03:22+01:00", "x", None)]
+    frame = spark.createDataFrame(rows, "t string")
+    short, long = jsonvalues.iso_time(F.col("t")), jsonvalues._any_iso_time(F.col("t"))
+    for row in frame.select("t", short[0].alias("a"), long[0].alias("b"), short[1].alias("c"), long[1].alias("d")).collect():
+        assert row.a == row.b and (row.a is None or row.c == row.d), row
+
+
 def test_strings_with_any_control_character(spark):
     import json
 
