@@ -55,7 +55,7 @@ class CachedTokenizer:
         self.special = [t["content"] for t in model.get("added_tokens", [])]
         pre, norm = model.get("pre_tokenizer") or {}, model.get("normalizer")
         text = json.dumps([pre, norm])
-        self.kind = ""
+        self.kind, self.sizes = "", None
         if pre.get("type") == "ByteLevel" and not norm and pre.get("use_regex", True) and not pre.get("add_prefix_space"):
             self.kind, self.words = "bytes", regex.compile(BYTE_LEVEL)
         elif json.dumps(WORD_LEVEL) in text and '"Lowercase"' in text and '"Removed"' in text:
@@ -77,6 +77,8 @@ class CachedTokenizer:
 
     def _joined(self, plain: list[str]) -> list[bytes]:
         """The ids of words of letters (after a blank, where blanks are part of words), many given to the tokenizer at once: it cuts them from each other, and nowhere else."""
+        if self.kind == "bytes":
+            return self._joined_by_bytes(plain)
         out, blank = [], " " if self.kind == "words" else ""
         for at in range(0, len(plain), 512):
             part = plain[at : at + 512]
@@ -89,26 +91,48 @@ class CachedTokenizer:
             out += map(raw.__getitem__, map(slice, [0, *ends], ends))
         return out
 
+    def _joined_by_bytes(self, plain: list[str]) -> list[bytes]:
+        """The same without the library's account of words: each character of a token is a byte, so words end where the sums of bytes meet."""
+        if self.sizes is None:
+            self.sizes = np.zeros(self.vocabulary, np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.sizes[i] = len(token)
+        parts = [plain[at : at + 512] for at in range(0, len(plain), 512)]
+        out, texts = [], ["".join(p) for p in parts]
+        for part, text, found in zip(parts, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(found.ids, self.wide)
+            reached = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([*map(len, part)] if text.isascii() else [len(w.encode()) for w in part])
+            ends = np.searchsorted(reached, wanted)
+            if not len(ids) or reached[-1] != wanted[-1] or (reached[ends] != wanted).any():
+                out += self._direct(part)
+                continue
+            raw, ends = ids.tobytes(), ((ends + 1) * ids.itemsize).tolist()
+            out += map(raw.__getitem__, map(slice, [0, *ends], ends))
+        return out
+
     def _learn(self, words: set[str]) -> None:
         """Adds the words' ids to the cache. Letters, and letters before one other mark, are cut without the regex."""
         known, first = self.cache, 0 if self.kind == "words" else 1
         low = {w: w.lower() for w in words} if self.kind == "words" else {}
         plain, parts = set(), {}
+        head = " " * first
         for word in words:
-            w = low.get(word, word)
-            body = w[first:] if w[:first] == " " * first else ""
+            w = low.get(word, word) if low else word
+            body = w[first:] if w.startswith(head) else ""
             if body.isalpha():
                 plain.add(w)
-            elif body[:-1].isalpha() and not body[-1].isalnum() and not body[-1].isspace():
-                parts[word] = w[:-1], w[-1]
-                plain.add(w[:-1])
+            elif body and not (end := body[-1]).isalnum() and not end.isspace() and body[:-1].isalpha():
+                base = w[:-1]
+                parts[word] = base, end
+                plain.add(base)
             else:
                 parts[word] = self.words.findall(w)
         plain = list(plain.difference(known))
         known.update(zip(plain, self._joined(plain)))
         others = list(set().union(*parts.values()).difference(known))
         known.update(zip(others, self._direct(others) if others else []))
-        known.update({w: b"".join(map(known.__getitem__, ps)) for w, ps in parts.items()})
+        known.update({w: known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join(map(known.__getitem__, ps)) for w, ps in parts.items()})
         known.update({w: known[x] for w, x in low.items() if w not in known})
 
     def encode(self, texts: list[str]) -> list[bytes]:
