@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentry.llm.columns import pieces
+from evidentry.llm.columns import pieces, utf8
 from evidentry.llm.tokenize import default_path, tokenizer
 from evidentry.session import discard, materialize
 
@@ -148,12 +149,12 @@ def encoded(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer(path, end_id)
-        end, width = np.array([end_id], coder.wide), np.dtype(coder.wide).itemsize
+        width = np.dtype(coder.wide).itemsize
         total, names = np.zeros(coder.vocabulary, np.int64), ["doc_id", "n_tokens", "ids", "counts"]
-        for batch in pieces(batches, limit=1 << 20):
-            ids = [x + end.tobytes() for x in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            total += np.bincount(np.frombuffer(b"".join(ids), coder.wide), minlength=coder.vocabulary)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        for batch in pieces(batches):
+            ids = coder.encoded(batch.column(1))
+            total += np.bincount(utf8(ids)[0].view(coder.wide), minlength=coder.vocabulary)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.divide(pc.binary_length(ids), width), pa.int64()), ids, pa.nulls(len(ids), pa.binary())], names)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
